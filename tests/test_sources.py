@@ -1,0 +1,43 @@
+import os
+
+from pyspark.sql import functions as F
+
+from tabulant.functions.clean import to_number
+from tabulant.sources.tables import load, read_text_table, register_views, write_table
+
+CSV = "MyUnknownColumn,item,calories\n0,Egg McMuffin,300\n1,Big Mac, 550Â \n2,Water,\n"
+
+
+def test_read_text_table_all_strings_and_named_unnamed_column(spark, scratch):
+    path = os.path.join(scratch, "mcdonaldata.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(CSV)
+    df = read_text_table(spark, path, ["MyUnknownColumn", "item", "calories"])
+    assert all(t == "string" for _, t in df.dtypes)
+    got = [r[0] for r in df.select(to_number("calories")).collect()]
+    assert got == [300.0, 550.0, None]
+
+
+def test_quoted_identifier_and_current_database(spark, scratch):
+    df = spark.createDataFrame([(1, "40/50")], "ID int, agtron string")
+    df.createOrReplaceTempView("`top-rated-coffee`")
+    assert spark.sql("SELECT agtron FROM `top-rated-coffee`").collect()[0][0] == "40/50"
+    spark.catalog.setCurrentDatabase("default")
+    assert spark.catalog.currentDatabase() == "default"
+
+
+def test_csv_export_round_trip(spark, scratch):
+    df = spark.createDataFrame([(2020, "United States", 1.5)], "year int, entity string, total double")
+    out = os.path.join(scratch, "export")
+    write_table(df, out, fmt="csv")
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["year", "entity", "total"] and back.count() == 1
+
+
+def test_load_prunes_columns_and_registers_views(spark):
+    sf = "/root/testdata/sf0.001"
+    df = load(spark, sf, "orders", ["o_orderkey", "o_totalprice"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderdate" not in plan
+    register_views(spark, sf, ("nation",))
+    assert spark.sql("SELECT count(*) FROM nation").collect()[0][0] == 25
