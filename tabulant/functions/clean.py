@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Characters that appear inside number columns of the source
 # dumps and must be removed before a cast -- the mis-decoded "Â", the
 # no-break space, the plain space and the thousands comma.
-NUMBER_MARKS = "[Â  ,]"
+NUMBER_MARKS = "Â\u00a0 ,"
 
 
 def _col(c: str | Column) -> Column:
@@ -28,8 +28,8 @@ def blank_to_null(c: str | Column) -> Column:
 
 
 def strip_marks(c: str | Column) -> Column:
-    """Remove stray encoding marks, spaces and thousands separators."""
-    return F.regexp_replace(_col(c).cast("string"), NUMBER_MARKS, "")
+    """Remove stray encoding marks, spaces and thousands separators (one ``translate`` pass)."""
+    return F.translate(_col(c).cast("string"), NUMBER_MARKS, "")
 
 
 def to_number(c: str | Column, dtype: str = "double") -> Column:

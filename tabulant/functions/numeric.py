@@ -39,6 +39,55 @@ def safe_divide(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(_col(num), _col(den))
 
 
+def to_units(c: str | Column, decimals: int = 2) -> Column:
+    """A fixed-point value as a whole number of ``10^-decimals`` units (``long``).
+
+    Rounds half away from zero on the stored double, so a value that carries
+    at most ``decimals`` digits maps to its exact unit count; primitive
+    arithmetic keeps the per-row work inside generated code.
+    """
+    col = _col(c).cast("double")
+    f = F.lit(float(10 ** decimals))
+    return F.when(col < 0, -F.floor(-col * f + F.lit(0.5))).otherwise(F.floor(col * f + F.lit(0.5))).cast("long")
+
+
+def fixed_sum(c: str | Column, decimals: int = 2) -> Column:
+    """Exact sum of a fixed-point column, as ``DECIMAL(38, decimals)`` (aggregate).
+
+    Sums ``long`` units, so the per-row work avoids big-decimal arithmetic;
+    only the final value is converted.
+    """
+    total = F.sum(to_units(c, decimals)).cast("decimal(38,0)")
+    return (total / F.lit(10 ** decimals).cast("decimal(38,0)")).cast(f"decimal(38,{decimals})")
+
+
+def fixed_mean(c: str | Column, decimals: int = 2) -> Column:
+    """Exact mean of a fixed-point column at six decimals, halves away from zero (aggregate).
+
+    Equal to ``AVG(CAST(c AS DECIMAL(p, decimals)))``: the unit total (a
+    ``long`` sum) is divided once per group in decimal; NULL for no rows.
+    """
+    total = F.sum(to_units(c, decimals)).cast("decimal(38,0)")
+    n = (F.count(_col(c)) * F.lit(10 ** decimals)).cast("decimal(38,0)")
+    return F.try_divide(total, n).cast("decimal(38,6)")
+
+
+def to_fixed(c: str | Column, decimals: int = 2) -> Column:
+    """Per-row exact ``DECIMAL(38, decimals)`` of a fixed-point double (via its unit count)."""
+    return (to_units(c, decimals).cast("decimal(38,0)")
+            / F.lit(10 ** decimals).cast("decimal(38,0)")).cast(f"decimal(38,{decimals})")
+
+
+def mean(c: str | Column, fixed: int | None = None) -> Column:
+    """``avg`` of a column; ``fixed=d`` makes it the exact fixed-point mean of d-decimal values."""
+    return F.avg(_col(c)) if fixed is None else fixed_mean(c, fixed)
+
+
+def total(c: str | Column, fixed: int | None = None) -> Column:
+    """``sum`` of a column; ``fixed=d`` makes it the exact fixed-point sum of d-decimal values."""
+    return F.sum(_col(c)) if fixed is None else fixed_sum(c, fixed)
+
+
 def percent_of(part: str | Column, whole: str | Column, scale: int = 2) -> Column:
     """``ROUND(part * 100 / whole, scale)`` as a double."""
     return F.round(F.try_divide(_col(part).cast("double") * F.lit(100.0), _col(whole).cast("double")), scale)

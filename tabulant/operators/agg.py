@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import floor_half_up, percent_of
+from ..functions.numeric import floor_half_up, mean, percent_of, total, to_units
 
 
 def _c(c: str | Column) -> Column:
@@ -19,11 +19,13 @@ def _c(c: str | Column) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str | Column], measures: list[str], scale: int | None = 2,
-            prefix: str = "avg_", total_name: str | None = None) -> DataFrame:
+            prefix: str = "avg_", total_name: str | None = None, fixed: int | None = None) -> DataFrame:
     """Mean of each measure per group (global mean when ``keys`` is empty).
 
     ``total_name`` adds the mean of the row sum of all measures (NULL parts
-    make that row's sum NULL, so it is skipped by ``avg``).
+    make that row's sum NULL, so it is skipped by ``avg``).  ``fixed=d``
+    treats the measures as d-decimal fixed-point values and averages them
+    exactly (long unit sums, one decimal division per group).
     """
     def rnd(c):
         return F.round(c, scale) if scale is not None else c
@@ -32,8 +34,8 @@ def mean_by(df: DataFrame, keys: list[str | Column], measures: list[str], scale:
         total = None
         for m in measures:
             total = F.col(m) if total is None else total + F.col(m)
-        aggs.append(rnd(F.avg(total)).alias(total_name))
-    aggs += [rnd(F.avg(F.col(m))).alias(f"{prefix}{m}") for m in measures]
+        aggs.append(rnd(mean(total, fixed)).alias(total_name))
+    aggs += [rnd(mean(m, fixed)).alias(f"{prefix}{m}") for m in measures]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
@@ -48,10 +50,13 @@ def count_distinct_of(df: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def sum_by(df: DataFrame, keys: list[str | Column], amount: str, rounding: str = "exact",
-           name: str = "total", scale: int | None = None) -> DataFrame:
-    """Sum per group; ``rounding='each_half_up'`` rounds every row (``FLOOR(x+0.5)``) first."""
+           name: str = "total", scale: int | None = None, fixed: int | None = None) -> DataFrame:
+    """Sum per group; ``rounding='each_half_up'`` rounds every row (``FLOOR(x+0.5)``) first.
+
+    ``fixed=d`` sums d-decimal values exactly (as ``DECIMAL(38, d)``).
+    """
     if rounding == "exact":
-        val = F.sum(F.col(amount))
+        val = total(amount, fixed)
         val = F.round(val, scale) if scale is not None else val
     elif rounding == "each_half_up":
         val = F.sum(floor_half_up(F.col(amount).cast("double")))
@@ -61,7 +66,7 @@ def sum_by(df: DataFrame, keys: list[str | Column], amount: str, rounding: str =
 
 
 def mean_of_means(branches: list[tuple[DataFrame, list[str | Column], dict[str, str]]],
-                  scale: int = 2) -> DataFrame:
+                  scale: int = 2, fixed: int | None = None) -> DataFrame:
     """Average, over all groups of all branches, of each branch's group means.
 
     Each branch is ``(df, group_keys, {output_name: input_column})``; every
@@ -74,7 +79,7 @@ def mean_of_means(branches: list[tuple[DataFrame, list[str | Column], dict[str,
     for df, keys, mapping in branches:
         if list(mapping.keys()) != names:
             raise ValueError("every branch must produce the same measures")
-        aggs = [F.round(F.avg(F.col(src)), scale).alias(out) for out, src in mapping.items()]
+        aggs = [F.round(mean(src, fixed), scale).alias(out) for out, src in mapping.items()]
         parts.append(df.groupBy(*keys).agg(*aggs).select(*names))
     stacked = parts[0]
     for p in parts[1:]:
@@ -83,7 +88,7 @@ def mean_of_means(branches: list[tuple[DataFrame, list[str | Column], dict[str,
 
 
 def profile_measure(sources: list[tuple[str, DataFrame, str]], high: float, scale: int = 2,
-                    label: str = "source", positive_only: bool = True) -> DataFrame:
+                    label: str = "source", positive_only: bool = True, fixed: int | None = None) -> DataFrame:
     """Distribution summary of one measure from several sources, stacked.
 
     Per source: count, mean, max, min, population std-dev and the number of
@@ -96,7 +101,7 @@ def profile_measure(sources: list[tuple[str, DataFrame, str]], high: float, scal
         kept = df.filter(v.isNotNull() & (v > 0) if positive_only else v.isNotNull())
         parts.append(kept.agg(
             F.count(F.lit(1)).alias("total_items"),
-            F.round(F.avg(v), scale).alias("avg_value"),
+            F.round(mean(v, fixed), scale).alias("avg_value"),
             F.round(F.max(v), scale).alias("max_value"),
             F.round(F.min(v), scale).alias("min_value"),
             F.round(F.stddev_pop(v), scale).alias("stddev_value"),
@@ -123,7 +128,7 @@ def count_levels(df: DataFrame, outer: list[str], inner: list[str],
 
 def cohort_compare(df: DataFrame, key: str, cohorts: dict[str, list], measures: list[str],
                    scale: int | None = 4, label: str = "cohort", prefix: str = "avg_",
-                   case_insensitive: bool = True) -> DataFrame:
+                   case_insensitive: bool = True, fixed: int | None = None) -> DataFrame:
     """Mean of measures for named cohorts of keys, one row per cohort."""
     k = F.lower(F.col(key)) if case_insensitive else F.col(key)
     tag = None
@@ -132,12 +137,13 @@ def cohort_compare(df: DataFrame, key: str, cohorts: dict[str, list], measures:
         cond = k.isin(*vals)
         tag = F.when(cond, F.lit(name)) if tag is None else tag.when(cond, F.lit(name))
     tagged = df.select(tag.alias(label), *measures)
-    return mean_by(tagged.filter(F.col(label).isNotNull()), [label], measures, scale=scale, prefix=prefix)
+    return mean_by(tagged.filter(F.col(label).isNotNull()), [label], measures, scale=scale, prefix=prefix,
+                   fixed=fixed)
 
 
 def tier_summary(per_entity: DataFrame, tier: Column, measures: dict[str, str], count_name: str = "n_entities",
                  tier_name: str = "tier", scale: int = 2, minmax: str | None = None,
-                 distinct_key: str | None = None) -> DataFrame:
+                 distinct_key: str | None = None, fixed: int | None = None) -> DataFrame:
     """Classify entities into tiers and summarise each tier.
 
     ``per_entity`` holds one row per entity (or, for the fan-out form, one
@@ -148,7 +154,7 @@ def tier_summary(per_entity: DataFrame, tier: Column, measures: dict[str, str],
     t = per_entity.withColumn(tier_name, tier)
     cnt = F.count_distinct(F.col(distinct_key)) if distinct_key else F.count(F.lit(1))
     aggs = [cnt.alias(count_name)]
-    aggs += [F.round(F.avg(F.col(src)), scale).alias(out) for out, src in measures.items()]
+    aggs += [F.round(mean(src, fixed), scale).alias(out) for out, src in measures.items()]
     if minmax:
         aggs += [F.round(F.min(F.col(minmax)), scale).alias(f"min_{minmax}"),
                  F.round(F.max(F.col(minmax)), scale).alias(f"max_{minmax}")]

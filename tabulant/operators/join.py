@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import mean
+
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
@@ -70,7 +72,7 @@ def semi_match(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str | No
 
 def bucket_scaffold(df: DataFrame, value: str, measures: list[str], start: int, stop: int,
                     width: float = 1.0, scale: int = 2, label: str = "bucket",
-                    prefix: str = "avg_") -> DataFrame:
+                    prefix: str = "avg_", fixed: int | None = None) -> DataFrame:
     """Mean of measures per fixed-width bucket of ``value``, empty buckets kept.
 
     The scaffold is the constant relation ``start .. stop-1`` (one row per
@@ -81,7 +83,7 @@ def bucket_scaffold(df: DataFrame, value: str, measures: list[str], start: int,
     The label reads ``"<lo> to <hi>"``.
     """
     bucket = F.floor(F.col(value) / F.lit(width)) if width != 1 else F.floor(F.col(value))
-    aggs = [F.avg(F.col(m)).alias(f"__{m}") for m in measures]
+    aggs = [mean(m, fixed).alias(f"__{m}") for m in measures]
     per_bucket = df.groupBy(bucket.cast("bigint").alias("__b")).agg(*aggs)
     scaffold = df.sparkSession.range(start, stop).withColumnRenamed("id", "__b")
     joined = scaffold.join(F.broadcast(per_bucket.filter(F.col("__b").between(start, stop - 1))), "__b", "left")

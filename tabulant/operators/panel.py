@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean_of_parts, rounder
+from ..functions.numeric import mean, mean_of_parts, rounder, total
 from .join import enrich
 
 
@@ -47,7 +47,7 @@ def first_last_delta(df: DataFrame, entity: str, period: str, value: str, tiebre
 
 def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[str], n: int,
                        by: str = "period", scale: int = 2, prefix: str = "avg_",
-                       count_name: str = "n_periods") -> DataFrame:
+                       count_name: str = "n_periods", fixed: int | None = None) -> DataFrame:
     """Mean of measures over each entity's latest ``n`` periods.
 
     ``by='period'``: calendar window -- rows whose period is at least the
@@ -63,7 +63,7 @@ def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[s
     else:
         raise ValueError("by must be 'rows' or 'period'")
     aggs = [F.count(F.lit(1)).alias(count_name)]
-    aggs += [F.round(F.avg(F.col(m)), scale).alias(f"{prefix}{m}") for m in measures]
+    aggs += [F.round(mean(m, fixed), scale).alias(f"{prefix}{m}") for m in measures]
     return kept.groupBy(entity).agg(*aggs)
 
 
@@ -84,13 +84,14 @@ def peak_period(df: DataFrame, entity: str, period: str, measures: list[str],
 
 
 def pivot_measure(df: DataFrame, key: str | list[str], pivot: str, values: list, measure: str,
-                  agg: str = "avg", scale: int = 2, prefix: str = "") -> DataFrame:
+                  agg: str = "avg", scale: int = 2, prefix: str = "", fixed: int | None = None) -> DataFrame:
     """Long -> wide: one output column per listed pivot value.
 
     Listing the values keeps the plan to a single aggregate (no extra job to
     discover them); values without rows give NULL columns.
     """
-    fn = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[agg]
+    fn = {"avg": lambda c: mean(c, fixed), "sum": lambda c: total(c, fixed), "max": F.max, "min": F.min,
+          "count": F.count}[agg]
     keys = [key] if isinstance(key, str) else list(key)
     wide = df.groupBy(*keys).pivot(pivot, values).agg(fn(F.col(measure)))
     out = [F.col(k) for k in keys]
@@ -102,7 +103,8 @@ def pivot_measure(df: DataFrame, key: str | list[str], pivot: str, values: list,
 
 def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], southern: Column,
                   north_months: tuple[int, ...] = (12, 1, 2), south_months: tuple[int, ...] = (6, 7, 8),
-                  scale: int = 4, prefix: str = "avg_winter_", extra_keys: list[str] | None = None) -> DataFrame:
+                  scale: int = 4, prefix: str = "avg_winter_", extra_keys: list[str] | None = None,
+                  fixed: int | None = None) -> DataFrame:
     """Mean of measures over each entity's winter months, hemisphere-aware.
 
     ``southern`` is a boolean column per row; northern rows count Dec-Feb,
@@ -111,19 +113,19 @@ def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], s
     south = F.coalesce(southern, F.lit(False))
     in_season = (south & F.col(month).isin(*south_months)) | (~south & F.col(month).isin(*north_months))
     keys = [entity] + list(extra_keys or [])
-    aggs = [F.round(F.avg(F.col(m)), scale).alias(f"{prefix}{m}") for m in measures]
+    aggs = [F.round(mean(m, fixed), scale).alias(f"{prefix}{m}") for m in measures]
     return df.filter(in_season).groupBy(*keys).agg(*aggs)
 
 
 def time_split_sum(df: DataFrame, hour: str | Column, amount: str, split_hour: int = 12,
                    labels: tuple[str, str] = ("Before 12", "After 12"), scale: int = 2,
-                   names: tuple[str, str] = ("period", "amt")) -> DataFrame:
+                   names: tuple[str, str] = ("period", "amt"), fixed: int | None = None) -> DataFrame:
     """Total amount before / after a split hour; hours outside 0-23 are invalid and dropped."""
     h = _c(hour)
     valid = df.filter(h.between(0, 23))
     label = F.when(h < split_hour, F.lit(labels[0])).otherwise(F.lit(labels[1]))
     return (valid.groupBy(label.alias(names[0]))
-            .agg(F.round(F.sum(F.col(amount)), scale).alias(names[1])))
+            .agg(F.round(total(amount, fixed), scale).alias(names[1])))
 
 
 def variation_index(df: DataFrame, entity: str, measures: list[str], skip_null: bool = False,
@@ -143,7 +145,7 @@ def variation_index(df: DataFrame, entity: str, measures: list[str], skip_null:
 
 def period_mean_enrich(attrs: DataFrame, facts: DataFrame, attr_key: str, fact_key: str, period: str,
                        lo, hi, measures: list[str], attr_cols: list[str], require: list[str] | None = None,
-                       scale: int = 2, prefix: str = "avg_") -> DataFrame:
+                       scale: int = 2, prefix: str = "avg_", fixed: int | None = None) -> DataFrame:
     """Entity attributes with the mean of measures over a period range.
 
     Facts are restricted to ``lo <= period <= hi`` and aggregated per entity
@@ -157,7 +159,7 @@ def period_mean_enrich(attrs: DataFrame, facts: DataFrame, attr_key: str, fact_k
         a = a.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != F.lit("")))
     per = (facts.filter(F.col(period).between(lo, hi))
            .groupBy(F.col(fact_key).alias("__fk"))
-           .agg(*[F.avg(F.col(m)).alias(f"__{m}") for m in measures]))
+           .agg(*[mean(m, fixed).alias(f"__{m}") for m in measures]))
     joined = a.select(attr_key, *[c for c in attr_cols if c != attr_key]).join(
         per, F.col(attr_key) == F.col("__fk"), "inner")
     out = [attr_key] + [c for c in attr_cols if c != attr_key]

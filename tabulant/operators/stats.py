@@ -7,19 +7,21 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import mean, to_fixed
 from .join import enrich
 
 
 def group_deviation(df: DataFrame, group: str, value: str, keep: list[str], scale: int = 0,
-                    avg_name: str = "avg_group", delta_name: str = "delta_from_avg") -> DataFrame:
+                    avg_name: str = "avg_group", delta_name: str = "delta_from_avg",
+                    fixed: int | None = None) -> DataFrame:
     """Each row's value, its group mean, and the absolute distance between them.
 
     The group mean is a partial/final aggregate joined back on the group key
     (broadcast when the group table is proven small, else a shuffle join that
     AQE splits for hot groups) -- not a window over raw rows.
     """
-    v = F.col(value)
-    per = df.groupBy(group).agg(F.avg(v).alias("__gavg"))
+    v = F.col(value) if fixed is None else to_fixed(value, fixed)
+    per = df.groupBy(group).agg(mean(value, fixed).alias("__gavg"))
     joined = enrich(df.select(*keep, group, v.alias("__v")), per, group)
     return joined.select(*keep, group,
                          F.round(F.col("__gavg"), scale).alias(avg_name),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import onehot_label, parse_dmy, parse_hour, split_pair, to_number, id_from_prefixed
-from ..functions.numeric import floor_half_up, format_fixed
+from ..functions.numeric import fixed_mean, fixed_sum, floor_half_up, format_fixed
 from ..functions.predicates import contains_text, exclude_both, ordinal_position
 from ..operators import agg, join, panel, rank, score, shape, stats
 from ..operators.score import ScenarioSpec
@@ -50,7 +50,7 @@ def q_first_last_delta(spark: SparkSession, sf: str) -> DataFrame:
 def _customer_years(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     return orders.groupBy("o_custkey", F.year("o_orderdate").cast("bigint").alias("o_year")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total_price"),
+        fixed_sum("o_totalprice").alias("total_price"),
         F.count(F.lit(1)).alias("n_orders"))
 
 
@@ -74,14 +74,10 @@ def q_last_n_periods_avg_period(spark: SparkSession, sf: str) -> DataFrame:
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _lineitem_fixed(spark: SparkSession, sf: str, extra: list[str]) -> DataFrame:
-    li = load(spark, sf, "lineitem", extra + LINE_MEASURES)
-    return li.select(*extra, *[F.col(m).cast("decimal(18,2)").alias(m) for m in LINE_MEASURES])
-
-
 def q_mean_by(spark: SparkSession, sf: str) -> DataFrame:
-    li = _lineitem_fixed(spark, sf, ["l_shipdate"]).withColumn("ship_month", F.month("l_shipdate").cast("bigint"))
-    out = agg.mean_by(li, ["ship_month"], LINE_MEASURES, scale=4, total_name="avg_total")
+    li = load(spark, sf, "lineitem", ["l_shipdate"] + LINE_MEASURES)
+    li = li.withColumn("ship_month", F.month("l_shipdate").cast("bigint"))
+    out = agg.mean_by(li, ["ship_month"], LINE_MEASURES, scale=4, total_name="avg_total", fixed=2)
     return out.select("ship_month", *[_double(c).alias(c) for c in out.columns if c != "ship_month"]
                       ).orderBy(F.col("avg_total").desc())
 
@@ -89,8 +85,7 @@ def q_mean_by(spark: SparkSession, sf: str) -> DataFrame:
 def q_mean_by_named(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_orderpriority", "o_totalprice"])
     named = orders.filter((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_orderpriority") == "5-LOW"))
-    named = named.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
-    out = agg.mean_by(named, ["o_orderpriority"], ["o_totalprice"], scale=2)
+    out = agg.mean_by(named, ["o_orderpriority"], ["o_totalprice"], scale=2, fixed=2)
     return out.select("o_orderpriority", _double("avg_o_totalprice").alias("avg_o_totalprice"))
 
 
@@ -109,8 +104,8 @@ def q_peak_period(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_pivot_measure(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events_measures(spark, sf).withColumn("quarter", (F.hour("ts") / 6).cast("int"))
-    ev = ev.withColumn("value", F.col("value").cast("decimal(18,2)"))
-    out = panel.pivot_measure(ev, "event_type", "quarter", [0, 1, 2, 3], "value", agg="avg", scale=4, prefix="q")
+    out = panel.pivot_measure(ev, "event_type", "quarter", [0, 1, 2, 3], "value", agg="avg", scale=4, prefix="q",
+                              fixed=2)
     return out.select("event_type", *[_double(f"q{i}").alias(f"q{i}") for i in range(4)])
 
 
@@ -170,8 +165,7 @@ def _clean_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dedupe_mean(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = _clean_parts(spark, sf).withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
-    out = agg.mean_by(cleaned, ["p_type"], ["p_retailprice"], scale=4)
+    out = agg.mean_by(_clean_parts(spark, sf), ["p_type"], ["p_retailprice"], scale=4, fixed=2)
     return out.select("p_type", _double("avg_p_retailprice").alias("avg_p_retailprice")).orderBy("avg_p_retailprice")
 
 
@@ -184,9 +178,8 @@ def q_top_k(spark: SparkSession, sf: str) -> DataFrame:
 # --- Q14 / Q15: deviation from group mean, group z-score -------------------------------
 def q_group_deviation(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_partkey", "p_type", "p_retailprice"])
-    part = part.withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
     out = stats.group_deviation(part, "p_type", "p_retailprice", ["p_partkey"], scale=4,
-                                avg_name="avg_type_price", delta_name="delta_from_avg")
+                                avg_name="avg_type_price", delta_name="delta_from_avg", fixed=2)
     return out.select("p_partkey", "p_type", _double("avg_type_price").alias("avg_type_price"),
                       _double("delta_from_avg").alias("delta_from_avg")).orderBy(
         F.col("delta_from_avg").desc(), "p_partkey")
@@ -208,13 +201,12 @@ def q_seasonal_mean(spark: SparkSession, sf: str) -> DataFrame:
     # Only the six winter months of either hemisphere can count: filter before the join.
     o = (orders.withColumn("o_month", F.month("o_orderdate"))
          .filter(F.col("o_month").isin(12, 1, 2, 6, 7, 8))
-         .select("o_custkey", "o_month", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")))
+         .select("o_custkey", "o_month", "o_totalprice"))
     facts = join.enrich(o, cust, "o_custkey", "c_custkey", broadcast="auto")
-    facts = join.enrich(facts.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")),
-                        geo, "c_nationkey", "n_nationkey")
+    facts = join.enrich(facts, geo, "c_nationkey", "n_nationkey")
     winter = panel.seasonal_mean(facts, "n_name", "o_month", ["o_totalprice", "c_acctbal"],
                                  southern=F.col("r_name").isin(*SOUTHERN_REGIONS), scale=4,
-                                 extra_keys=["r_name"])
+                                 extra_keys=["r_name"], fixed=2)
     total = F.col("avg_winter_o_totalprice") + F.col("avg_winter_c_acctbal")
     return winter.select("n_name", "r_name", _double("avg_winter_o_totalprice").alias("avg_winter_o_totalprice"),
                          _double("avg_winter_c_acctbal").alias("avg_winter_c_acctbal"),
@@ -226,7 +218,7 @@ def q_enrich(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_custkey", "o_totalprice"])
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     per = (orders.groupBy("o_custkey")
-           .agg(F.round(F.avg(F.col("o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("avg_order_value")))
+           .agg(F.round(fixed_mean("o_totalprice"), 2).cast("double").alias("avg_order_value")))
     out = join.enrich(cust, per, "c_custkey", "o_custkey", broadcast="auto")
     return out.orderBy(F.col("avg_order_value").desc(), "c_custkey")
 
@@ -262,21 +254,18 @@ def q_mean_of_means(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_mktsegment", "c_acctbal"])
     sup = load(spark, sf, "supplier", ["s_nationkey", "s_acctbal"])
     part = load(spark, sf, "part", ["p_type", "p_retailprice"])
-    dec = "decimal(18,2)"
     out = agg.mean_of_means([
-        (cust.withColumn("c_acctbal", F.col("c_acctbal").cast(dec)), ["c_mktsegment"], {"avg_value": "c_acctbal"}),
-        (sup.withColumn("s_acctbal", F.col("s_acctbal").cast(dec)), ["s_nationkey"], {"avg_value": "s_acctbal"}),
-        (part.withColumn("p_retailprice", F.col("p_retailprice").cast(dec)), ["p_type"], {"avg_value": "p_retailprice"}),
-    ], scale=2)
+        (cust, ["c_mktsegment"], {"avg_value": "c_acctbal"}),
+        (sup, ["s_nationkey"], {"avg_value": "s_acctbal"}),
+        (part, ["p_type"], {"avg_value": "p_retailprice"}),
+    ], scale=2, fixed=2)
     return out.select(_double("avg_value").alias("avg_value"))
 
 
 def q_cohort_compare(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_brand", "p_retailprice", "p_size"])
-    part = part.select("p_brand", F.col("p_retailprice").cast("decimal(18,2)").alias("p_retailprice"),
-                       F.col("p_size").cast("decimal(18,2)").alias("p_size"))
     out = agg.cohort_compare(part, "p_brand", {"cohort_a": COHORT_A, "cohort_b": COHORT_B},
-                             ["p_retailprice", "p_size"], scale=4)
+                             ["p_retailprice", "p_size"], scale=4, fixed=2)
     return out.select("cohort", _double("avg_p_retailprice").alias("avg_p_retailprice"),
                       _double("avg_p_size").alias("avg_p_size"))
 
@@ -342,10 +331,10 @@ def q_multi_threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
 def _customer_period_mean(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
-    facts = orders.select("o_custkey", F.year("o_orderdate").alias("o_year"),
-                          F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    facts = orders.select("o_custkey", F.year("o_orderdate").alias("o_year"), "o_totalprice")
     return panel.period_mean_enrich(cust, facts, "c_custkey", "o_custkey", "o_year", 1996, 2000, ["o_totalprice"],
-                                    ["c_name", "c_mktsegment", "c_acctbal"], require=["c_mktsegment"], scale=2)
+                                    ["c_name", "c_mktsegment", "c_acctbal"], require=["c_mktsegment"], scale=2,
+                                    fixed=2)
 
 
 def q_period_mean_enrich(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,7 +348,7 @@ def _customer_mean_raw(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     per = (orders.filter(F.year("o_orderdate").between(1996, 2000))
-           .groupBy("o_custkey").agg(F.avg(F.col("o_totalprice").cast("decimal(18,2)")).alias("mean_price")))
+           .groupBy("o_custkey").agg(fixed_mean("o_totalprice").alias("mean_price")))
     return join.enrich(cust, per, "c_custkey", "o_custkey", broadcast="auto")
 
 
@@ -370,7 +359,7 @@ def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
                            (F.col("mean_price").between(lo, hi), "medium")], "high")
     per = per.withColumn("mean_price_2", F.round(F.col("mean_price"), 2))
     out = agg.tier_summary(per, tier, {"avg_c_acctbal": "c_acctbal", "avg_mean_price": "mean_price_2"},
-                           minmax="mean_price_2", scale=2)
+                           minmax="mean_price_2", scale=2, fixed=2)
     return out.select("tier", "n_entities", _double("avg_c_acctbal").alias("avg_c_acctbal"),
                       _double("avg_mean_price").alias("avg_mean_price"),
                       _double("min_mean_price_2").alias("min_mean_price"),
@@ -381,27 +370,23 @@ def q_tier_fanout(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_acctbal"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     lo_b, hi_b = 2000.0, 6000.0
-    c = cust.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    tiered = c.withColumn("tier", score.classify([(F.col("c_acctbal") > hi_b, "high balance"),
-                                                  (F.col("c_acctbal").between(lo_b, hi_b), "medium balance")],
-                                                 "low balance"))
-    o = (orders.filter(F.year("o_orderdate").between(1996, 2000))
-         .select("o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")))
+    tiered = cust.withColumn("tier", score.classify([(F.col("c_acctbal") > hi_b, "high balance"),
+                                                     (F.col("c_acctbal").between(lo_b, hi_b), "medium balance")],
+                                                    "low balance"))
+    o = orders.filter(F.year("o_orderdate").between(1996, 2000)).select("o_custkey", "o_totalprice")
     joined = join.enrich(tiered, o, "c_custkey", "o_custkey", broadcast="auto")
-    out = joined.groupBy("tier").agg(
-        F.count_distinct("c_custkey").alias("n_entities"),
-        F.round(F.avg("c_acctbal"), 2).cast("double").alias("avg_c_acctbal"),
-        F.round(F.avg("o_totalprice"), 2).cast("double").alias("avg_o_totalprice"))
+    out = agg.tier_summary(joined, F.col("tier"), {"avg_c_acctbal": "c_acctbal", "avg_o_totalprice": "o_totalprice"},
+                           distinct_key="c_custkey", scale=2, fixed=2)
+    out = out.select("tier", "n_entities", _double("avg_c_acctbal").alias("avg_c_acctbal"),
+                     _double("avg_o_totalprice").alias("avg_o_totalprice"))
     return out.orderBy(F.col("avg_c_acctbal").desc())
 
 
 def q_profile_measure(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_retailprice"])
     sup = load(spark, sf, "supplier", ["s_acctbal"])
-    dec = "decimal(18,2)"
-    out = agg.profile_measure([("part", part.select(F.col("p_retailprice").cast(dec).alias("v")), "v"),
-                               ("supplier", sup.select(F.col("s_acctbal").cast(dec).alias("v")), "v")],
-                              high=950.0, scale=2)
+    out = agg.profile_measure([("part", part, "p_retailprice"), ("supplier", sup, "s_acctbal")],
+                              high=950.0, scale=2, fixed=2)
     return out.select("source", "total_items", *[_double(c).alias(c) for c in
                                                  ["avg_value", "max_value", "min_value", "stddev_value"]],
                       "high_items")
@@ -440,8 +425,7 @@ def q_count_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_sum_by_exact(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
-    o = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
-    out = agg.sum_by(o, ["o_orderstatus", "o_orderpriority"], "o_totalprice", name="total_sales")
+    out = agg.sum_by(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", name="total_sales", fixed=2)
     return out.select("o_orderstatus", "o_orderpriority", _double("total_sales").alias("total_sales")).orderBy(
         "o_orderstatus")
 
@@ -482,51 +466,50 @@ def q_onehot_label(spark: SparkSession, sf: str) -> DataFrame:
 def q_time_split_sum(spark: SparkSession, sf: str) -> DataFrame:
     ev = load(spark, sf, "events", ["ts", "value"])
     # Input as the dumps store it: time of day as HH:mm text.
-    raw = ev.select(F.date_format("ts", "HH:mm").alias("time_text"), F.col("value").cast("decimal(18,2)").alias("value"))
-    out = panel.time_split_sum(raw, parse_hour("time_text"), "value")
+    raw = ev.select(F.date_format("ts", "HH:mm").alias("time_text"), "value")
+    out = panel.time_split_sum(raw, parse_hour("time_text"), "value", fixed=2)
     return out.select("period", _double("amt").alias("amt")).orderBy("amt")
 
 
 def q_bucket_scaffold(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_size", "p_retailprice"])
-    p = part.select((F.col("p_size") / F.lit(10.0)).alias("size_10"),
-                    F.col("p_retailprice").cast("decimal(18,2)").alias("p_retailprice"),
-                    F.col("p_size").cast("decimal(18,2)").alias("p_size"))
-    out = join.bucket_scaffold(p, "size_10", ["p_retailprice", "p_size"], 0, 7, scale=2, label="size_band")
+    p = part.select((F.col("p_size") / F.lit(10.0)).alias("size_10"), "p_retailprice", "p_size")
+    out = join.bucket_scaffold(p, "size_10", ["p_retailprice", "p_size"], 0, 7, scale=2, label="size_band", fixed=2)
     return out.select("size_band", *[_double(c).alias(c) for c in ["avg_p_retailprice", "avg_p_size"]])
 
 
 def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Four-table join -> month -> per (month, customer, supplier) totals -> top 3 per month."""
+    """Four-table join -> month -> per (month, customer, supplier) totals -> top 3 per month.
+
+    The order date arrives as ``d/m/Y`` text; it is parsed once per order,
+    before the order is joined to its (several) line items.  The customer is
+    matched through the number behind the ``Customer#`` prefix of its name.
+    Output is sorted by month number, which is not itself returned.
+    """
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"])
     orders = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"])
     sup = load(spark, sf, "supplier", ["s_suppkey", "s_name"])
-    # Dates as the dumps store them: d/m/Y text.
-    o = orders.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "d/M/yyyy").alias("date_text"))
-    facts = join.enrich(li, o, "l_orderkey", "o_orderkey", broadcast="auto")
-    # The customer key is joined through the number behind the "Customer#" prefix.
+    raw_orders = orders.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "d/M/yyyy").alias("date_text"))
+    o = raw_orders.select("o_orderkey", "o_custkey", F.month(parse_dmy("date_text")).cast("bigint").alias("month_no"))
     c = cust.select(id_from_prefixed("c_name", 9).alias("c_key"), "c_custkey", "c_mktsegment")
+    facts = join.enrich(li, o, "l_orderkey", "o_orderkey", broadcast="auto")
     facts = join.enrich(facts, c, "o_custkey", "c_key", broadcast="auto")
     facts = join.enrich(facts, sup, "l_suppkey", "s_suppkey")
-    brand_a, brand_b = split_pair(F.col("s_name"), "#")
-    d = parse_dmy("date_text")
-    cleaned = facts.select(F.month(d).cast("bigint").alias("month_no"),
-                           F.upper(F.date_format(d, "MMM")).alias("trans_month"),
-                           "c_custkey", "l_suppkey", "c_mktsegment", brand_a.alias("s_prefix"),
-                           brand_b.try_cast("bigint").alias("s_number"),
-                           F.col("l_extendedprice").cast("decimal(18,2)").alias("money"),
-                           F.col("l_discount").cast("decimal(18,2)").alias("disc"))
-    aggregated = cleaned.groupBy("month_no", "trans_month", "c_custkey", "l_suppkey", "c_mktsegment",
-                                 "s_prefix", "s_number").agg(
-        F.avg("disc").alias("avg_disc"), F.count(F.lit(1)).alias("trans_amt"), F.sum("money").alias("total_money"))
+    aggregated = facts.groupBy("month_no", "c_custkey", "l_suppkey", "c_mktsegment", "s_name").agg(
+        fixed_mean("l_discount").alias("avg_disc"), F.count(F.lit(1)).alias("trans_amt"),
+        fixed_sum("l_extendedprice").alias("total_money"))
     ranked = rank.top_k_per_group(aggregated, ["month_no"], [F.col("total_money").desc(), F.col("c_custkey"),
                                                              F.col("l_suppkey")], 3)
-    return ranked.select("trans_month", "c_custkey", "l_suppkey", "c_mktsegment", "s_prefix",
-                         format_fixed(F.col("avg_disc"), 6).alias("avg_disc"), "trans_amt",
-                         format_fixed(F.col("total_money"), 2).alias("total_money"),
-                         F.col("rank_no").cast("bigint").alias("rank_no"),
-                         "month_no").orderBy("month_no", "rank_no")
+    # Attributes that are functions of the grouping keys are derived on the few ranked rows.
+    month_name = F.upper(F.date_format(F.make_date(F.lit(2000), F.col("month_no").cast("int"), F.lit(1)), "MMM"))
+    s_prefix, _ = split_pair(F.col("s_name"), "#")
+    out = ranked.select(month_name.alias("trans_month"), "c_custkey", "l_suppkey", "c_mktsegment",
+                        s_prefix.alias("s_prefix"),
+                        format_fixed(F.col("avg_disc"), 6).alias("avg_disc"), "trans_amt",
+                        format_fixed(F.col("total_money"), 2).alias("total_money"),
+                        F.col("rank_no").cast("bigint").alias("rank_no"), "month_no")
+    return out.orderBy("month_no", "rank_no").drop("month_no")
 
 
 QUERIES: dict[str, Query] = {
