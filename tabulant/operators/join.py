@@ -2,9 +2,12 @@
 
 Broadcast policy: a side is hinted for broadcast only after a bounded
 ``limit(max_rows + 1).count()`` proves it has at most ``max_rows`` rows.
-Otherwise the join is left to the planner (sort-merge / shuffled hash),
-where AQE can still switch to broadcast from runtime sizes and split skewed
-partitions of the large side.
+That check is cheap on a scan (it stops after ``max_rows + 1`` rows); a
+side that is itself an aggregate is first written once to the shared
+checkpoint folder (``stage_small``) so the check and the join read the same
+materialised rows instead of aggregating twice.  Otherwise the join is left
+to the planner (sort-merge / shuffled hash), where AQE can still switch to
+broadcast from runtime sizes and split skewed partitions of the large side.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean
+from ..session import cut_lineage
 
 DEFAULT_BROADCAST_ROWS = 200_000
 
@@ -27,12 +31,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if row_bound(df, max_rows) else df
 
 
+def stage_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Materialise an aggregated side once (reliable checkpoint), then broadcast it if proven small.
+
+    The checkpoint lives in the cluster's shared ``spark.checkpoint.dir``, so
+    the rows survive executor loss and are not recomputed by the join.
+    """
+    return bounded_broadcast(cut_lineage(df), max_rows)
+
+
 def _side(df: DataFrame, broadcast: str, max_rows: int) -> DataFrame:
     if broadcast == "checked":
         return bounded_broadcast(df, max_rows)
+    if broadcast == "staged":
+        return stage_small(df, max_rows)
     if broadcast == "auto":
         return df
-    raise ValueError(f"broadcast must be 'checked' or 'auto', not {broadcast!r}")
+    raise ValueError(f"broadcast must be 'checked', 'staged' or 'auto', not {broadcast!r}")
 
 
 def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on: str | list[str] | None = None,
@@ -63,7 +78,7 @@ def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on:
 
 
 def semi_match(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str | None = None,
-               broadcast: str = "checked", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               broadcast: str = "auto", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Fact rows that have at least one match in ``dim`` (non-empty lookup)."""
     rk = right_on or left_on
     keys = _side(dim.select(F.col(rk).alias("__k")).distinct(), broadcast, max_rows)

@@ -59,7 +59,7 @@ def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[s
         kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
     elif by == "period":
         latest = df.groupBy(entity).agg(F.max(period).alias("__latest"))
-        kept = enrich(df, latest, entity).filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
+        kept = enrich(df, latest, entity, broadcast="auto").filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
     else:
         raise ValueError("by must be 'rows' or 'period'")
     aggs = [F.count(F.lit(1)).alias(count_name)]

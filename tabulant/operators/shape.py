@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import row_sum
+from .join import stage_small
 
 
 def profile_dupes(df: DataFrame, key: str,
@@ -16,13 +17,25 @@ def profile_dupes(df: DataFrame, key: str,
         names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
 
 
-def rows_of_duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
+def rows_of_duplicate_keys(df: DataFrame, key: str | list[str], hash_prefilter: bool = False,
+                           max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Every row whose key occurs more than once (``IN (… HAVING COUNT(*) > 1)``).
 
     The duplicated keys come from a partial/final count; rows are then kept
     with a left-semi join, which AQE can split if one key is hot.
+
+    ``hash_prefilter`` is for wide keys such as whole document texts: a first
+    pass counts 64-bit hashes of the key (8 bytes shuffled per row, combined
+    map-side), rows whose hash repeats are kept by a semi-join on the hash
+    (broadcast when that hash set is proven small), and only those
+    candidates go through the exact key comparison.  A hash collision can
+    only add candidates, never drop a duplicate, so the result is exact.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if hash_prefilter:
+        h = F.xxhash64(*[F.col(k) for k in keys]).alias("__h")
+        dup_h = df.select(h).groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select("__h")
+        df = df.withColumn("__h", h).join(stage_small(dup_h, max_broadcast_rows), "__h", "left_semi").drop("__h")
     dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*keys)
     return df.join(dup, keys, "left_semi")
 

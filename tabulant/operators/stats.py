@@ -16,13 +16,14 @@ def group_deviation(df: DataFrame, group: str, value: str, keep: list[str], scal
                     fixed: int | None = None) -> DataFrame:
     """Each row's value, its group mean, and the absolute distance between them.
 
-    The group mean is a partial/final aggregate joined back on the group key
-    (broadcast when the group table is proven small, else a shuffle join that
-    AQE splits for hot groups) -- not a window over raw rows.
+    The group mean is a partial/final aggregate, written once to the
+    checkpoint folder and joined back on the group key (broadcast when that
+    table is proven small, else a shuffle join that AQE splits for hot
+    groups) -- not a window over raw rows.
     """
     v = F.col(value) if fixed is None else to_fixed(value, fixed)
     per = df.groupBy(group).agg(mean(value, fixed).alias("__gavg"))
-    joined = enrich(df.select(*keep, group, v.alias("__v")), per, group)
+    joined = enrich(df.select(*keep, group, v.alias("__v")), per, group, broadcast="staged")
     return joined.select(*keep, group,
                          F.round(F.col("__gavg"), scale).alias(avg_name),
                          F.round(F.abs(F.col("__v") - F.col("__gavg")), scale).alias(delta_name))
@@ -45,7 +46,7 @@ def group_zscore(df: DataFrame, group: str, value: str, keep: list[str], scale:
     """
     mean, sd = overall_stats(df, value)
     per = df.groupBy(group).agg(F.avg(F.col(value).cast("double")).alias("__gavg"))
-    joined = enrich(df.select(*keep, group), per, group)
+    joined = enrich(df.select(*keep, group), per, group, broadcast="staged")
     if mean is None or not sd:
         z = F.lit(None).cast("double")
     else:

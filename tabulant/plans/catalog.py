@@ -132,7 +132,7 @@ def q_profile_dupes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rows_of_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
-    out = shape.rows_of_duplicate_keys(docs, "text")
+    out = shape.rows_of_duplicate_keys(docs, "text", hash_prefilter=True)
     return out.select("doc_id", "lang", "source", "n_chars").orderBy("doc_id")
 
 

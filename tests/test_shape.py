@@ -23,6 +23,12 @@ def test_rows_of_duplicate_keys(spark):
                    ("Hamburger", "Burgers"), ("Hamburger", "Burgers")]
 
 
+def test_rows_of_duplicate_keys_hash_prefilter_is_exact(spark):
+    plain = rows(shape.rows_of_duplicate_keys(menu(spark), "item"))
+    pre = rows(shape.rows_of_duplicate_keys(menu(spark), "item", hash_prefilter=True))
+    assert plain == pre and len(pre) == 4
+
+
 def test_dedupe_clean_whole_row_and_exclusion(spark):
     excl = contains_text("item", "chicken nuggets") & (F.col("category") == "Burgers")
     out = rows(shape.dedupe_clean(menu(spark), exclude=excl), "item", "category")
