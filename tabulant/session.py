@@ -27,6 +27,24 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(total_cores: int, target_partition_mb: int = 256) -> dict[str, str]:
+    """Settings for a large cluster, sized from the total executor cores.
+
+    Shuffle partitions start at 3x the cores (AQE then coalesces small ones
+    towards the advisory size and splits skewed ones); scan splits and the
+    advisory shuffle partition are ``target_partition_mb`` so a task's
+    working set stays well inside executor memory.
+    """
+    size = f"{target_partition_mb}m"
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
+
+
 def build_session(master: str = "local[*]", app_name: str = "tabulant",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's base settings."""

@@ -20,17 +20,17 @@ def test_flag_any_null_is_not_flagged(spark):
 
 def test_clean_zero_filter_junk_is_not_zero(spark):
     df = spark.createDataFrame([("beverage", "0"), ("beverage", " 0Â "), ("beverage", "junk"), ("beverage", ""),
-                                ("regular", "0"), ("mccafe", "1,0")], "menu string, sugar string")
-    out = score.clean_zero_filter(df, "menu", ["beverage", "mccafe"], "sugar")
+                                ("regular", "0"), ("cafe", "1,0")], "menu string, sugar string")
+    out = score.clean_zero_filter(df, "menu", ["beverage", "cafe"], "sugar")
     assert out.count() == 2
 
 
 def test_multi_threshold_filter(spark):
-    df = spark.createDataFrame([("Egg McMuffin", 300.0, 17.0), ("Chicken Nuggets", 380.0, 20.0),
+    df = spark.createDataFrame([("Egg Muffin", 300.0, 17.0), ("Chicken Nuggets", 380.0, 20.0),
                                 ("Big Fries", 350.0, 16.0), ("Salad", None, 20.0), ("Wrap", 410.0, 25.0)],
                                "item string, cal double, protein double")
     out = score.multi_threshold_filter(df, [F.col("cal") <= 400, F.col("protein") > 15], "item", ["nugget", "fries"])
-    assert [r["item"] for r in out.collect()] == ["Egg McMuffin"]
+    assert [r["item"] for r in out.collect()] == ["Egg Muffin"]
 
 
 def test_priority_class_first_rule_wins(spark):

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from tabulant.functions.clean import to_number
 from tabulant.sources.tables import load, read_text_table, register_views, write_table
 
-CSV = "MyUnknownColumn,item,calories\n0,Egg McMuffin,300\n1,Big Mac, 550Â \n2,Water,\n"
+CSV = "MyUnknownColumn,item,calories\n0,Egg Muffin,300\n1,Double Burger, 550Â \n2,Water,\n"
 
 
 def test_read_text_table_all_strings_and_named_unnamed_column(spark, scratch):
-    path = os.path.join(scratch, "mcdonaldata.csv")
+    path = os.path.join(scratch, "menu.csv")
     with open(path, "w", encoding="utf-8") as f:
         f.write(CSV)
     df = read_text_table(spark, path, ["MyUnknownColumn", "item", "calories"])
