@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean, mean_of_parts, rounder, total
+from ..functions.predicates import any_known
 from .join import enrich
 
 
@@ -129,12 +130,17 @@ def time_split_sum(df: DataFrame, hour: str | Column, amount: str, split_hour: i
 
 
 def variation_index(df: DataFrame, entity: str, measures: list[str], skip_null: bool = False,
-                    index_name: str = "variation_index", prefix: str = "std_", scale: int = 4) -> DataFrame:
+                    index_name: str = "variation_index", prefix: str = "std_", scale: int = 4,
+                    require_any: bool = False) -> DataFrame:
     """Sample std-dev of each measure per entity and their equal-weight mean.
 
     ``skip_null=False`` makes the index NULL when any std-dev is NULL (an
     entity with one row); ``True`` averages the std-devs that exist.
+    ``require_any`` first drops rows where every measure is NULL, so an
+    entity with no numeric value at all yields no row.
     """
+    if require_any:
+        df = df.filter(any_known(measures))
     aggs = [F.stddev_samp(F.col(m).cast("double")).alias(f"{prefix}{m}") for m in measures]
     per = df.groupBy(entity).agg(*aggs)
     std_cols = [f"{prefix}{m}" for m in measures]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import to_number
 from ..functions.numeric import safe_divide
-from ..functions.predicates import contains_text, known, ordinal_position
+from ..functions.predicates import contains_text, known, matches, ordinal_position
 from .agg import share_of_total
 
 
@@ -45,14 +45,23 @@ def priority_class(df: DataFrame, rules: list[tuple[Column, str]], default: str,
 
 
 def multi_threshold_filter(df: DataFrame, conditions: list[Column], text_col: str,
-                           excluded: list[str], case_sensitive: bool = False) -> DataFrame:
-    """Rows meeting every threshold whose text contains none of the excluded words."""
+                           excluded: list[str] | None = None, case_sensitive: bool = False,
+                           exclude_regex: str | None = None) -> DataFrame:
+    """Rows meeting every threshold whose text contains none of the excluded words.
+
+    ``excluded`` is the ``NOT LIKE '%w%'`` list; ``exclude_regex`` is the
+    ``$not: {$regex}`` form (one alternation, ``case_sensitive`` applies).
+    A row whose text is unknown is not excluded by either.
+    """
     keep = None
     for c in conditions:
         keep = known(c) if keep is None else keep & known(c)
-    for word in excluded:
+    for word in excluded or []:
         term = ~known(contains_text(text_col, word, case_sensitive))
         keep = term if keep is None else keep & term
+    if exclude_regex:
+        term = ~known(matches(text_col, exclude_regex, case_sensitive))
+        keep = term if keep is None else keep & term
     return df.filter(keep)
 
 
@@ -81,7 +90,6 @@ class ScenarioSpec:
     positive_base_only: bool = False
     ratio_first: bool = False
     labels: tuple[str, str] = ("baseline", "mitigated")
-    extra: dict = field(default_factory=dict)
 
 
 def _normalised(m: str, spec: ScenarioSpec) -> Column:

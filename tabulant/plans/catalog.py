@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import onehot_label, parse_dmy, parse_hour, split_pair, to_number, id_from_prefixed
 from ..functions.numeric import fixed_mean, fixed_sum, floor_half_up, format_fixed
-from ..functions.predicates import contains_text, exclude_both, ordinal_position
+from ..functions.predicates import contains_text, exclude_both, matches, ordinal_position
 from ..operators import agg, join, panel, rank, score, shape, stats
 from ..operators.score import ScenarioSpec
 from ..sources.tables import load
@@ -32,6 +32,7 @@ PRICE_TIERS = (226000.0, 275000.0)
 COHORT_A = ["brand#1", "brand#2", "brand#3", "brand#4", "brand#5"]
 COHORT_B = ["brand#20", "brand#21", "brand#22", "brand#23", "brand#24"]
 EXCLUDED_WORDS = ["bolt", "ring", "rod", "Plate", "screw"]
+EXCLUDED_PATTERN = "bolt|ring|rod|Plate|screw"
 PRIORITY_ORDER = ["urgent", "high", "routine"]
 
 
@@ -154,7 +155,8 @@ def q_dedupe_project(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_filter_nor(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type"])
-    cond = exclude_both(contains_text("p_name", "bolt"), F.col("p_type") == "SMALL", keep_null=True)
+    # The pipeline form: case-sensitive regex inside $nor (rows with an unknown test are kept).
+    cond = exclude_both(matches("p_name", "bolt"), F.col("p_type") == "SMALL", keep_null=True)
     return part.filter(cond).orderBy("p_partkey")
 
 
@@ -223,6 +225,11 @@ def q_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return out.orderBy(F.col("avg_order_value").desc(), "c_custkey")
 
 
+def q_corr_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation, across entities, of the long-run mean with an attribute (on the ``enrich`` output)."""
+    return stats.corr_pair(q_enrich(spark, sf), "avg_order_value", "c_acctbal")
+
+
 def q_semi_match(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderstatus"]).filter(F.col("o_orderstatus") == "P")
@@ -244,7 +251,7 @@ def q_corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def q_variation_index(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem", ["l_suppkey"] + LINE_MEASURES)
     sup = load(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
-    var = panel.variation_index(li, "l_suppkey", LINE_MEASURES, skip_null=True, scale=6)
+    var = panel.variation_index(li, "l_suppkey", LINE_MEASURES, skip_null=True, scale=6, require_any=True)
     out = join.enrich(var, sup, "l_suppkey", "s_suppkey")
     return out.orderBy("variation_index", F.col("s_acctbal").desc())
 
@@ -327,6 +334,17 @@ def q_multi_threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
                                                                                            "p_partkey")
 
 
+def q_multi_threshold_regex(spark: SparkSession, sf: str) -> DataFrame:
+    """The pipeline form of the screen: typed thresholds and one case-insensitive ``$not $regex``."""
+    part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
+    raw = part.withColumn("price_text", F.concat(F.lit(" "), F.col("p_retailprice").cast("string")))
+    conds = [F.col("p_type").isin("STANDARD", "SMALL", "MEDIUM"), to_number("price_text") <= 950.0,
+             F.col("p_size") > 15, F.col("p_size") < 40]
+    out = score.multi_threshold_filter(raw, conds, "p_name", exclude_regex=EXCLUDED_PATTERN)
+    return out.select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice").orderBy("p_type", "p_retailprice",
+                                                                                           "p_partkey")
+
+
 # --- Q23: period means, tiers, profiles, priority classes -------------------------------------
 def _customer_period_mean(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
@@ -533,6 +551,7 @@ QUERIES: dict[str, Query] = {
     "group_zscore": q_group_zscore,
     "seasonal_mean": q_seasonal_mean,
     "enrich": q_enrich,
+    "corr_enriched": q_corr_enriched,
     "semi_match": q_semi_match,
     "corr_pair": q_corr_pair,
     "corr_matrix": q_corr_matrix,
@@ -545,6 +564,7 @@ QUERIES: dict[str, Query] = {
     "row_total": q_row_total,
     "clean_zero_filter": q_clean_zero_filter,
     "multi_threshold_filter": q_multi_threshold_filter,
+    "multi_threshold_regex": q_multi_threshold_regex,
     "period_mean_enrich": q_period_mean_enrich,
     "tier_summary": q_tier_summary,
     "tier_fanout": q_tier_fanout,

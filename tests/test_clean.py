@@ -56,3 +56,12 @@ def test_coalesce_existing_handles_key_case_drift(spark):
     df = spark.createDataFrame([(None, "A"), ("b", None)], "entity string, Entity2 string")
     got = [r[0] for r in df.select(coalesce_existing(df, ["Entity", "entity", "Entity2"])).collect()]
     assert got == ["A", "b"]
+
+
+def test_strict_number_raises_on_junk_under_ansi(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from tabulant.functions.clean import strict_number
+    df = spark.createDataFrame([("12",), ("x",)], "v string")
+    with pytest.raises(PySparkException):
+        df.select(strict_number("v")).collect()
