@@ -6,15 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import row_sum
-from .join import stage_small
+from ..session import cut_lineage
+from .join import bounded_broadcast, stage_small
 
 
 def profile_dupes(df: DataFrame, key: str,
-                  names: tuple[str, str, str] = ("n_rows", "n_distinct", "n_surplus")) -> DataFrame:
-    """Rows, distinct key values, and surplus copies -- one row, one pass."""
-    return df.agg(F.count(F.lit(1)).alias(names[0]),
-                  F.count_distinct(F.col(key)).alias(names[1])).select(
-        names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
+                  names: tuple[str, str, str] = ("n_rows", "n_distinct", "n_surplus"),
+                  hash_prefilter: bool = False, hash_fn=None) -> DataFrame:
+    """Rows, distinct (non-null) key values, and surplus copies, as one row.
+
+    Plain form: one aggregate with ``count_distinct`` (every distinct key is
+    shuffled once).  ``hash_prefilter`` is for wide keys such as whole texts:
+    rows are counted per 64-bit key hash (8 bytes shuffled per row, combined
+    map-side, written once to the checkpoint folder); the number of distinct
+    hashes is exact unless two keys share a hash, so only rows whose hash
+    repeats have their whole keys compared, and each further distinct key
+    inside one hash adds one.  ``hash_fn`` (default ``xxhash64``) exists so
+    tests can force collisions.
+    """
+    if not hash_prefilter:
+        return df.agg(F.count(F.lit(1)).alias(names[0]),
+                      F.count_distinct(F.col(key)).alias(names[1])).select(
+            names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
+    h = (hash_fn or F.xxhash64)(F.col(key))
+    per_h = cut_lineage(df.select(h.alias("__h"), F.col(key).isNotNull().alias("__nn"))
+                        .groupBy("__h", "__nn").agg(F.count(F.lit(1)).alias("__c")))
+    totals = per_h.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("bigint").alias("__rows"),
+                       F.count_if("__nn").cast("bigint").alias("__hashes"), F.lit(0).cast("bigint").alias("__extra"))
+    dup_h = bounded_broadcast(per_h.filter(F.col("__nn") & (F.col("__c") > 1)).select("__h"))
+    cand = df.filter(F.col(key).isNotNull()).select(h.alias("__h"), key).join(dup_h, "__h", "left_semi")
+    extra = (cand.distinct().groupBy("__h").agg((F.count(F.lit(1)) - 1).alias("__e"))
+             .agg(F.lit(0).cast("bigint").alias("__rows"), F.lit(0).cast("bigint").alias("__hashes"),
+                  F.coalesce(F.sum("__e"), F.lit(0)).cast("bigint").alias("__extra")))
+    both = totals.unionByName(extra).agg(F.sum("__rows").alias(names[0]),
+                                         (F.sum("__hashes") + F.sum("__extra")).alias(names[1]))
+    return both.select(names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
 
 
 def rows_of_duplicate_keys(df: DataFrame, key: str | list[str], hash_prefilter: bool = False,

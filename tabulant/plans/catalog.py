@@ -128,7 +128,7 @@ def q_flag_any(spark: SparkSession, sf: str) -> DataFrame:
 # --- Q11: duplicates and cleaning --------------------------------------------------------
 def q_profile_dupes(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", ["text"])
-    return shape.profile_dupes(docs, "text")
+    return shape.profile_dupes(docs, "text", hash_prefilter=True)
 
 
 def q_rows_of_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:

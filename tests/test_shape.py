@@ -17,6 +17,17 @@ def test_profile_dupes(spark):
     assert tuple(shape.profile_dupes(menu(spark), "item").collect()[0]) == (7, 4, 3)
 
 
+def test_profile_dupes_hash_prefilter_exact_under_collisions(spark):
+    df = menu(spark)
+    plain = tuple(shape.profile_dupes(df, "item").collect()[0])
+    assert tuple(shape.profile_dupes(df, "item", hash_prefilter=True).collect()[0]) == plain
+    # a deliberately weak hash (text length) makes distinct items collide; the count must stay exact
+    weak = tuple(shape.profile_dupes(df, "item", hash_prefilter=True, hash_fn=lambda c: F.length(c)).collect()[0])
+    assert weak == plain
+    empty = df.filter(F.lit(False))
+    assert tuple(shape.profile_dupes(empty, "item", hash_prefilter=True).collect()[0]) == (0, 0, 0)
+
+
 def test_rows_of_duplicate_keys(spark):
     out = rows(shape.rows_of_duplicate_keys(menu(spark), "item"), "item", "category")
     assert out == [("Chicken Nuggets (4pc)", "Burgers"), ("Chicken Nuggets (4pc)", "Chicken"),
