@@ -64,15 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (a local test run) is a private folder created and registered.
+    and the session runs in local mode (tests, a laptop) is a private folder
+    created and registered; a cluster session without it is an error, since
+    a machine-local folder would not survive the loss of that machine.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     path = fallback or tempfile.mkdtemp(prefix="tabulant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
