@@ -17,16 +17,50 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# The declared schemas of the driver tables (names and types as
+# stored).  Reading with a declared schema skips the footer-inference job and
+# lets a narrowed schema drive column pruning directly.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+                "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
+def declared_schema(name: str, columns: list[str] | None = None) -> T.StructType | None:
+    """The declared schema of a driver table, optionally narrowed to ``columns`` (in that order)."""
+    ddl = SCHEMAS.get(name)
+    if ddl is None:
+        return None
+    full = T.StructType.fromDDL(ddl)
+    if not columns:
+        return full
+    by_name = {f.name: f for f in full.fields}
+    return T.StructType([by_name[c] for c in columns])
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one driver table; ``columns`` narrows the parquet ReadSchema."""
+    """Read one driver table with its declared schema; ``columns`` narrows the parquet ReadSchema."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    schema = declared_schema(name, columns)
+    if schema is None:
+        df = spark.read.parquet(table_path(sf_dir, name))
+        return df.select(*columns) if columns else df
+    return spark.read.schema(schema).parquet(table_path(sf_dir, name))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:

@@ -41,3 +41,11 @@ def test_load_prunes_columns_and_registers_views(spark):
     assert "o_orderdate" not in plan
     register_views(spark, sf, ("nation",))
     assert spark.sql("SELECT count(*) FROM nation").collect()[0][0] == 25
+
+
+def test_declared_schemas_match_the_files(spark):
+    from tabulant.sources.tables import SCHEMAS, declared_schema
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        for name in SCHEMAS:
+            inferred = spark.read.parquet(f"{sf}/{name}.parquet").schema
+            assert declared_schema(name).simpleString() == inferred.simpleString(), (sf, name)
