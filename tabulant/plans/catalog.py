@@ -47,6 +47,14 @@ def q_first_last_delta(spark: SparkSession, sf: str) -> DataFrame:
     return out.orderBy(F.col("delta").desc(), "o_custkey")
 
 
+def q_first_last_delta_half_even(spark: SparkSession, sf: str) -> DataFrame:
+    """The document-store form: only the change, rounded half-even (``$round``)."""
+    orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"])
+    out = panel.first_last_delta(orders, "o_custkey", "o_orderdate", "o_totalprice", tiebreak="o_orderkey",
+                                 rounding="half_even")
+    return out.select("o_custkey", "delta").orderBy(F.col("delta").desc(), "o_custkey")
+
+
 # --- Q2: mean over the latest n periods ----------------------------------------------
 def _customer_years(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
@@ -280,7 +288,7 @@ def q_cohort_compare(spark: SparkSession, sf: str) -> DataFrame:
 # --- Q20: what-if risk scenarios -----------------------------------------------------------
 SQL_RULE = ScenarioSpec(measures={"disc_amt": 5000.0, "tax_amt": 4000.0}, factors={"disc_amt": 0.9, "tax_amt": 0.9},
                         base="l_quantity", per=100.0, inclusive=True, reduce_only_flagged=True)
-PIPELINE_RULE = ScenarioSpec(measures={"disc_amt": 5000.0, "tax_amt": 4000.0},
+NOSQL_RULE = ScenarioSpec(measures={"disc_amt": 5000.0, "tax_amt": 4000.0},
                              factors={"disc_amt": 0.8, "tax_amt": 0.85}, base="l_quantity", per=100.0,
                              inclusive=False, reduce_only_flagged=False, positive_base_only=True,
                              ratio_first=True)
@@ -297,7 +305,7 @@ def q_scenario_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_facet_union(spark: SparkSession, sf: str) -> DataFrame:
-    return score.scenario_risk(_line_amounts(spark, sf), PIPELINE_RULE)
+    return score.scenario_risk(_line_amounts(spark, sf), NOSQL_RULE)
 
 
 def q_share_of_total(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,6 +322,17 @@ def q_row_total(spark: SparkSession, sf: str) -> DataFrame:
                       *LINE_MEASURES, "row_total").orderBy(F.col("ship_year").desc(), "l_orderkey", "l_linenumber")
 
 
+def q_enrich_row_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Four rounded means per entity joined to its attributes, plus the total of the rounded means."""
+    li = load(spark, sf, "lineitem", ["l_suppkey"] + LINE_MEASURES)
+    sup = load(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
+    means = agg.mean_by(li, ["l_suppkey"], LINE_MEASURES, scale=2, fixed=2)
+    cols = [f"avg_{m}" for m in LINE_MEASURES]
+    out = join.enrich(shape.row_total(means, cols, "avg_total"), sup, "l_suppkey", "s_suppkey")
+    return out.select("l_suppkey", "s_name", "s_acctbal", *[_double(c).alias(c) for c in cols],
+                      _double("avg_total").alias("avg_total")).orderBy(F.col("avg_total").desc(), "l_suppkey")
+
+
 # --- Q22: screening filters on text-stored numbers -------------------------------------------
 def q_clean_zero_filter(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_tax"])
@@ -532,6 +551,7 @@ def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "first_last_delta": q_first_last_delta,
+    "first_last_delta_half_even": q_first_last_delta_half_even,
     "last_n_periods_avg_rows": q_last_n_periods_avg_rows,
     "last_n_periods_avg_period": q_last_n_periods_avg_period,
     "mean_by": q_mean_by,
@@ -562,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "facet_union": q_facet_union,
     "share_of_total": q_share_of_total,
     "row_total": q_row_total,
+    "enrich_row_total": q_enrich_row_total,
     "clean_zero_filter": q_clean_zero_filter,
     "multi_threshold_filter": q_multi_threshold_filter,
     "multi_threshold_regex": q_multi_threshold_regex,
