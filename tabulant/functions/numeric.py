@@ -48,7 +48,7 @@ def to_units(c: str | Column, decimals: int = 2) -> Column:
     """
     col = _col(c).cast("double")
     f = F.lit(float(10 ** decimals))
-    return F.when(col < 0, -F.floor(-col * f + F.lit(0.5))).otherwise(F.floor(col * f + F.lit(0.5))).cast("long")
+    return (F.signum(col) * F.floor(F.abs(col) * f + F.lit(0.5))).cast("long")
 
 
 def fixed_sum(c: str | Column, decimals: int = 2) -> Column:

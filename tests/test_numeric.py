@@ -54,3 +54,13 @@ def test_ordinal_position_is_field(spark):
     df = spark.createDataFrame([("afternoon",), ("morning",), ("night",)], "t string")
     got = [r[0] for r in df.select(ordinal_position("t", ["morning", "afternoon", "evening"])).collect()]
     assert got == [2, 1, 0]
+
+
+def test_fixed_point_units_sum_and_mean(spark):
+    from tabulant.functions.numeric import fixed_mean, fixed_sum, to_units
+    df = spark.createDataFrame([(1.005,), (-2.675,), (0.1,), (None,), (-0.0,)], "x double")
+    units = [r[0] for r in df.select(to_units("x")).collect()]
+    assert units == [100, -268, 10, None, 0]   # half away from zero on the stored double
+    row = df.agg(fixed_sum("x").alias("s"), fixed_mean("x").alias("m")).collect()[0]
+    assert str(row["s"]) == "-1.58" and str(row["m"]) == "-0.395000"
+    assert df.filter("x is null").agg(fixed_mean("x")).collect()[0][0] is None
