@@ -51,14 +51,30 @@ def to_units(c: str | Column, decimals: int = 2) -> Column:
     return (F.signum(col) * F.floor(F.abs(col) * f + F.lit(0.5))).cast("long")
 
 
+def unit_sum(c: str | Column, decimals: int = 2) -> Column:
+    """Aggregate: the ``long`` total of a fixed-point column's unit counts (exact, primitive)."""
+    return F.sum(to_units(c, decimals))
+
+
+def units_to_fixed(total_units: str | Column, decimals: int = 2) -> Column:
+    """A unit total (e.g. from ``unit_sum``) as ``DECIMAL(38, decimals)``."""
+    return (_col(total_units).cast("decimal(38,0)")
+            / F.lit(10 ** decimals).cast("decimal(38,0)")).cast(f"decimal(38,{decimals})")
+
+
+def units_mean(total_units: str | Column, count: str | Column, decimals: int = 2) -> Column:
+    """Exact mean from a unit total and a row count, at six decimals half-up; NULL when count is 0."""
+    n = (_col(count) * F.lit(10 ** decimals)).cast("decimal(38,0)")
+    return F.try_divide(_col(total_units).cast("decimal(38,0)"), n).cast("decimal(38,6)")
+
+
 def fixed_sum(c: str | Column, decimals: int = 2) -> Column:
     """Exact sum of a fixed-point column, as ``DECIMAL(38, decimals)`` (aggregate).
 
     Sums ``long`` units, so the per-row work avoids big-decimal arithmetic;
     only the final value is converted.
     """
-    total = F.sum(to_units(c, decimals)).cast("decimal(38,0)")
-    return (total / F.lit(10 ** decimals).cast("decimal(38,0)")).cast(f"decimal(38,{decimals})")
+    return units_to_fixed(unit_sum(c, decimals), decimals)
 
 
 def fixed_mean(c: str | Column, decimals: int = 2) -> Column:
@@ -67,9 +83,7 @@ def fixed_mean(c: str | Column, decimals: int = 2) -> Column:
     Equal to ``AVG(CAST(c AS DECIMAL(p, decimals)))``: the unit total (a
     ``long`` sum) is divided once per group in decimal; NULL for no rows.
     """
-    total = F.sum(to_units(c, decimals)).cast("decimal(38,0)")
-    n = (F.count(_col(c)) * F.lit(10 ** decimals)).cast("decimal(38,0)")
-    return F.try_divide(total, n).cast("decimal(38,6)")
+    return units_mean(unit_sum(c, decimals), F.count(_col(c)), decimals)
 
 
 def to_fixed(c: str | Column, decimals: int = 2) -> Column:

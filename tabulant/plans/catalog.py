@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import onehot_label, parse_dmy, parse_hour, split_pair, to_number, id_from_prefixed
-from ..functions.numeric import fixed_mean, fixed_sum, floor_half_up, format_fixed
+from ..functions.numeric import (fixed_mean, fixed_sum, floor_half_up, format_fixed, unit_sum, units_mean,
+                                 units_to_fixed)
 from ..functions.predicates import contains_text, exclude_both, matches, ordinal_position
 from ..operators import agg, join, panel, rank, score, shape, stats
 from ..operators.score import ScenarioSpec
@@ -536,11 +537,14 @@ def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
     facts = join.enrich(li, o, "l_orderkey", "o_orderkey", broadcast="auto")
     facts = join.enrich(facts, c, "o_custkey", "c_key", broadcast="auto")
     facts = join.enrich(facts, sup, "l_suppkey", "s_suppkey")
+    # Totals stay long unit counts (cents) through the ranking; decimals are made for the survivors only.
     aggregated = facts.groupBy("month_no", "c_custkey", "l_suppkey", "c_mktsegment", "s_name").agg(
-        fixed_mean("l_discount").alias("avg_disc"), F.count(F.lit(1)).alias("trans_amt"),
-        fixed_sum("l_extendedprice").alias("total_money"))
-    ranked = rank.top_k_per_group(aggregated, ["month_no"], [F.col("total_money").desc(), F.col("c_custkey"),
+        unit_sum("l_discount").alias("disc_units"), F.count(F.lit(1)).alias("trans_amt"),
+        unit_sum("l_extendedprice").alias("money_units"))
+    ranked = rank.top_k_per_group(aggregated, ["month_no"], [F.col("money_units").desc(), F.col("c_custkey"),
                                                              F.col("l_suppkey")], 3)
+    ranked = ranked.withColumns({"avg_disc": units_mean("disc_units", "trans_amt"),
+                                 "total_money": units_to_fixed("money_units")})
     # Attributes that are functions of the grouping keys are derived on the few ranked rows.
     month_name = F.upper(F.date_format(F.make_date(F.lit(2000), F.col("month_no").cast("int"), F.lit(1)), "MMM"))
     s_prefix, _ = split_pair(F.col("s_name"), "#")
