@@ -142,8 +142,7 @@ def q_profile_dupes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rows_of_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
-    out = shape.rows_of_duplicate_keys(docs, "text", hash_prefilter=True)
-    return out.select("doc_id", "lang", "source", "n_chars").orderBy("doc_id")
+    return shape.rows_of_duplicate_keys(docs, "text", hash_prefilter=True).orderBy("doc_id")
 
 
 def _doc_exclusion() -> F.Column:
@@ -152,9 +151,7 @@ def _doc_exclusion() -> F.Column:
 
 def q_dedupe_clean(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents", ["text", "lang", "source"])
-    out = shape.dedupe_clean(docs, exclude=_doc_exclusion())
-    return out.select(F.sha2("text", 256).alias("text_sha256"), "lang", "source",
-                      F.length("text").cast("bigint").alias("text_len"))
+    return shape.dedupe_clean(docs, exclude=_doc_exclusion())
 
 
 def q_dedupe_project(spark: SparkSession, sf: str) -> DataFrame:
