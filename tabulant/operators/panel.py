@@ -48,16 +48,27 @@ def first_last_delta(df: DataFrame, entity: str, period: str, value: str, tiebre
 
 def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[str], n: int,
                        by: str = "period", scale: int = 2, prefix: str = "avg_",
-                       count_name: str = "n_periods", fixed: int | None = None) -> DataFrame:
+                       count_name: str = "n_periods", fixed: int | None = None,
+                       bounded_groups: bool = False) -> DataFrame:
     """Mean of measures over each entity's latest ``n`` periods.
 
     ``by='period'``: calendar window -- rows whose period is at least the
     entity's latest period minus ``n - 1`` (gaps shorten the window).
     ``by='rows'``: the entity's last ``n`` rows by period (gaps do not).
+
+    For ``by='period'`` the entity's latest period is, by default, a
+    partial/final aggregate joined back (safe however many rows an entity
+    has).  ``bounded_groups=True`` states that each entity holds a bounded
+    number of rows (e.g. one per period after aggregation); the latest
+    period then comes from a window partitioned by entity, and the final
+    grouping reuses that partitioning -- one shuffle instead of three.
     """
     if by == "rows":
         w = Window.partitionBy(entity).orderBy(F.col(period).desc())
         kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+    elif by == "period" and bounded_groups:
+        latest = F.max(period).over(Window.partitionBy(entity))
+        kept = df.withColumn("__latest", latest).filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
     elif by == "period":
         latest = df.groupBy(entity).agg(F.max(period).alias("__latest"))
         kept = enrich(df, latest, entity, broadcast="auto").filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))

@@ -65,8 +65,9 @@ def _customer_years(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _last_n(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    # One row per (customer, year) after the first aggregate: groups are bounded by the number of years.
     out = panel.last_n_periods_avg(_customer_years(spark, sf), "o_custkey", "o_year",
-                                   ["total_price", "n_orders"], n=3, by=by)
+                                   ["total_price", "n_orders"], n=3, by=by, bounded_groups=True)
     return out.select("o_custkey", F.col("n_periods").cast("bigint"),
                       _double("avg_total_price").alias("avg_total_price"),
                       _double("avg_n_orders").alias("avg_n_orders")).orderBy("o_custkey")

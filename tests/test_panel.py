@@ -32,6 +32,8 @@ def test_last_n_rows_vs_period_differ_on_gaps(spark):
     df = typed(spark)
     by_rows = rows(panel.last_n_periods_avg(df, "entity", "year", ["carbs"], n=3, by="rows"))
     by_period = rows(panel.last_n_periods_avg(df, "entity", "year", ["carbs"], n=3, by="period"))
+    assert rows(panel.last_n_periods_avg(df, "entity", "year", ["carbs"], n=3, by="period",
+                                         bounded_groups=True)) == by_period
     assert ("B", 3, 9.0) in by_rows          # years 2, 6, 7
     assert ("B", 2, 10.0) in by_period       # years 5..7 -> 6, 7
     assert ("A", 3, 21.67) in by_rows and ("A", 3, 21.67) in by_period
