@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import floor_half_up, mean, percent_of, total, to_units
+from ..functions.numeric import floor_half_up, mean, percent_of, total
 
 
 def _c(c: str | Column) -> Column:
