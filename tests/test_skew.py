@@ -5,7 +5,6 @@ combine before the shuffle (partial aggregates, partial WindowGroupLimit), so
 the hot key never arrives whole in one task.
 """
 
-import os
 
 import duckdb
 import pytest
