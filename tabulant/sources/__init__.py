@@ -1,5 +1,5 @@
 """Schema'd readers and writers."""
 
-from .tables import TABLES, load, read_text_table, register_views, write_table
+from .tables import TABLES, load, read_text_table, register_views, write_bucketed, write_table
 
-__all__ = ["TABLES", "load", "read_text_table", "register_views", "write_table"]
+__all__ = ["TABLES", "load", "read_text_table", "register_views", "write_bucketed", "write_table"]

@@ -12,7 +12,8 @@ from tabulant.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[*]", app_name="tabulant-tests", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tabulant-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tabulant-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tabulant-test-wh-")})
     yield s
     s.stop()
 

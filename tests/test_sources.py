@@ -49,3 +49,20 @@ def test_declared_schemas_match_the_files(spark):
         for name in SCHEMAS:
             inferred = spark.read.parquet(f"{sf}/{name}.parquet").schema
             assert declared_schema(name).simpleString() == inferred.simpleString(), (sf, name)
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from tabulant.sources.tables import write_bucketed
+    sf = "/root/testdata/sf0.001"
+    write_bucketed(load(spark, sf, "lineitem", ["l_orderkey", "l_extendedprice"]), "li_bucketed", ["l_orderkey"], 8)
+    write_bucketed(load(spark, sf, "orders", ["o_orderkey", "o_custkey"]), "orders_bucketed", ["o_orderkey"], 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        li, o = spark.table("li_bucketed"), spark.table("orders_bucketed")
+        joined = li.join(o, li.l_orderkey == o.o_orderkey)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == load(spark, sf, "lineitem", ["l_orderkey"]).join(
+            load(spark, sf, "orders", ["o_orderkey"]), F.col("l_orderkey") == F.col("o_orderkey")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
