@@ -93,6 +93,13 @@ def q_mean_by(spark: SparkSession, sf: str) -> DataFrame:
                       ).orderBy(F.col("avg_total").desc())
 
 
+def q_mean_global(spark: SparkSession, sf: str) -> DataFrame:
+    """Ungrouped means of the four measures over the whole table (one row)."""
+    li = load(spark, sf, "lineitem", LINE_MEASURES)
+    out = agg.mean_by(li, [], LINE_MEASURES, scale=4, fixed=2)
+    return out.select(*[_double(c).alias(c) for c in out.columns])
+
+
 def q_mean_by_named(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders", ["o_orderpriority", "o_totalprice"])
     named = orders.filter((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_orderpriority") == "5-LOW"))
@@ -184,6 +191,13 @@ def q_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return rank.top_k(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10)
 
 
+def q_top_k_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Top 10 of the cleaned catalog (exclusion + whole-row de-dup), ties broken by every column."""
+    cleaned = _clean_parts(spark, sf)
+    order = [F.col("p_retailprice").desc(), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size")]
+    return rank.top_k(cleaned, order, 10)
+
+
 # --- Q14 / Q15: deviation from group mean, group z-score -------------------------------
 def q_group_deviation(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part", ["p_partkey", "p_type", "p_retailprice"])
@@ -561,6 +575,7 @@ QUERIES: dict[str, Query] = {
     "last_n_periods_avg_period": q_last_n_periods_avg_period,
     "mean_by": q_mean_by,
     "mean_by_named": q_mean_by_named,
+    "mean_global": q_mean_global,
     "peak_period": q_peak_period,
     "pivot_measure": q_pivot_measure,
     "safe_ratio": q_safe_ratio,
@@ -572,6 +587,7 @@ QUERIES: dict[str, Query] = {
     "filter_nor": q_filter_nor,
     "dedupe_mean": q_dedupe_mean,
     "top_k": q_top_k,
+    "top_k_clean": q_top_k_clean,
     "group_deviation": q_group_deviation,
     "group_zscore": q_group_zscore,
     "seasonal_mean": q_seasonal_mean,
