@@ -1,7 +1,8 @@
 """Enrichment joins, the bucket scaffold, and the size-checked broadcast.
 
-Broadcast policy: a side is hinted for broadcast only after a bounded
-``limit(max_rows + 1).count()`` proves it has at most ``max_rows`` rows.
+Broadcast policy: a side is hinted for broadcast only after one aggregate
+over ``limit(max_rows + 1)`` proves it has at most ``max_rows`` rows and at
+most ``max_bytes`` of data (string lengths measured, fixed widths counted).
 That check is cheap on a scan (it stops after ``max_rows + 1`` rows); a
 side that is itself an aggregate is first written once to the shared
 checkpoint folder (``stage_small``) so the check and the join read the same
@@ -14,21 +15,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import mean
 from ..session import cut_lineage
 
-DEFAULT_BROADCAST_ROWS = 200_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def row_bound(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+# Bytes per value of fixed-width types (as Spark sizes them in rows).
+_FIXED_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
+                T.FloatType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
+                T.DecimalType: 16}
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if its row count is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if row_bound(df, max_rows) else df
+def _row_bytes(df: DataFrame):
+    """Per-row size: measured bytes of strings and binaries, fixed widths for everything else."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + F.lit(8))
+        else:
+            parts.append(F.lit(_FIXED_WIDTH.get(type(f.dataType), 8)))
+    total = F.lit(0)
+    for p in parts:
+        total = total + p
+    return total.cast("long")
+
+
+def row_bound(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and at most ``max_bytes`` of data.
+
+    One aggregate over ``limit(max_rows + 1)``: it never reads more than
+    ``max_rows + 1`` rows, however large ``df`` is.
+    """
+    probe = df.limit(max_rows + 1)
+    if max_bytes is None:
+        return probe.count() <= max_rows
+    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if its rows and bytes are proven small, else ``df`` unchanged."""
+    return F.broadcast(df) if row_bound(df, max_rows, max_bytes) else df
 
 
 def stage_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -31,6 +31,15 @@ def test_bounded_broadcast_checks_size(spark):
     assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
 
 
+def test_bounded_broadcast_checks_bytes_too(spark):
+    wide = spark.range(50).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 10_000).alias("blob"))
+    assert join.row_bound(wide, 100, max_bytes=1_000_000)          # 50 rows x ~10 KB = ~0.5 MB
+    assert not join.row_bound(wide, 100, max_bytes=100_000)        # rows are few, bytes are not
+    fact = spark.range(10).withColumnRenamed("id", "k")
+    plan = fact.join(join.bounded_broadcast(wide, 100, max_bytes=100_000), "k")._jdf.queryExecution()
+    assert "broadcast" not in plan.analyzed().toString().lower()
+
+
 def test_bucket_scaffold_keeps_empty_buckets(spark):
     df = spark.createDataFrame([(0.5, 1.0), (0.9, 3.0), (2.2, 5.0), (9.0, 100.0)], "ph double, liking double")
     out = rows(join.bucket_scaffold(df, "ph", ["liking"], 0, 4, label="Ph", prefix="avg"))
