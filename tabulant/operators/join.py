@@ -96,6 +96,12 @@ def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on:
     are compared through ``lower()`` helper columns, which keeps the join a
     plain hash equi-join.  A key repeated in ``dim`` fans the fact row out,
     exactly as SQL does.
+
+    ``broadcast``: ``'checked'`` (default) hints ``dim`` only after its rows
+    and bytes are proven small -- meant for dimension scans; ``'staged'``
+    first writes an aggregated ``dim`` to the checkpoint folder, then checks;
+    ``'auto'`` leaves the choice to the planner and AQE, for sides that grow
+    with the data.
     """
     lk = [left_on] if isinstance(left_on, str) else list(left_on)
     rk = lk if right_on is None else ([right_on] if isinstance(right_on, str) else list(right_on))

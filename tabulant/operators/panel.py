@@ -5,7 +5,9 @@ rows), so nothing here windows over raw rows without a per-partition limit:
 extremes use partial/final aggregates (``min_by``/``max_by``), "last n rows"
 uses a ``row_number() <= n`` filter that Spark plans as a partial
 WindowGroupLimit before the shuffle, and calendar windows join per-entity
-maxima back with a size-checked broadcast or an AQE skew-split join.
+maxima back (AQE broadcasts them when small and splits hot keys otherwise)
+-- or, when the caller states that each entity holds a bounded number of
+rows, take the maximum with a window partitioned by entity.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """Plan assertions: no Python UDF in any query, pruned scans, the intended physical operators."""
 
+import re
+
 import pytest
 
 from tabulant.plans.catalog import QUERIES
@@ -18,6 +20,28 @@ def test_no_python_udf_and_no_cartesian(spark, name):
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "CartesianProduct",
                  "BroadcastNestedLoopJoin"):
         assert node not in plan, f"{name} plans {node}"
+    assert not unpartitioned_window(plan), f"{name} plans an unpartitioned window"
+
+
+def unpartitioned_window(plan: str) -> bool:
+    """A window without PARTITION BY sits on an ``Exchange SinglePartition`` (all rows in one task)."""
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if re.search(r"\bWindow \[", line):
+            for below in lines[i + 1:]:
+                if "Exchange" in below:
+                    if "SinglePartition" in below:
+                        return True
+                    break
+    return False
+
+
+def test_unpartitioned_window_is_detected(spark):
+    from pyspark.sql import Window, functions as F
+    bad = spark.range(10).withColumn("s", F.sum("id").over(Window.orderBy("id")))
+    good = spark.range(10).withColumn("s", F.sum("id").over(Window.partitionBy(F.col("id") % 2).orderBy("id")))
+    assert unpartitioned_window(bad._jdf.queryExecution().executedPlan().toString())
+    assert not unpartitioned_window(good._jdf.queryExecution().executedPlan().toString())
 
 
 def test_top_k_per_group_limits_before_shuffle(spark):
