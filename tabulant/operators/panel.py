@@ -164,19 +164,24 @@ def variation_index(df: DataFrame, entity: str, measures: list[str], skip_null:
 
 def period_mean_enrich(attrs: DataFrame, facts: DataFrame, attr_key: str, fact_key: str, period: str,
                        lo, hi, measures: list[str], attr_cols: list[str], require: list[str] | None = None,
-                       scale: int = 2, prefix: str = "avg_", fixed: int | None = None) -> DataFrame:
+                       scale: int = 2, prefix: str = "avg_", fixed: int | None = None,
+                       lexical: bool = False) -> DataFrame:
     """Entity attributes with the mean of measures over a period range.
 
     Facts are restricted to ``lo <= period <= hi`` and aggregated per entity
     first (partial/final aggregate), then joined to the attributes -- the
     outer join of the source degrades to inner because the period filter
     sits on the fact side.  ``require`` lists attribute columns that must be
-    present (not NULL and not blank).
+    present (not NULL and not blank).  ``lexical=True`` compares the period as
+    text (``year >= '2010' AND year <= '2020'`` on a text column), which
+    agrees with the numeric range only while all periods have the same width.
     """
     a = attrs
     for c in require or []:
         a = a.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != F.lit("")))
-    per = (facts.filter(F.col(period).between(lo, hi))
+    in_range = (F.col(period).cast("string").between(str(lo), str(hi)) if lexical
+                else F.col(period).between(lo, hi))
+    per = (facts.filter(in_range)
            .groupBy(F.col(fact_key).alias("__fk"))
            .agg(*[mean(m, fixed).alias(f"__{m}") for m in measures]))
     joined = a.select(attr_key, *[c for c in attr_cols if c != attr_key]).join(

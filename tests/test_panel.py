@@ -86,3 +86,15 @@ def test_period_mean_enrich_requires_present_score(spark):
     out = rows(panel.period_mean_enrich(attrs, facts, "country", "entity", "year", 2010, 2020, ["fat"], ["score"],
                                         require=["score"]))
     assert out == [("A", "7.1", 3.0)]
+
+
+def test_period_range_lexical_vs_numeric(spark):
+    attrs = spark.createDataFrame([("A", "x")], "country string, score string")
+    facts = spark.createDataFrame([("A", "2015", 1.0), ("A", "20100", 9.0), ("A", "999", 5.0)],
+                                  "entity string, year string, fat double")
+    lex = rows(panel.period_mean_enrich(attrs, facts, "country", "entity", "year", 2010, 2020, ["fat"], ["score"],
+                                        lexical=True))
+    num = rows(panel.period_mean_enrich(attrs, facts.withColumn("year", F.col("year").cast("int")), "country",
+                                        "entity", "year", 2010, 2020, ["fat"], ["score"]))
+    assert lex == [("A", "x", 5.0)]   # '20100' sorts between '2010' and '2020' as text
+    assert num == [("A", "x", 1.0)]
