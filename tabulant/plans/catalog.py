@@ -43,6 +43,7 @@ def _double(c: str) -> F.Column:
 
 # --- Q1: first -> last period change -------------------------------------------------
 def q_first_last_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1: each customer's order value at its first and last order date and the change (half-up)."""
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"])
     out = panel.first_last_delta(orders, "o_custkey", "o_orderdate", "o_totalprice", tiebreak="o_orderkey")
     return out.orderBy(F.col("delta").desc(), "o_custkey")
@@ -74,10 +75,12 @@ def _last_n(spark: SparkSession, sf: str, by: str) -> DataFrame:
 
 
 def q_last_n_periods_avg_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2 (document form): means over each customer's last 3 yearly rows."""
     return _last_n(spark, sf, "rows")
 
 
 def q_last_n_periods_avg_period(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2 (SQL form): means over each customer's calendar window of its latest 3 years."""
     return _last_n(spark, sf, "period")
 
 
@@ -86,6 +89,7 @@ LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def q_mean_by(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of four line measures and of their row total, per ship month."""
     li = load(spark, sf, "lineitem", ["l_shipdate"] + LINE_MEASURES)
     li = li.withColumn("ship_month", F.month("l_shipdate").cast("bigint"))
     out = agg.mean_by(li, ["ship_month"], LINE_MEASURES, scale=4, total_name="avg_total", fixed=2)
@@ -101,6 +105,7 @@ def q_mean_global(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_mean_by_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean order value for two named priorities (an OR-chain of equalities)."""
     orders = load(spark, sf, "orders", ["o_orderpriority", "o_totalprice"])
     named = orders.filter((F.col("o_orderpriority") == "1-URGENT") | (F.col("o_orderpriority") == "5-LOW"))
     out = agg.mean_by(named, ["o_orderpriority"], ["o_totalprice"], scale=2, fixed=2)
@@ -116,11 +121,13 @@ def _events_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_peak_period(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6: per event type, the day of the single largest value and of the largest k; ties -> earliest day."""
     out = panel.peak_period(_events_measures(spark, sf), "event_type", "day", ["value", "k"])
     return out.orderBy("event_type")
 
 
 def q_pivot_measure(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6 (pivot form): mean value per event type, one column per quarter of the day."""
     ev = _events_measures(spark, sf).withColumn("quarter", (F.hour("ts") / 6).cast("int"))
     out = panel.pivot_measure(ev, "event_type", "quarter", [0, 1, 2, 3], "value", agg="avg", scale=4, prefix="q",
                               fixed=2)
@@ -129,6 +136,7 @@ def q_pivot_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q9 / Q10: ratio and threshold flag ----------------------------------------------
 def q_safe_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Q9: discount-to-tax ratio per line; a zero tax gives NULL."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_discount", "l_tax"])
     out = score.safe_ratio(li, "l_discount", "l_tax", ["l_orderkey", "l_linenumber", "l_discount", "l_tax"],
                            name="discount_to_tax", scale=4)
@@ -136,6 +144,7 @@ def q_safe_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_flag_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10: 'High Risk' when any threshold is exceeded, else 'Moderate'."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_size", "p_retailprice"])
     out = score.flag_any(part, [F.col("p_size") > 40, F.col("p_retailprice") > 990],
                          ["p_partkey", "p_name", "p_size", "p_retailprice"])
@@ -144,11 +153,13 @@ def q_flag_any(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q11: duplicates and cleaning --------------------------------------------------------
 def q_profile_dupes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, distinct texts and surplus copies of the documents."""
     docs = load(spark, sf, "documents", ["text"])
     return shape.profile_dupes(docs, "text", hash_prefilter=True)
 
 
 def q_rows_of_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document whose whole text occurs more than once."""
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     return shape.rows_of_duplicate_keys(docs, "text", hash_prefilter=True).orderBy("doc_id")
 
@@ -158,16 +169,19 @@ def _doc_exclusion() -> F.Column:
 
 
 def q_dedupe_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Drop excluded rows, then whole-row duplicates."""
     docs = load(spark, sf, "documents", ["text", "lang", "source"])
     return shape.dedupe_clean(docs, exclude=_doc_exclusion())
 
 
 def q_dedupe_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Q11 (document form): distinct combinations of the projected columns."""
     part = load(spark, sf, "part", ["p_name", "p_type"])
     return shape.dedupe_project(part, ["p_name", "p_type"]).orderBy("p_name", "p_type")
 
 
 def q_filter_nor(spark: SparkSession, sf: str) -> DataFrame:
+    """Q11 (document form): the $nor exclusion with a case-sensitive regex."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type"])
     # The pipeline form: case-sensitive regex inside $nor (rows with an unknown test are kept).
     cond = exclude_both(matches("p_name", "bolt"), F.col("p_type") == "SMALL", keep_null=True)
@@ -181,12 +195,14 @@ def _clean_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dedupe_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean price per type over the cleaned catalog."""
     out = agg.mean_by(_clean_parts(spark, sf), ["p_type"], ["p_retailprice"], scale=4, fixed=2)
     return out.select("p_type", _double("avg_p_retailprice").alias("avg_p_retailprice")).orderBy("avg_p_retailprice")
 
 
 # --- Q12: top k -------------------------------------------------------------------------------
 def q_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Q12 shape: the 10 largest orders, ties broken by key."""
     orders = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
     return rank.top_k(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10)
 
@@ -200,6 +216,7 @@ def q_top_k_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q14 / Q15: deviation from group mean, group z-score -------------------------------
 def q_group_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    """Q14: each part's price, its type's mean and the absolute difference."""
     part = load(spark, sf, "part", ["p_partkey", "p_type", "p_retailprice"])
     out = stats.group_deviation(part, "p_type", "p_retailprice", ["p_partkey"], scale=4,
                                 avg_name="avg_type_price", delta_name="delta_from_avg", fixed=2)
@@ -209,6 +226,7 @@ def q_group_deviation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_group_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    """Q15: type-level z-score of the mean price against the overall mean and population sd."""
     part = load(spark, sf, "part", ["p_partkey", "p_type", "p_retailprice"])
     out = stats.group_zscore(part, "p_type", "p_retailprice", ["p_partkey", "p_retailprice"], scale=3)
     return out.orderBy("zscore", "p_partkey")
@@ -216,6 +234,7 @@ def q_group_zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q16: hemisphere-aware winter means joined to attributes -------------------------
 def q_seasonal_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """Q16: winter means per nation (southern regions use Jun-Aug), with attributes and their total."""
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     cust = load(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
     nation = load(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
@@ -246,6 +265,7 @@ def _long_run_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    """Q17: each customer's long-run mean order value joined to its attributes."""
     return _long_run_mean(spark, sf).orderBy(F.col("avg_order_value").desc(), "c_custkey")
 
 
@@ -255,6 +275,7 @@ def q_corr_enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_semi_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Q17 (document form): customers with at least one matching order (non-empty lookup)."""
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderstatus"]).filter(F.col("o_orderstatus") == "P")
     return join.semi_match(cust, orders, "c_custkey", "o_custkey", broadcast="auto").orderBy("c_custkey")
@@ -262,17 +283,20 @@ def q_semi_match(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q17 / Q21: correlation -----------------------------------------------------------------
 def q_corr_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Q17 / Q21: correlation of quantity and price per return flag."""
     li = load(spark, sf, "lineitem", ["l_returnflag", "l_quantity", "l_extendedprice"])
     return stats.corr_pair(li, "l_quantity", "l_extendedprice", keys=["l_returnflag"])
 
 
 def q_corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Q21: correlation matrix of the four line measures in long form."""
     li = load(spark, sf, "lineitem", LINE_MEASURES)
     return stats.corr_matrix(li, LINE_MEASURES)
 
 
 # --- Q18: variation index ----------------------------------------------------------------
 def q_variation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Q18: sample std-devs of four measures per supplier, their mean, joined to attributes."""
     li = load(spark, sf, "lineitem", ["l_suppkey"] + LINE_MEASURES)
     sup = load(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
     var = panel.variation_index(li, "l_suppkey", LINE_MEASURES, skip_null=True, scale=6, require_any=True)
@@ -282,6 +306,7 @@ def q_variation_index(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q19: means of means, cohorts ---------------------------------------------------------------
 def q_mean_of_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of group means across three sources."""
     cust = load(spark, sf, "customer", ["c_mktsegment", "c_acctbal"])
     sup = load(spark, sf, "supplier", ["s_nationkey", "s_acctbal"])
     part = load(spark, sf, "part", ["p_type", "p_retailprice"])
@@ -294,6 +319,7 @@ def q_mean_of_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_cohort_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Q19d / Q19e: mean price and size for two cohorts of brands (case-insensitive)."""
     part = load(spark, sf, "part", ["p_brand", "p_retailprice", "p_size"])
     out = agg.cohort_compare(part, "p_brand", {"cohort_a": COHORT_A, "cohort_b": COHORT_B},
                              ["p_retailprice", "p_size"], scale=4, fixed=2)
@@ -317,14 +343,17 @@ def _line_amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_scenario_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Q20 (SQL rule): baseline vs mitigated risk-score distribution with shares."""
     return score.scenario_risk(_line_amounts(spark, sf), SQL_RULE)
 
 
 def q_facet_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Q20 (document rule): the same distribution under strict thresholds and reductions for all."""
     return score.scenario_risk(_line_amounts(spark, sf), NOSQL_RULE)
 
 
 def q_share_of_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Q20 shape: count per status within each priority and its share."""
     orders = load(spark, sf, "orders", ["o_orderpriority", "o_orderstatus"])
     return agg.share_of_total(orders, ["o_orderpriority"], ["o_orderstatus"]).orderBy(
         "o_orderpriority", "o_orderstatus")
@@ -332,6 +361,7 @@ def q_share_of_total(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q21b: row totals ----------------------------------------------------------------------
 def q_row_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Line measures with their row total, newest ship year first."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"] + LINE_MEASURES)
     out = shape.row_total(li, LINE_MEASURES, "row_total")
     return out.select("l_orderkey", "l_linenumber", F.year("l_shipdate").cast("bigint").alias("ship_year"),
@@ -351,6 +381,7 @@ def q_enrich_row_total(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q22: screening filters on text-stored numbers -------------------------------------------
 def q_clean_zero_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in two return flags whose text-stored tax cleans to exactly 0."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_tax"])
     # Input as the dumps store it: the tax as text wrapped in stray marks.
     raw = li.withColumn("tax_text", F.concat(F.lit(" "), F.col("l_tax").cast("string"), F.lit("Â")))
@@ -360,6 +391,7 @@ def q_clean_zero_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_multi_threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22c (SQL form): typed thresholds plus NOT LIKE word exclusions."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
     raw = part.withColumn("price_text", F.concat(format_fixed("p_retailprice", 2), F.lit(" Â")))
     conds = [to_number("price_text") <= 950.0, F.col("p_size") > 15, F.col("p_size") < 40]
@@ -391,6 +423,7 @@ def _customer_period_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_period_mean_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer attributes with the mean order value over 1996-2000."""
     out = _customer_period_mean(spark, sf)
     return out.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal",
                       _double("avg_o_totalprice").alias("avg_o_totalprice")).orderBy(
@@ -406,6 +439,7 @@ def _customer_mean_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers tiered by their 1996-2000 mean order value; summary per tier."""
     per = _customer_mean_raw(spark, sf)
     lo, hi = PRICE_TIERS
     tier = score.classify([(F.col("mean_price") < lo, "low"),
@@ -420,6 +454,7 @@ def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tier_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    """Q23d: balance tiers over the customer-orders join (fan-out kept, distinct count)."""
     cust = load(spark, sf, "customer", ["c_custkey", "c_acctbal"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     lo_b, hi_b = 2000.0, 6000.0
@@ -436,6 +471,7 @@ def q_tier_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_profile_measure(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-source profile of one measure with a conditional count."""
     part = load(spark, sf, "part", ["p_retailprice"])
     sup = load(spark, sf, "supplier", ["s_acctbal"])
     out = agg.profile_measure([("part", part, "p_retailprice"), ("supplier", sup, "s_acctbal")],
@@ -446,6 +482,7 @@ def q_profile_measure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_priority_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Q23e: rule classes over the per-customer mean, HAVING mean > 200 000."""
     per = _customer_mean_raw(spark, sf).filter(F.col("mean_price") > 200000)
     rules = [((F.col("mean_price") > 275000) & (F.col("c_acctbal") < 0), "priority for intervention"),
              ((F.col("mean_price") > 250000) & (F.col("c_acctbal") < 3000), "consider intervention")]
@@ -457,16 +494,19 @@ def q_priority_class(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- IA: counts, sums, labels, time split, buckets, 4-table top-k -------------------------------
 def q_count_by(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers per market segment."""
     cust = load(spark, sf, "customer", ["c_mktsegment"])
     return agg.count_by(cust, ["c_mktsegment"], name="n_customers")
 
 
 def q_count_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of market segments."""
     cust = load(spark, sf, "customer", ["c_mktsegment"])
     return agg.count_distinct_of(cust, "c_mktsegment", "num_segments")
 
 
 def q_count_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Order counts per (status, priority) and per (status, priority, late year), side by side."""
     orders = load(spark, sf, "orders", ["o_orderstatus", "o_orderpriority", "o_orderdate"])
     o = orders.withColumn("late_year", F.year("o_orderdate") >= 1999)
     out = agg.count_levels(o, ["o_orderstatus", "o_orderpriority"], ["late_year"],
@@ -477,6 +517,7 @@ def q_count_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sum_by_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """I3 (version B): exact totals per (status, priority)."""
     orders = load(spark, sf, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
     out = agg.sum_by(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", name="total_sales", fixed=2)
     return out.select("o_orderstatus", "o_orderpriority", _double("total_sales").alias("total_sales")).orderBy(
@@ -484,6 +525,7 @@ def q_sum_by_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sum_by_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    """I3 (version A): totals of per-order values rounded half-up."""
     orders = load(spark, sf, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
     out = agg.sum_by(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice", rounding="each_half_up",
                      name="total_sales")
@@ -505,6 +547,7 @@ def _priority_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_onehot_label(spark: SparkSession, sf: str) -> DataFrame:
+    """I4: text one-hot flags folded to labels; half-up means formatted; custom label order."""
     raw = _priority_flags(spark, sf).filter(F.col("is_settled") == "True")
     labelled = raw.select(
         onehot_label([("priority_urgent", "urgent"), ("priority_high", "high")], "routine").alias("priority_class"),
@@ -517,6 +560,7 @@ def q_onehot_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_time_split_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Spend before and after 12 from HH:mm text, invalid hours dropped."""
     ev = load(spark, sf, "events", ["ts", "value"])
     # Input as the dumps store it: time of day as HH:mm text.
     raw = ev.select(F.date_format("ts", "HH:mm").alias("time_text"), "value")
@@ -525,6 +569,7 @@ def q_time_split_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_bucket_scaffold(spark: SparkSession, sf: str) -> DataFrame:
+    """Means per size band from a 0-6 scaffold, empty bands kept."""
     part = load(spark, sf, "part", ["p_size", "p_retailprice"])
     p = part.select((F.col("p_size") / F.lit(10.0)).alias("size_10"), "p_retailprice", "p_size")
     out = join.bucket_scaffold(p, "size_10", ["p_retailprice", "p_size"], 0, 7, scale=2, label="size_band", fixed=2)
