@@ -19,6 +19,11 @@ from ..functions.numeric import mean, mean_of_parts, rounder, total
 from ..functions.predicates import any_known
 from .join import enrich
 
+# Winter months by hemisphere, and the labels of the split at noon.
+NORTH_WINTER = (12, 1, 2)
+SOUTH_WINTER = (6, 7, 8)
+NOON_LABELS = ("Before 12", "After 12")
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -116,7 +121,7 @@ def pivot_measure(df: DataFrame, key: str | list[str], pivot: str, values: list,
 
 
 def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], southern: Column,
-                  north_months: tuple[int, ...] = (12, 1, 2), south_months: tuple[int, ...] = (6, 7, 8),
+                  north_months: tuple[int, ...] = NORTH_WINTER, south_months: tuple[int, ...] = SOUTH_WINTER,
                   scale: int = 4, prefix: str = "avg_winter_", extra_keys: list[str] | None = None,
                   fixed: int | None = None) -> DataFrame:
     """Mean of measures over each entity's winter months, hemisphere-aware.
@@ -132,7 +137,7 @@ def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], s
 
 
 def time_split_sum(df: DataFrame, hour: str | Column, amount: str, split_hour: int = 12,
-                   labels: tuple[str, str] = ("Before 12", "After 12"), scale: int = 2,
+                   labels: tuple[str, str] = NOON_LABELS, scale: int = 2,
                    names: tuple[str, str] = ("period", "amt"), fixed: int | None = None) -> DataFrame:
     """Total amount before / after a split hour; hours outside 0-23 are invalid and dropped."""
     h = _c(hour)

@@ -12,6 +12,11 @@ from ..functions.numeric import safe_divide
 from ..functions.predicates import contains_text, known, matches, ordinal_position
 from .agg import share_of_total
 
+# The labels the source questions use for flags and scenarios.
+HIGH_RISK = "High Risk"
+MODERATE = "Moderate"
+SCENARIO_LABELS = ("baseline", "mitigated")
+
 
 def safe_ratio(df: DataFrame, num: str, den: str, keep: list[str], name: str = "ratio",
                scale: int | None = 4) -> DataFrame:
@@ -22,7 +27,7 @@ def safe_ratio(df: DataFrame, num: str, den: str, keep: list[str], name: str = "
 
 
 def flag_any(df: DataFrame, conditions: list[Column], keep: list[str], name: str = "health_flag",
-             hit: str = "High Risk", miss: str = "Moderate") -> DataFrame:
+             hit: str = HIGH_RISK, miss: str = MODERATE) -> DataFrame:
     """Label a row ``hit`` when any condition holds; unknown (NULL) tests count as false."""
     any_hit = None
     for c in conditions:
@@ -89,7 +94,7 @@ class ScenarioSpec:
     reduce_only_flagged: bool = True
     positive_base_only: bool = False
     ratio_first: bool = False
-    labels: tuple[str, str] = ("baseline", "mitigated")
+    labels: tuple[str, str] = SCENARIO_LABELS
 
 
 def _normalised(m: str, spec: ScenarioSpec) -> Column:

@@ -35,6 +35,8 @@ COHORT_B = ["brand#20", "brand#21", "brand#22", "brand#23", "brand#24"]
 EXCLUDED_WORDS = ["bolt", "ring", "rod", "Plate", "screw"]
 EXCLUDED_PATTERN = "bolt|ring|rod|Plate|screw"
 PRIORITY_ORDER = ["urgent", "high", "routine"]
+# The intervention classes of the source question, most urgent first.
+INTERVENTION_LABELS = ("priority for intervention", "consider intervention", "monitor")
 
 
 def _double(c: str) -> F.Column:
@@ -484,9 +486,10 @@ def q_profile_measure(spark: SparkSession, sf: str) -> DataFrame:
 def q_priority_class(spark: SparkSession, sf: str) -> DataFrame:
     """Q23e: rule classes over the per-customer mean, HAVING mean > 200 000."""
     per = _customer_mean_raw(spark, sf).filter(F.col("mean_price") > 200000)
-    rules = [((F.col("mean_price") > 275000) & (F.col("c_acctbal") < 0), "priority for intervention"),
-             ((F.col("mean_price") > 250000) & (F.col("c_acctbal") < 3000), "consider intervention")]
-    out = score.priority_class(per, rules, "monitor", name="intervention_priority")
+    first, second, default = INTERVENTION_LABELS
+    rules = [((F.col("mean_price") > 275000) & (F.col("c_acctbal") < 0), first),
+             ((F.col("mean_price") > 250000) & (F.col("c_acctbal") < 3000), second)]
+    out = score.priority_class(per, rules, default, name="intervention_priority")
     return out.select("c_custkey", "c_mktsegment", "c_acctbal",
                       F.round(F.col("mean_price"), 2).cast("double").alias("avg_o_totalprice"),
                       "intervention_priority").orderBy("intervention_priority", "c_acctbal", "c_custkey")
