@@ -12,8 +12,9 @@ from tabulant.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[*]", app_name="tabulant-tests", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tabulant-test-ckpt-"),
-                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tabulant-test-wh-")})
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tabulant-test-wh-")})
+    # spark.checkpoint.dir is read from the session's configuration; build_session sets a private
+    # folder only when none is configured (local runs).
     yield s
     s.stop()
 

@@ -33,3 +33,11 @@ def test_windowed_mean_with_watermark_matches_batch(spark, scratch):
     ev = spark.read.parquet(src).withColumn("window_start", F.window(F.col("ts").cast("timestamp"), "1 day").start)
     want = agg.mean_by(ev, ["window_start", "event_type"], ["value"], scale=4, fixed=2)
     assert rows(got, "window_start", "event_type", "avg_value") == rows(want)
+
+
+def test_single_file_source(spark, scratch):
+    stream = read_stream(spark, "/root/testdata/sf0.001/events.parquet")
+    out = os.path.join(scratch, "events_copy")
+    run_available(stream.select("event_id", "value"), out)
+    assert rows(spark.read.parquet(out)) == rows(spark.read.parquet("/root/testdata/sf0.001/events.parquet"),
+                                                  "event_id", "value")
