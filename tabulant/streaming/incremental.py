@@ -57,12 +57,15 @@ def run_available(df: DataFrame, sink: str | None = None, mode: str = "append",
                   query_name: str | None = None, checkpoint: str | None = None) -> StreamingQuery:
     """Process everything available now, then stop (``availableNow`` trigger).
 
-    The stream's checkpoint goes under the session's shared checkpoint folder
-    unless given, so a restarted job resumes where it stopped.  ``fmt='memory'``
-    with ``query_name`` keeps the result in an in-process table (tests).
+    Pass ``checkpoint`` (a folder on shared storage) to make the stream
+    resumable: a restarted job continues from the offsets recorded there.
+    Without it, each run gets a fresh folder under the session's shared
+    checkpoint folder, so an old run's offsets are never picked up by
+    mistake.  ``fmt='memory'`` with ``query_name`` keeps the result in an
+    in-process table (tests).
     """
     base = ensure_checkpoint_dir(df.sparkSession)
-    cp = checkpoint or os.path.join(base, "streams", query_name or uuid.uuid4().hex)
+    cp = checkpoint or os.path.join(base, "streams", f"{query_name or 'stream'}-{uuid.uuid4().hex}")
     writer = df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", cp).trigger(availableNow=True)
     if query_name:
         writer = writer.queryName(query_name)
