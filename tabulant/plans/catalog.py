@@ -6,8 +6,9 @@ from the library operators.  Where the reference stores numbers as text,
 the query first renders the needed columns as text with the kinds of marks
 the dumps contain; that only shapes the input, the cleaning itself is the
 operator's work.  Output columns are aliased to the names the oracle SQL
-uses; integer outputs are BIGINT and measures DOUBLE so the two sides carry
-the same schema.
+uses; computed integers are BIGINT and computed measures DOUBLE (columns
+passed through keep their stored types), so the two sides carry the same
+schema.
 """
 
 from __future__ import annotations
