@@ -5,23 +5,23 @@ from pyspark.sql import functions as F
 from tabulant.functions.clean import to_number
 from tabulant.sources.tables import load, read_text_table, register_views, write_table
 
-CSV = "MyUnknownColumn,item,calories\n0,Egg Muffin,300\n1,Double Burger, 550Â \n2,Water,\n"
+CSV = "unnamed_col,item,calories\n0,Egg Muffin,300\n1,Double Burger, 550Â \n2,Water,\n"
 
 
 def test_read_text_table_all_strings_and_named_unnamed_column(spark, scratch):
     path = os.path.join(scratch, "menu.csv")
     with open(path, "w", encoding="utf-8") as f:
         f.write(CSV)
-    df = read_text_table(spark, path, ["MyUnknownColumn", "item", "calories"])
+    df = read_text_table(spark, path, ["unnamed_col", "item", "calories"])
     assert all(t == "string" for _, t in df.dtypes)
     got = [r[0] for r in df.select(to_number("calories")).collect()]
     assert got == [300.0, 550.0, None]
 
 
 def test_quoted_identifier_and_current_database(spark, scratch):
-    df = spark.createDataFrame([(1, "40/50")], "ID int, agtron string")
-    df.createOrReplaceTempView("`top-rated-coffee`")
-    assert spark.sql("SELECT agtron FROM `top-rated-coffee`").collect()[0][0] == "40/50"
+    df = spark.createDataFrame([(1, "40/50")], "ID int, score_pair string")
+    df.createOrReplaceTempView("`top-rated-items`")
+    assert spark.sql("SELECT score_pair FROM `top-rated-items`").collect()[0][0] == "40/50"
     spark.catalog.setCurrentDatabase("default")
     assert spark.catalog.currentDatabase() == "default"
 
