@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean, to_fixed
-from .join import enrich
+from .join import enrich, stage_small
 
 
 def group_deviation(df: DataFrame, group: str, value: str, keep: list[str], scale: int = 0,
@@ -40,17 +40,29 @@ def group_zscore(df: DataFrame, group: str, value: str, keep: list[str], scale:
                  name: str = "zscore") -> DataFrame:
     """Group-level z-score ``(group mean - overall mean) / overall population sd`` on every row.
 
-    The overall mean and sd are a single scalar aggregate (a fixed two
-    numbers, whatever the input size), so they travel as literals instead of
-    a cross join; the group mean is joined back like ``group_deviation``.
+    One pass over the facts builds per-group (count, mean, population
+    variance); that small table is written once to the checkpoint folder.
+    The overall mean and sd are combined exactly from it (pooled mean, and
+    within- plus between-group sum of squares), which costs two tiny
+    aggregates instead of a second pass over the facts.  They travel as
+    literals rather than through a cross join.  The group mean is then
+    joined back, broadcast when the group table is proven small.
     """
-    mean, sd = overall_stats(df, value)
-    per = df.groupBy(group).agg(F.avg(F.col(value).cast("double")).alias("__gavg"))
-    joined = enrich(df.select(*keep, group), per, group, broadcast="staged")
-    if mean is None or not sd:
+    v = F.col(value).cast("double")
+    per = stage_small(df.groupBy(group).agg(F.count(v).alias("__n"), F.avg(v).alias("__gavg"),
+                                            F.var_pop(v).alias("__gvar")))
+    pooled = per.agg((F.sum(F.col("__n") * F.col("__gavg")) / F.sum("__n")).alias("m"),
+                     F.sum("__n").alias("n")).first()
+    mean, n = pooled["m"], pooled["n"]
+    if mean is None or not n:
         z = F.lit(None).cast("double")
     else:
-        z = F.round((F.col("__gavg") - F.lit(float(mean))) / F.lit(float(sd)), scale)
+        ss = per.agg(F.sum(F.col("__n") * F.col("__gvar")
+                           + F.col("__n") * F.pow(F.col("__gavg") - F.lit(float(mean)), 2)).alias("ss")).first()["ss"]
+        sd = (ss / n) ** 0.5 if ss is not None else None
+        z = (F.lit(None).cast("double") if not sd
+             else F.round((F.col("__gavg") - F.lit(float(mean))) / F.lit(float(sd)), scale))
+    joined = enrich(df.select(*keep, group), per.select(group, "__gavg"), group, broadcast="auto")
     return joined.select(*keep, group, z.alias(name))
 
 
