@@ -7,7 +7,7 @@ execution with partition coalescing and skew-join splitting, and no web UI.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,27 +61,25 @@ def build_session(master: str = "local[*]", app_name: str = "tabulant",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder the cluster names.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``, set at most once a session.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    and the session runs in local mode (tests, a laptop) is a private folder
-    created and registered; a cluster session without it is an error, since
+    ``setCheckpointDir`` makes a new folder on every call, so a folder that is
+    already set is kept.  Only a one-machine session without the setting gets
+    a private folder; a session with executors of its own must name one, since
     a machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
-    path = fallback or tempfile.mkdtemp(prefix="tabulant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+        configured = tempfile.mkdtemp(prefix="tabulant-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
