@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table_path
+from . import ann, line_dedup, mixing, sharding, simhash
 from . import fingerprint as fp
-from . import mixing, sharding
 from .common import stage, with_successor
 
 
@@ -21,6 +21,16 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf, name))
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """SimHash near-duplicates: 4-word shingles, links at 4 or fewer differing bits, the smallest id reachable."""
+    return simhash.near_duplicates(_table(spark, sf, "documents"), shingle=4, max_bits=4)
+
+
+def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest by cosine of every vector whose id is divisible by 50, among all others."""
+    return ann.nearest(_table(spark, sf, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Multiset fingerprints of every document and of its edited text, and their likeness to it and to the next."""
     docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -45,6 +55,19 @@ def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(fp.likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next"))
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: its lines, how many repeat an earlier line within 2 edits, and which (counted from 0)."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    repeats = line_dedup.duplicate_lines(docs, max_edits=2).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("line")).alias("repeated_lines"))  # no longer than the document
+    lines = docs.select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
+    empty = F.array().cast("array<int>")
+    return lines.join(repeats, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("repeated_lines"), F.lit(0)).cast("long").alias("n_repeated"),
+        F.coalesce("repeated_lines", empty).alias("repeated_lines"))
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes by sampled splitters."""
     placed = sharding.assign_shards(_table(spark, sf, "documents"), shards=40)
@@ -122,7 +145,10 @@ def mix_oracle(table: str, columns: str, tokens: str, percent: int, epochs: int,
 WORDS_SQL = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_nearest": op4_nearest,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
