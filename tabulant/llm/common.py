@@ -56,17 +56,20 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def with_successor(docs: DataFrame, id_col: str, text_col: str, out: str, blocks: int = 1024) -> DataFrame:
-    """Add ``out``: the text of the row with the next larger id (of the smallest id after the last), and ``out``_id.
-
-    Rows are dealt into ``blocks`` ranges of ids by approximate quantiles; the
-    head row of each range is copied to the end of the range before it, so one
-    window within ranges sees every successor and the texts are shuffled once.
-    Rows with equal ids follow each other in the order of their texts, NULL
-    ids come first, and the last row is followed by the smallest non-NULL id.
+def successor_blocks(docs: DataFrame, id_col: str, text_col: str, out: str, blocks: int = 1024) -> DataFrame:
+    """Deal rows into blocks of neighbouring ids and add ``out``: the text of the row with the next larger id.
+
+    Blocks are ``blocks`` ranges of ids by approximate quantiles; the head row
+    of each is copied to the end of the block before it (``__tail`` = 1; the
+    first to the last), so that a window within blocks sees every row's
+    successor, and ``lead`` over ``__row`` within ``__block`` sees what else is
+    derived of it.  The result is partitioned by ``__block``: grouping or
+    windows by it shuffle nothing more.  Rows with equal ids follow each other
+    in the order of their texts, NULL ids come first, and the last row is
+    followed by the smallest non-NULL id.
     """
-    i, t = F.col("__i"), F.col("__t")
-    rows = docs.select("*", F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("__t"))
+    i = F.col("__i")
+    rows = docs.withColumn("__i", F.col(id_col).cast("long"))
     cuts = rows.agg(F.percentile_approx(i, [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] or []
     rows = rows.withColumn("__b", range_of(i, sorted(set(cuts))).cast("int"))
     # At most `blocks` rows, a parameter: the window and the broadcast are bounded.
@@ -74,10 +77,11 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str, out: str, blocks
     last = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("__i", F.coalesce(F.lag("__b").over(Window.orderBy("__b")),
                                            F.last("__b").over(last)).alias("__to"))
-    places = F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("tail")),
-                     F.struct(F.col("__to").alias("b"), F.lit(1).alias("tail")))
-    dealt = (rows.join(F.broadcast(heads), "__i", "left")
-             .withColumn("__p", F.explode(F.when(F.col("__to").isNull(), F.slice(places, 1, 1)).otherwise(places))))
-    order = Window.partitionBy("__p.b").orderBy("__p.tail", "__i", "__t")
-    dealt = dealt.withColumn(out, F.lead("__t").over(order)).withColumn(f"{out}_id", F.lead("__i").over(order))
-    return dealt.filter("__p.tail = 0").select(*docs.columns, out, f"{out}_id")
+    place = lambda b, tail: F.struct(F.col(b).alias("__block"), F.lit(tail).alias("__tail"))
+    places = F.when(F.col("__to").isNull(), F.array(place("__b", 0))).otherwise(
+        F.array(place("__b", 0), place("__to", 1)))
+    # The text goes through the one shuffle once: block and tail are columns, so both windows share it.
+    dealt = rows.join(F.broadcast(heads), "__i", "left").select(*docs.columns, "__i", F.inline(places))
+    order = Window.partitionBy("__block").orderBy("__tail", "__i", text_col)
+    return dealt.select(*docs.columns, "__block", "__tail", F.row_number().over(order).alias("__row"),
+                        F.lead(text_col).over(order).alias(out))

@@ -8,13 +8,13 @@ tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table_path
 from . import ann, line_dedup, mixing, sharding, simhash
 from . import fingerprint as fp
-from .common import stage, with_successor
+from .common import stage, successor_blocks
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,23 +32,27 @@ def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Multiset fingerprints of every document and of its edited text, and their likeness to it and to the next."""
+    """Multiset fingerprints of every document and of its edited text, and their likeness to it and to the next.
+
+    The texts are shuffled once, into blocks of neighbouring ids; fingerprints
+    and the look at the next document's stay within those blocks.
+    """
     docs = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_successor(docs, "doc_id", "text", "next_text")
-    n = F.char_length("text")
-    docs = docs.withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 4)"),
-                                              F.expr("substring(next_text, 1, char_length(text) div 4)")))
-    both = docs.select("doc_id", "next_text_id", n.cast("long").alias("n_chars"),
-                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")),
-                                        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))))
-    # Keys identify a row: its id, which text it is, and what the digest needs of it.
-    prints = fp.fingerprint(both, ["doc_id", "next_text_id", "n_chars", "edited_sha256", "kind"], "body")
-    prints = stage(prints.groupBy("doc_id", "next_text_id", "n_chars", "edited_sha256").agg(
+    docs = successor_blocks(docs, "doc_id", "text", "next_text")
+    edited = F.expr("substring(text, 1, char_length(text) - char_length(text) div 4)"
+                    " || substring(next_text, 1, char_length(text) div 4)")
+    docs = docs.withColumn("edited", F.when(F.col("__tail") == 0, edited))
+    kinds = F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")),
+                             F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))),
+                     lambda k: k["body"].isNotNull())
+    row = ["__block", "__tail", "__row", "doc_id", "n_chars", "edited_sha256"]
+    both = docs.select("__block", "__tail", "__row", "doc_id", F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline(kinds))
+    prints = fp.fingerprint(both, [*row, "kind"], "body").groupBy(*row).agg(
         F.max(F.when(F.col("kind") == 0, F.col("lanes"))).alias("own"),
-        F.max(F.when(F.col("kind") == 1, F.col("lanes"))).alias("edited")), "op6-prints")
-    nxt = prints.select(F.col("doc_id").alias("next_text_id"), F.col("own").alias("next"))
-    return prints.join(nxt, "next_text_id", "left").select(
+        F.max(F.when(F.col("kind") == 1, F.col("lanes"))).alias("edited"))
+    follow = F.lead("own").over(Window.partitionBy("__block").orderBy("__row"))
+    return prints.withColumn("next", follow).filter("__tail = 0").select(
         "doc_id", "n_chars", "edited_sha256", fp.to_hex(F.col("own")).alias("fingerprint"),
         fp.to_hex(F.col("edited")).alias("edited_fingerprint"),
         fp.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
