@@ -8,11 +8,11 @@ tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table_path
-from . import ann, line_dedup, mixing, sharding, simhash
+from . import ann, line_dedup, mixing, pieces, pii, secrets, sharding, simhash, toxicity
 from . import fingerprint as fp
 from .common import stage, successor_blocks
 
@@ -26,11 +26,51 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"), shingle=4, max_bits=4)
 
 
+def secret_findings(docs: DataFrame) -> DataFrame:
+    """A stand-in for reviewed findings (doc_id, start, y): known formats and assigned credentials are secrets.
+
+    Of four fifths of the documents; the rest is held out.
+    """
+    found = secrets.candidates(docs)
+    known = F.col("value").rlike("^AKIA[0-9A-Z]{16}$") | F.col("before").isin("password", "token", "secret", "key")
+    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
+    return found.filter(~held_out).select(F.col("id").alias("doc_id"), "start", known.cast("int").alias("y"))
+
+
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate secret of every document, with the forest's score."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "source")
+    return secrets.scan(docs, secret_findings(docs))
+
+
+def op3_sentencepiece(spark: SparkSession, sf: str, model: str | None = None) -> DataFrame:
+    """Every document's piece ids, their number, and whether decoding them gives the text again."""
+    vocabulary = pieces.Vocabulary.load(model or pieces.default_model())
+    encoded = pieces.encode(_table(spark, sf, "documents"), vocabulary, check=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 nearest by cosine of every vector whose id is divisible by 50, among all others."""
     return ann.nearest(_table(spark, sf, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether labels of a document are kept from learning: crc32 of the id as text is divisible by 5."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels.filter(~held_out()))
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labels of documents that are not held out."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, _table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Multiset fingerprints of every document and of its edited text, and their likeness to it and to the next.
 
@@ -59,6 +99,17 @@ def op6_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(fp.likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next"))
 
 
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document: base spans by kind, and all spans with those the tagger adds."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    tagger = pii.train(pii.labelled_windows(docs))
+    found = pii.find(docs, tagger)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_text(F.concat("base", "added")).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Per document: its lines, how many repeat an earlier line within 2 edits, and which (counted from 0)."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -150,8 +201,12 @@ WORDS_SQL = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_nearest": op4_nearest,
+    "op5_toxicity": op5_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
