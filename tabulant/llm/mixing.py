@@ -31,11 +31,11 @@ def epoch_key(id_col: Column, epoch: Column, seed: int) -> Column:
 
 
 def _path(depth: int) -> Column:
-    return F.concat_ws("/", *[F.col(f"__m{k}") for k in range(depth)])
+    return F.concat_ws("/", *[F.col(f"__mix_m{k}") for k in range(depth)])
 
 
 def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
-    """Divide each parent's ``__b`` among its children: by weight, none over its ``__cap``, all of it used.
+    """Divide each parent's ``__mix_b`` among its children: by weight, none over its ``__mix_cap``, all of it used.
 
     Children in ascending order of cap / weight are full as long as their
     due share of what is left reaches their cap; the rest divide what remains.
@@ -43,57 +43,57 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """
     d = lambda c: F.col(c).cast(D)
     by = Window.partitionBy(*parent)
-    tight = by.orderBy(F.col("__cap") / F.col("__w"), "__path")
+    tight = by.orderBy(F.col("__mix_cap") / F.col("__mix_w"), "__mix_path")
     before = tight.rowsBetween(Window.unboundedPreceding, -1)
     onward = tight.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     zero = F.lit(0).cast(D)
-    nodes = (nodes.withColumn("__caps", F.coalesce(F.sum(d("__cap")).over(before), zero).cast(D))
-             .withColumn("__ws", F.sum(d("__w")).over(onward).cast(D))
-             .withColumn("__full", d("__cap") * F.col("__ws") <= d("__w") * (d("__b") - F.col("__caps"))))
-    open_w = F.when(F.col("__full"), zero).otherwise(d("__w"))
-    upto = by.orderBy("__path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nodes = (nodes.withColumn("__left", (d("__b") - F.sum(F.when(F.col("__full"), d("__cap")).otherwise(zero))
+    nodes = (nodes.withColumn("__mix_caps", F.coalesce(F.sum(d("__mix_cap")).over(before), zero).cast(D))
+             .withColumn("__mix_ws", F.sum(d("__mix_w")).over(onward).cast(D))
+             .withColumn("__mix_full", d("__mix_cap") * F.col("__mix_ws") <= d("__mix_w") * (d("__mix_b") - F.col("__mix_caps"))))
+    open_w = F.when(F.col("__mix_full"), zero).otherwise(d("__mix_w"))
+    upto = by.orderBy("__mix_path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nodes = (nodes.withColumn("__mix_left", (d("__mix_b") - F.sum(F.when(F.col("__mix_full"), d("__mix_cap")).otherwise(zero))
                                          .over(by)).cast(D))
-             .withColumn("__cum", F.sum(open_w).over(upto).cast(D)).withColumn("__all", F.sum(open_w).over(by).cast(D)))
-    exact = lambda c: F.expr(f"cast(__left * ({c}) as {D}) div __all")
-    got = F.when(F.col("__full"), F.col("__cap")).otherwise(exact("__cum") - exact(f"__cum - cast(__w as {D})"))
-    return nodes.withColumn("__got", got.cast("long"))
+             .withColumn("__mix_cum", F.sum(open_w).over(upto).cast(D)).withColumn("__mix_all", F.sum(open_w).over(by).cast(D)))
+    exact = lambda c: F.expr(f"cast(__mix_left * ({c}) as {D}) div __mix_all")
+    got = F.when(F.col("__mix_full"), F.col("__mix_cap")).otherwise(exact("__mix_cum") - exact(f"__mix_cum - cast(__mix_w as {D})"))
+    return nodes.withColumn("__mix_got", got.cast("long"))
 
 
 def leaf_budgets(leaves: DataFrame, depth: int, weights: DataFrame | None, budget: int, max_epochs: int) -> DataFrame:
     """Token budget of every leaf.
 
-    ``leaves``: ``__m0 .. __m<depth-1>`` and ``__tokens`` of each leaf;
+    ``leaves``: ``__mix_m0 .. __mix_m<depth-1>`` and ``__mix_tokens`` of each leaf;
     ``weights``: ``path`` (labels joined by ``/``) and ``weight`` (a positive
     integer), 1 where absent, a leaf or inner node of weight 0 takes nothing.
     """
-    caps = leaves.withColumn("__cap", F.col("__tokens") * F.lit(max_epochs))
-    names = [f"__m{k}" for k in range(depth)]
+    caps = leaves.withColumn("__mix_cap", F.col("__mix_tokens") * F.lit(max_epochs))
+    names = [f"__mix_m{k}" for k in range(depth)]
     levels = []
     for k in range(1, depth + 1):
-        nodes = caps.groupBy(*names[:k]).agg(F.sum("__cap").alias("__cap")).withColumn("__path", _path(k))
+        nodes = caps.groupBy(*names[:k]).agg(F.sum("__mix_cap").alias("__mix_cap")).withColumn("__mix_path", _path(k))
         if weights is not None:
-            nodes = nodes.join(weights.select(F.col("path").alias("__path"),
-                                              F.col("weight").cast("long").alias("__w")), "__path", "left")
-            nodes = nodes.withColumn("__w", F.coalesce("__w", F.lit(1)).cast("long"))
+            nodes = nodes.join(weights.select(F.col("path").alias("__mix_path"),
+                                              F.col("weight").cast("long").alias("__mix_w")), "__mix_path", "left")
+            nodes = nodes.withColumn("__mix_w", F.coalesce("__mix_w", F.lit(1)).cast("long"))
         else:
-            nodes = nodes.withColumn("__w", F.lit(1).cast("long"))
+            nodes = nodes.withColumn("__mix_w", F.lit(1).cast("long"))
         levels.append(nodes)
     # What a subtree can use: nothing below a weight of 0.
     for k in range(depth - 1, -1, -1):
-        usable = levels[k].withColumn("__cap", F.when(F.col("__w") > 0, F.col("__cap")).otherwise(0))
+        usable = levels[k].withColumn("__mix_cap", F.when(F.col("__mix_w") > 0, F.col("__mix_cap")).otherwise(0))
         if k + 1 < depth:
-            below = levels[k + 1].groupBy(*names[:k + 1]).agg(F.sum("__cap").alias("__sub"))
+            below = levels[k + 1].groupBy(*names[:k + 1]).agg(F.sum("__mix_cap").alias("__mix_sub"))
             usable = (usable.join(below, names[:k + 1])
-                      .withColumn("__cap", F.least("__cap", "__sub")).drop("__sub"))
-        levels[k] = usable.filter("__cap > 0")
+                      .withColumn("__mix_cap", F.least("__mix_cap", "__mix_sub")).drop("__mix_sub"))
+        levels[k] = usable.filter("__mix_cap > 0")
     top = Window.partitionBy(F.lit(1))  # over the first level's nodes
-    nodes = levels[0].withColumn("__b", F.least(F.lit(int(budget)), F.sum("__cap").over(top)).cast("long"))
-    out = _share(nodes.withColumn("__top", F.lit(0)), ["__top"])
+    nodes = levels[0].withColumn("__mix_b", F.least(F.lit(int(budget)), F.sum("__mix_cap").over(top)).cast("long"))
+    out = _share(nodes.withColumn("__mix_top", F.lit(0)), ["__mix_top"])
     for k in range(1, depth):
-        parents = out.select(*names[:k], F.col("__got").alias("__b"))
+        parents = out.select(*names[:k], F.col("__mix_got").alias("__mix_b"))
         out = _share(levels[k].join(parents, names[:k]), names[:k])
-    return out.select(*names, F.col("__got").alias("__budget"))
+    return out.select(*names, F.col("__mix_got").alias("__mix_budget"))
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame | None = None, budget: int | None = None,
@@ -115,43 +115,43 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame | None =
     rows are taken one by one.
     """
     depth = len(levels)
-    names = [f"__m{k}" for k in range(depth)]
+    names = [f"__mix_m{k}" for k in range(depth)]
     tokens = F.col(tokens_col) if tokens_col else count_tokens(F.col(text_col))
-    keyed = docs.select("*", tokens.alias("__t"), *[
+    keyed = docs.select("*", tokens.alias("__mix_t"), *[
         F.coalesce(c.cast("string"), F.lit(ABSENT)).alias(n) for n, c in zip(names, levels.values())])
-    lean = keyed.select(F.col(id_col).alias("__id"), "__t", *names)
+    lean = keyed.select(F.col(id_col).alias("__mix_id"), "__mix_t", *names)
     if not tokens_col:
         lean = stage(lean, "mix-tokens")
-    leaves = stage(lean.groupBy(*names).agg(F.sum("__t").alias("__tokens")), "mix-leaves")
+    leaves = stage(lean.groupBy(*names).agg(F.sum("__mix_t").alias("__mix_tokens")), "mix-leaves")
     if budget is None:
-        total = leaves.agg(F.sum("__tokens")).first()[0] or 0
+        total = leaves.agg(F.sum("__mix_tokens")).first()[0] or 0
         budget = total * budget_percent // 100
     plan = leaf_budgets(leaves, depth, weights, budget, max_epochs).join(leaves, names)
-    plan = stage(plan.select(*names, "__budget", F.expr("cast(__budget div __tokens as int)").alias("__whole"),
-                             F.expr("__budget % __tokens").alias("__rest")), "mix-plan")
-
-    bucket = F.substring("__key", 1, 3)
-    key = epoch_key(F.col("__id"), F.col("__whole"), seed)
-    cut = (lean.join(plan, names).withColumn("__key", key).groupBy(*names, "__rest", bucket.alias("__k"))
-           .agg(F.sum("__t").alias("__s")))
-    upto = Window.partitionBy(*names).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (cut.withColumn("__c", F.sum("__s").over(upto)).filter("__c > __rest")
-           .groupBy(*names).agg(F.min(F.struct("__k", (F.col("__c") - F.col("__s")).alias("__c"))).alias("__cut")))
-    plan = stage(plan.join(cut, names).select(*names, "__whole", "__rest", F.col("__cut.__k").alias("__cut_key"),
-                                              F.col("__cut.__c").alias("__cut_at")), "mix-cuts")
-
-    taken = (keyed.withColumn("__id", F.col(id_col)).join(plan, names).withColumn("__key", key)
-             .withColumn("__k", bucket))
-    whole = F.when(F.col("__whole") > 0, F.sequence(F.lit(0), F.col("__whole") - 1)).otherwise(
+    plan = stage(plan.select(*names, "__mix_budget", F.expr("cast(__mix_budget div __mix_tokens as int)").alias("__mix_whole"),
+                             F.expr("__mix_budget % __mix_tokens").alias("__mix_rest")), "mix-plan")
+
+    bucket = F.substring("__mix_key", 1, 3)
+    key = epoch_key(F.col("__mix_id"), F.col("__mix_whole"), seed)
+    cut = (lean.join(plan, names).withColumn("__mix_key", key).groupBy(*names, "__mix_rest", bucket.alias("__mix_k"))
+           .agg(F.sum("__mix_t").alias("__mix_s")))
+    upto = Window.partitionBy(*names).orderBy("__mix_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (cut.withColumn("__mix_c", F.sum("__mix_s").over(upto)).filter("__mix_c > __mix_rest")
+           .groupBy(*names).agg(F.min(F.struct("__mix_k", (F.col("__mix_c") - F.col("__mix_s")).alias("__mix_c"))).alias("__mix_cut")))
+    plan = stage(plan.join(cut, names).select(*names, "__mix_whole", "__mix_rest", F.col("__mix_cut.__mix_k").alias("__mix_cut_key"),
+                                              F.col("__mix_cut.__mix_c").alias("__mix_cut_at")), "mix-cuts")
+
+    taken = (keyed.withColumn("__mix_id", F.col(id_col)).join(plan, names).withColumn("__mix_key", key)
+             .withColumn("__mix_k", bucket))
+    whole = F.when(F.col("__mix_whole") > 0, F.sequence(F.lit(0), F.col("__mix_whole") - 1)).otherwise(
         F.array().cast("array<int>"))
-    prefix = F.when((F.col("__k") < F.col("__cut_key")) & (F.col("__rest") > 0), F.array(F.col("__whole"))).otherwise(
+    prefix = F.when((F.col("__mix_k") < F.col("__mix_cut_key")) & (F.col("__mix_rest") > 0), F.array(F.col("__mix_whole"))).otherwise(
         F.array().cast("array<int>"))
     cols = [F.col(c) for c in docs.columns]
     clear = taken.select(*cols, F.explode(F.concat(whole, prefix)).alias(epoch_out))
-    order = Window.partitionBy(*names).orderBy("__key", "__t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (taken.filter((F.col("__k") == F.col("__cut_key")) & (F.col("__rest") > 0))
-            .withColumn("__upto", F.sum("__t").over(order) + F.col("__cut_at")).filter("__upto <= __rest")
-            .select(*cols, F.col("__whole").alias(epoch_out)))
+    order = Window.partitionBy(*names).orderBy("__mix_key", "__mix_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = (taken.filter((F.col("__mix_k") == F.col("__mix_cut_key")) & (F.col("__mix_rest") > 0))
+            .withColumn("__mix_upto", F.sum("__mix_t").over(order) + F.col("__mix_cut_at")).filter("__mix_upto <= __mix_rest")
+            .select(*cols, F.col("__mix_whole").alias(epoch_out)))
     return clear.unionByName(edge)
 
 

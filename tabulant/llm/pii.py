@@ -308,8 +308,10 @@ def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
 
 def span_text(spans) -> F.Column:
     """``kind:start:end`` of spans, comma-joined, by kind in the order of ``KINDS`` and then start."""
-    of = lambda k: F.array_sort(F.transform(F.filter(spans, lambda s: s["kind"] == k),
-                                            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    parts = [F.transform(of(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string")))
-             for k in KINDS]
-    return F.array_join(F.concat(*parts), ",")
+
+    def of(kind: str):
+        places = F.array_sort(F.transform(F.filter(spans, lambda s: s["kind"] == kind),
+                                          lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+        return F.transform(places, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*[of(k) for k in KINDS]), ",")
