@@ -42,18 +42,35 @@ def safe_divide(num: str | Column, den: str | Column) -> Column:
 def to_units(c: str | Column, decimals: int = 2) -> Column:
     """A fixed-point value as a whole number of ``10^-decimals`` units (``long``).
 
-    Rounds half away from zero on the stored double, so a value that carries
-    at most ``decimals`` digits maps to its exact unit count; primitive
-    arithmetic keeps the per-row work inside generated code.
+    Rounds half away from zero on the stored double: a value that carries at
+    most ``decimals`` digits maps to its exact unit count, further digits are
+    rounded away.  Primitive arithmetic keeps the per-row work inside
+    generated code.
     """
     col = _col(c).cast("double")
     f = F.lit(float(10 ** decimals))
     return (F.signum(col) * F.floor(F.abs(col) * f + F.lit(0.5))).cast("long")
 
 
+LOW_BITS = 20  # of a unit count; sums of the rest and of these bits each stay far inside a long
+
+
 def unit_sum(c: str | Column, decimals: int = 2) -> Column:
-    """Aggregate: the ``long`` total of a fixed-point column's unit counts (exact, primitive)."""
-    return F.sum(to_units(c, decimals))
+    """Aggregate: the exact total of a fixed-point column's unit counts, as ``DECIMAL(38, 0)``.
+
+    High and low bits are summed apart as primitive ``long`` values and put
+    together once per group, so totals beyond the range of a ``long`` are
+    exact too (up to 2**43 rows).
+    """
+    return units_total(to_units(c, decimals))
+
+
+def units_total(units: str | Column) -> Column:
+    """Aggregate: the exact total of ``long`` unit counts, as ``DECIMAL(38, 0)``."""
+    u = _col(units)
+    high, low = F.sum(F.shiftright(u, LOW_BITS)), F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+    return (high.cast("decimal(28,0)") * F.lit(1 << LOW_BITS).cast("decimal(8,0)") + low.cast("decimal(28,0)")
+            ).cast("decimal(38,0)")
 
 
 def units_to_fixed(total_units: str | Column, decimals: int = 2) -> Column:
@@ -71,8 +88,8 @@ def units_mean(total_units: str | Column, count: str | Column, decimals: int = 2
 def fixed_sum(c: str | Column, decimals: int = 2) -> Column:
     """Exact sum of a fixed-point column, as ``DECIMAL(38, decimals)`` (aggregate).
 
-    Sums ``long`` units, so the per-row work avoids big-decimal arithmetic;
-    only the final value is converted.
+    Sums units as ``long`` halves, so the per-row work avoids big-decimal
+    arithmetic; only the final value is converted.
     """
     return units_to_fixed(unit_sum(c, decimals), decimals)
 
@@ -80,8 +97,8 @@ def fixed_sum(c: str | Column, decimals: int = 2) -> Column:
 def fixed_mean(c: str | Column, decimals: int = 2) -> Column:
     """Exact mean of a fixed-point column at six decimals, halves away from zero (aggregate).
 
-    Equal to ``AVG(CAST(c AS DECIMAL(p, decimals)))``: the unit total (a
-    ``long`` sum) is divided once per group in decimal; NULL for no rows.
+    Equal to ``AVG(CAST(c AS DECIMAL(p, decimals)))``: the unit total is
+    divided once per group in decimal; NULL for no rows.
     """
     return units_mean(unit_sum(c, decimals), F.count(_col(c)), decimals)
 

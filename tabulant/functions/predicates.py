@@ -48,8 +48,3 @@ def any_known(cols: list[str | Column]) -> Column:
 def ordinal_position(c: str | Column, values: list) -> Column:
     """1-based position of ``c`` in a fixed list, 0 when absent (SQL ``FIELD``)."""
     return F.array_position(F.array(*[F.lit(v) for v in values]), _col(c))
-
-
-def in_months(month: str | Column, months: list[int]) -> Column:
-    """Month number belongs to a season's month set."""
-    return _col(month).isin(*months)

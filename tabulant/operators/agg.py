@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import floor_half_up, mean, percent_of, total
+from ..functions.numeric import floor_half_up, mean, percent_of, total, units_mean
 
 
 def _c(c: str | Column) -> Column:
@@ -143,18 +143,23 @@ def cohort_compare(df: DataFrame, key: str, cohorts: dict[str, list], measures:
 
 def tier_summary(per_entity: DataFrame, tier: Column, measures: dict[str, str], count_name: str = "n_entities",
                  tier_name: str = "tier", scale: int = 2, minmax: str | None = None,
-                 distinct_key: str | None = None, fixed: int | None = None) -> DataFrame:
+                 distinct_key: str | None = None, fixed: int | None = None,
+                 pre: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Classify entities into tiers and summarise each tier.
 
     ``per_entity`` holds one row per entity (or, for the fan-out form, one
     row per joined fact with ``distinct_key`` naming the entity).  Output:
     tier, entity count (distinct when ``distinct_key``), mean of each
-    measure (``{out: col}``) and, for ``minmax``, its min and max.
+    measure (``{out: col}``) and, for ``minmax``, its min and max.  ``pre`` is
+    for facts summed per entity before the join: for each output (fixed-point
+    units, count of values) of a row, from which the means over all joined
+    facts are exact.
     """
     t = per_entity.withColumn(tier_name, tier)
     cnt = F.count_distinct(F.col(distinct_key)) if distinct_key else F.count(F.lit(1))
     aggs = [cnt.alias(count_name)]
     aggs += [F.round(mean(src, fixed), scale).alias(out) for out, src in measures.items()]
+    aggs += [F.round(units_mean(F.sum(u), F.sum(n), fixed), scale).alias(out) for out, (u, n) in (pre or {}).items()]
     if minmax:
         aggs += [F.round(F.min(F.col(minmax)), scale).alias(f"min_{minmax}"),
                  F.round(F.max(F.col(minmax)), scale).alias(f"max_{minmax}")]

@@ -1,93 +1,22 @@
-"""Enrichment joins, the bucket scaffold, and the size-checked broadcast.
-
-Broadcast policy: a side is hinted for broadcast only after one aggregate
-over ``limit(max_rows + 1)`` proves it has at most ``max_rows`` rows and at
-most ``max_bytes`` of data (string lengths measured, fixed widths counted).
-That check is cheap on a scan (it stops after ``max_rows + 1`` rows); a
-side that is itself an aggregate is first written once to the shared
-checkpoint folder (``stage_small``) so the check and the join read the same
-materialised rows instead of aggregating twice.  Otherwise the join is left
-to the planner (sort-merge / shuffled hash), where AQE can still switch to
-broadcast from runtime sizes and split skewed partitions of the large side.
+"""Enrichment joins, distinct unions and the bucket scaffold.
+
+Join sides are left to the planner: it broadcasts a side whose statistics are
+below ``autoBroadcastJoinThreshold``, and adaptive execution switches to a
+broadcast or splits skewed partitions from the sizes it sees at run time.
+Nothing here probes a side or hints by row count, so building a query runs no
+job and the plan does not depend on the data of the day.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.numeric import mean
-from ..session import cut_lineage
-
-DEFAULT_BROADCAST_ROWS = 1_000_000
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-# Bytes per value of fixed-width types (as Spark sizes them in rows).
-_FIXED_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
-                T.FloatType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
-                T.DecimalType: 16}
-
-
-def _row_bytes(df: DataFrame):
-    """Per-row size: measured bytes of strings and binaries, fixed widths for everything else."""
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + F.lit(8))
-        else:
-            parts.append(F.lit(_FIXED_WIDTH.get(type(f.dataType), 8)))
-    total = F.lit(0)
-    for p in parts:
-        total = total + p
-    return total.cast("long")
-
-
-def row_bound(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and at most ``max_bytes`` of data.
-
-    One aggregate over ``limit(max_rows + 1)``: it never reads more than
-    ``max_rows + 1`` rows, however large ``df`` is.
-    """
-    probe = df.limit(max_rows + 1)
-    if max_bytes is None:
-        return probe.count() <= max_rows
-    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` if its rows and bytes are proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if row_bound(df, max_rows, max_bytes) else df
-
-
-def stage_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Materialise an aggregated side once (reliable checkpoint), then broadcast it if proven small.
-
-    The checkpoint lives in the cluster's shared ``spark.checkpoint.dir``, so
-    the rows survive executor loss and are not recomputed by the join.
-    """
-    return bounded_broadcast(cut_lineage(df), max_rows)
-
-
-def _side(df: DataFrame, broadcast: str, max_rows: int) -> DataFrame:
-    if broadcast == "checked":
-        return bounded_broadcast(df, max_rows)
-    if broadcast == "staged":
-        return stage_small(df, max_rows)
-    if broadcast == "auto":
-        return df
-    raise ValueError(f"broadcast must be 'checked', 'staged' or 'auto', not {broadcast!r}")
 
 
 def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on: str | list[str] | None = None,
-           how: str = "inner", case_insensitive: bool = False, broadcast: str = "checked",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+           how: str = "inner", case_insensitive: bool = False) -> DataFrame:
     """Attach dimension attributes to fact rows by equality of keys.
 
     ``how='inner'`` drops unmatched facts (lookup + unwind), ``'left'`` keeps
@@ -96,19 +25,12 @@ def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on:
     are compared through ``lower()`` helper columns, which keeps the join a
     plain hash equi-join.  A key repeated in ``dim`` fans the fact row out,
     exactly as SQL does.
-
-    ``broadcast``: ``'checked'`` (default) hints ``dim`` only after its rows
-    and bytes are proven small -- meant for dimension scans; ``'staged'``
-    first writes an aggregated ``dim`` to the checkpoint folder, then checks;
-    ``'auto'`` leaves the choice to the planner and AQE, for sides that grow
-    with the data.
     """
     lk = [left_on] if isinstance(left_on, str) else list(left_on)
     rk = lk if right_on is None else ([right_on] if isinstance(right_on, str) else list(right_on))
     renamed = [f"__rk{i}" for i in range(len(rk))]
     key_cols = [(F.lower(F.col(k)) if case_insensitive else F.col(k)).alias(t) for k, t in zip(rk, renamed)]
     right = dim.select(*key_cols, *[c for c in dim.columns if c not in rk])
-    right = _side(right, broadcast, max_rows)
     cond = None
     for lcol, tmp in zip(lk, renamed):
         left_key = F.lower(fact[lcol]) if case_insensitive else fact[lcol]
@@ -118,14 +40,48 @@ def enrich(fact: DataFrame, dim: DataFrame, left_on: str | list[str], right_on:
     return out.drop(*renamed)
 
 
-def semi_match(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str | None = None,
-               broadcast: str = "auto", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def forget_partitioning(df: DataFrame) -> DataFrame:
+    """The same rows and partitions (no shuffle), but the planner no longer knows by what they are partitioned.
+
+    For an aggregate that is joined back to facts on its grouping key: known
+    to be partitioned by it, it would meet the facts without an exchange of its
+    own, and adaptive execution then cannot split a hot key of the facts.
+    Shuffling the short side again is what makes that split possible.
+    """
+    return df.coalesce(1 << 20)
+
+
+def semi_match(fact: DataFrame, dim: DataFrame, left_on: str, right_on: str | None = None) -> DataFrame:
     """Fact rows that have at least one match in ``dim`` (non-empty lookup)."""
     rk = right_on or left_on
-    keys = _side(dim.select(F.col(rk).alias("__k")).distinct(), broadcast, max_rows)
+    keys = forget_partitioning(dim.select(F.col(rk).alias("__k")).distinct())
     return fact.join(keys, fact[left_on] == keys["__k"], "left_semi")
 
 
+def fanout_sum(fact: DataFrame, dim: DataFrame, key: str, unit_cols: list[str], dim_keys: list[str]) -> DataFrame:
+    """Sums of fact columns per ``dim_keys`` over a many-to-many join on ``key``, without the joined rows.
+
+    A key that ``dim`` repeats multiplies every matching fact, as the join
+    would.  Facts are summed per key first and dimension rows counted per
+    (key, ``dim_keys``), so the join meets each key once per combination and a
+    hot key costs one row.  ``n_rows`` counts the rows the join would have.
+    """
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in unit_cols]
+    facts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    dims = dim.groupBy(F.col(key).alias("__k"), *dim_keys).agg(F.count(F.lit(1)).alias("__m"))
+    both = facts.join(dims, facts[key] == dims["__k"])
+    times = [F.sum((F.col(c) * F.col("__m")).cast("decimal(38,0)")).alias(c) for c in unit_cols]
+    return both.groupBy(*dim_keys).agg(F.sum(F.col("__n") * F.col("__m")).alias("n_rows"), *times)
+
+
+def distinct_union(*parts: DataFrame) -> DataFrame:
+    """The distinct rows of all parts (SQL ``UNION``): each is made distinct map-side before the one shuffle."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def bucket_scaffold(df: DataFrame, value: str, measures: list[str], start: int, stop: int,
                     width: float = 1.0, scale: int = 2, label: str = "bucket",
                     prefix: str = "avg_", fixed: int | None = None) -> DataFrame:

@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean, mean_of_parts, rounder, total
+from ..functions.numeric import mean, mean_of_parts, rounder, total, units_mean
 from ..functions.predicates import any_known
-from .join import enrich
+from .join import enrich, forget_partitioning
 
 # Winter months by hemisphere, and the labels of the split at noon.
 NORTH_WINTER = (12, 1, 2)
@@ -61,7 +61,8 @@ def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[s
 
     ``by='period'``: calendar window -- rows whose period is at least the
     entity's latest period minus ``n - 1`` (gaps shorten the window).
-    ``by='rows'``: the entity's last ``n`` rows by period (gaps do not).
+    ``by='rows'``: the entity's last ``n`` rows by period (gaps do not); of
+    rows of one period those with the larger measures count as later.
 
     For ``by='period'`` the entity's latest period is, by default, a
     partial/final aggregate joined back (safe however many rows an entity
@@ -71,14 +72,14 @@ def last_n_periods_avg(df: DataFrame, entity: str, period: str, measures: list[s
     grouping reuses that partitioning -- one shuffle instead of three.
     """
     if by == "rows":
-        w = Window.partitionBy(entity).orderBy(F.col(period).desc())
+        w = Window.partitionBy(entity).orderBy(F.col(period).desc(), *[F.col(m).desc_nulls_last() for m in measures])
         kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
     elif by == "period" and bounded_groups:
         latest = F.max(period).over(Window.partitionBy(entity))
         kept = df.withColumn("__latest", latest).filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
     elif by == "period":
         latest = df.groupBy(entity).agg(F.max(period).alias("__latest"))
-        kept = enrich(df, latest, entity, broadcast="auto").filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
+        kept = enrich(df, forget_partitioning(latest), entity).filter(F.col(period) >= F.col("__latest") - F.lit(n - 1))
     else:
         raise ValueError("by must be 'rows' or 'period'")
     aggs = [F.count(F.lit(1)).alias(count_name)]
@@ -123,16 +124,20 @@ def pivot_measure(df: DataFrame, key: str | list[str], pivot: str, values: list,
 def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], southern: Column,
                   north_months: tuple[int, ...] = NORTH_WINTER, south_months: tuple[int, ...] = SOUTH_WINTER,
                   scale: int = 4, prefix: str = "avg_winter_", extra_keys: list[str] | None = None,
-                  fixed: int | None = None) -> DataFrame:
+                  fixed: int | None = None, pre: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Mean of measures over each entity's winter months, hemisphere-aware.
 
     ``southern`` is a boolean column per row; northern rows count Dec-Feb,
-    southern rows Jun-Aug (the month sets are parameters).
+    southern rows Jun-Aug (the month sets are parameters).  ``pre`` is for
+    rows that are already sums: for each measure (fixed-point units, count of
+    values) columns of a row, so that facts can be aggregated before they are
+    joined to the attributes, and the means stay exact.
     """
     south = F.coalesce(southern, F.lit(False))
     in_season = (south & F.col(month).isin(*south_months)) | (~south & F.col(month).isin(*north_months))
     keys = [entity] + list(extra_keys or [])
-    aggs = [F.round(mean(m, fixed), scale).alias(f"{prefix}{m}") for m in measures]
+    of = lambda m: (units_mean(F.sum(pre[m][0]), F.sum(pre[m][1]), fixed) if pre else mean(m, fixed))
+    aggs = [F.round(of(m), scale).alias(f"{prefix}{m}") for m in measures]
     return df.filter(in_season).groupBy(*keys).agg(*aggs)
 
 

@@ -6,64 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import row_sum
-from ..session import cut_lineage
-from .join import bounded_broadcast, stage_small
+from .join import forget_partitioning
 
 
-def profile_dupes(df: DataFrame, key: str,
-                  names: tuple[str, str, str] = ("n_rows", "n_distinct", "n_surplus"),
-                  hash_prefilter: bool = False, hash_fn=None) -> DataFrame:
+def digest_of(*keys: str) -> Column:
+    """SHA-256 of the keys' text (lengths included, so that parts cannot run together); NULL if any is NULL."""
+    parts = [F.concat(F.char_length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")) for k in keys]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+
+
+def profile_dupes(df: DataFrame, key: str, names: tuple[str, str, str] = ("n_rows", "n_distinct", "n_surplus"),
+                  digest: bool = False) -> DataFrame:
     """Rows, distinct (non-null) key values, and surplus copies, as one row.
 
-    Plain form: one aggregate with ``count_distinct`` (every distinct key is
-    shuffled once).  ``hash_prefilter`` is for wide keys such as whole texts:
-    rows are counted per 64-bit key hash (8 bytes shuffled per row, combined
-    map-side, written once to the checkpoint folder); the number of distinct
-    hashes is exact unless two keys share a hash, so only rows whose hash
-    repeats have their whole keys compared, and each further distinct key
-    inside one hash adds one.  ``hash_fn`` (default ``xxhash64``) exists so
-    tests can force collisions.
+    With ``digest``, for wide keys such as whole texts, SHA-256 digests are
+    counted in place of the keys: 32 bytes are shuffled for each distinct key.
     """
-    if not hash_prefilter:
-        return df.agg(F.count(F.lit(1)).alias(names[0]),
-                      F.count_distinct(F.col(key)).alias(names[1])).select(
-            names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
-    h = (hash_fn or F.xxhash64)(F.col(key))
-    per_h = cut_lineage(df.select(h.alias("__h"), F.col(key).isNotNull().alias("__nn"))
-                        .groupBy("__h", "__nn").agg(F.count(F.lit(1)).alias("__c")))
-    totals = per_h.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("bigint").alias("__rows"),
-                       F.count_if("__nn").cast("bigint").alias("__hashes"), F.lit(0).cast("bigint").alias("__extra"))
-    dup_h = bounded_broadcast(per_h.filter(F.col("__nn") & (F.col("__c") > 1)).select("__h"))
-    cand = df.filter(F.col(key).isNotNull()).select(h.alias("__h"), key).join(dup_h, "__h", "left_semi")
-    extra = (cand.distinct().groupBy("__h").agg((F.count(F.lit(1)) - 1).alias("__e"))
-             .agg(F.lit(0).cast("bigint").alias("__rows"), F.lit(0).cast("bigint").alias("__hashes"),
-                  F.coalesce(F.sum("__e"), F.lit(0)).cast("bigint").alias("__extra")))
-    both = totals.unionByName(extra).agg(F.sum("__rows").alias(names[0]),
-                                         (F.sum("__hashes") + F.sum("__extra")).alias(names[1]))
-    return both.select(names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
-
-
-def rows_of_duplicate_keys(df: DataFrame, key: str | list[str], hash_prefilter: bool = False,
-                           max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    counted = df.select((digest_of(key) if digest else F.col(key)).alias("__k"))
+    out = counted.agg(F.count(F.lit(1)).alias(names[0]), F.count_distinct("__k").alias(names[1]))
+    return out.select(names[0], names[1], (F.col(names[0]) - F.col(names[1])).alias(names[2]))
+
+
+def rows_of_duplicate_keys(df: DataFrame, key: str | list[str], digest: bool = False) -> DataFrame:
     """Every row whose key occurs more than once (``IN (… HAVING COUNT(*) > 1)``).
 
     The duplicated keys come from a partial/final count; rows are then kept
     with a left-semi join, which AQE can split if one key is hot.
 
-    ``hash_prefilter`` is for wide keys such as whole document texts: a first
-    pass counts 64-bit hashes of the key (8 bytes shuffled per row, combined
-    map-side), rows whose hash repeats are kept by a semi-join on the hash
-    (broadcast when that hash set is proven small), and only those
-    candidates go through the exact key comparison.  A hash collision can
-    only add candidates, never drop a duplicate, so the result is exact.
+    With ``digest``, for wide keys such as whole texts, both the count and the
+    join are on SHA-256 digests: the count shuffles 32 bytes for each distinct
+    key of a task, and rows with their texts are shuffled once, by the join,
+    whatever the number of duplicates.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if hash_prefilter:
-        h = F.xxhash64(*[F.col(k) for k in keys]).alias("__h")
-        dup_h = df.select(h).groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select("__h")
-        df = df.withColumn("__h", h).join(stage_small(dup_h, max_broadcast_rows), "__h", "left_semi").drop("__h")
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*keys)
-    return df.join(dup, keys, "left_semi")
+    on = ["__digest"] if digest else keys
+    rows = df.withColumn("__digest", digest_of(*keys)) if digest else df
+    dup = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*on)
+    return rows.join(forget_partitioning(dup), on, "left_semi").select(*df.columns)
 
 
 def dedupe_clean(df: DataFrame, exclude: Column | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean, to_fixed
-from .join import enrich, stage_small
+from .join import enrich, forget_partitioning
 
 
 def group_deviation(df: DataFrame, group: str, value: str, keep: list[str], scale: int = 0,
@@ -16,54 +16,31 @@ def group_deviation(df: DataFrame, group: str, value: str, keep: list[str], scal
                     fixed: int | None = None) -> DataFrame:
     """Each row's value, its group mean, and the absolute distance between them.
 
-    The group mean is a partial/final aggregate, written once to the
-    checkpoint folder and joined back on the group key (broadcast when that
-    table is proven small, else a shuffle join that AQE splits for hot
-    groups) -- not a window over raw rows.
+    The group mean is a partial/final aggregate joined back on the group key,
+    where AQE can broadcast the short side or split a hot group -- not a
+    window over raw rows.
     """
     v = F.col(value) if fixed is None else to_fixed(value, fixed)
-    per = df.groupBy(group).agg(mean(value, fixed).alias("__gavg"))
-    joined = enrich(df.select(*keep, group, v.alias("__v")), per, group, broadcast="staged")
+    per = forget_partitioning(df.groupBy(group).agg(mean(value, fixed).alias("__gavg")))
+    joined = enrich(df.select(*keep, group, v.alias("__v")), per, group)
     return joined.select(*keep, group,
                          F.round(F.col("__gavg"), scale).alias(avg_name),
                          F.round(F.abs(F.col("__v") - F.col("__gavg")), scale).alias(delta_name))
 
 
-def overall_stats(df: DataFrame, value: str) -> tuple[float | None, float | None]:
-    """Mean and population std-dev of a column: one aggregate, one row back to the driver."""
-    v = F.col(value).cast("double")
-    row = df.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).first()
-    return row["m"], row["s"]
-
-
 def group_zscore(df: DataFrame, group: str, value: str, keep: list[str], scale: int = 3,
                  name: str = "zscore") -> DataFrame:
     """Group-level z-score ``(group mean - overall mean) / overall population sd`` on every row.
 
-    One pass over the facts builds per-group (count, mean, population
-    variance); that small table is written once to the checkpoint folder.
-    The overall mean and sd are combined exactly from it (pooled mean, and
-    within- plus between-group sum of squares), which costs two tiny
-    aggregates instead of a second pass over the facts.  They travel as
-    literals rather than through a cross join.  The group mean is then
-    joined back, broadcast when the group table is proven small.
+    The group means and the overall mean and sd are partial/final aggregates;
+    the overall pair are scalar subqueries of the same plan (one row each),
+    so nothing runs until the result is asked for.
     """
     v = F.col(value).cast("double")
-    per = stage_small(df.groupBy(group).agg(F.count(v).alias("__n"), F.avg(v).alias("__gavg"),
-                                            F.var_pop(v).alias("__gvar")))
-    pooled = per.agg((F.sum(F.col("__n") * F.col("__gavg")) / F.sum("__n")).alias("m"),
-                     F.sum("__n").alias("n")).first()
-    mean, n = pooled["m"], pooled["n"]
-    if mean is None or not n:
-        z = F.lit(None).cast("double")
-    else:
-        ss = per.agg(F.sum(F.col("__n") * F.col("__gvar")
-                           + F.col("__n") * F.pow(F.col("__gavg") - F.lit(float(mean)), 2)).alias("ss")).first()["ss"]
-        sd = (ss / n) ** 0.5 if ss is not None else None
-        z = (F.lit(None).cast("double") if not sd
-             else F.round((F.col("__gavg") - F.lit(float(mean))) / F.lit(float(sd)), scale))
-    joined = enrich(df.select(*keep, group), per.select(group, "__gavg"), group, broadcast="auto")
-    return joined.select(*keep, group, z.alias(name))
+    per = forget_partitioning(df.groupBy(group).agg(F.avg(v).alias("__gavg")))
+    overall = df.agg(F.avg(v).alias("m"), F.nullif(F.stddev_pop(v), F.lit(0.0)).alias("s"))
+    z = F.round((F.col("__gavg") - overall.select("m").scalar()) / overall.select("s").scalar(), scale)
+    return enrich(df.select(*keep, group), per.select(group, z.alias(name)), group).select(*keep, group, name)
 
 
 def corr_pair(df: DataFrame, x: str, y: str, keys: list[str] | None = None, scale: int = 6,

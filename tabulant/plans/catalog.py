@@ -2,10 +2,11 @@
 
 Each function takes ``(spark, sf_dir)``, reads whole tables (only the columns
 it needs, so the parquet scan is pruned) and returns a lazy DataFrame built
-from the library operators.  Where the reference stores numbers as text,
-the query first renders the needed columns as text with the kinds of marks
-the dumps contain; that only shapes the input, the cleaning itself is the
-operator's work.  Output columns are aliased to the names the oracle SQL
+from the library operators: no Spark job runs while it is built.  Where the
+reference stores numbers as text, the query first renders the needed columns
+as text with the dirt the dumps contain (NULL, blanks, junk, thousands commas,
+stray marks, impossible hours), by a rule on the key; that only shapes the
+input, the cleaning itself is the operator's work.  Output columns are aliased to the names the oracle SQL
 uses; computed integers are BIGINT and computed measures DOUBLE (columns
 passed through keep their stored types), so the two sides carry the same
 schema.
@@ -18,8 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import onehot_label, parse_dmy, parse_hour, split_pair, to_number, id_from_prefixed
-from ..functions.numeric import (fixed_mean, fixed_sum, floor_half_up, format_fixed, unit_sum, units_mean,
+from ..functions.clean import (coalesce_existing, id_from_prefixed, onehot_label, parse_dmy, parse_hour, split_pair,
+                               to_number)
+from ..functions.numeric import (fixed_mean, fixed_sum, floor_half_up, format_fixed, to_units, unit_sum, units_mean,
                                  units_to_fixed)
 from ..functions.predicates import contains_text, exclude_both, matches, ordinal_position
 from ..operators import agg, join, panel, rank, score, shape, stats
@@ -36,14 +38,20 @@ COHORT_B = ["brand#20", "brand#21", "brand#22", "brand#23", "brand#24"]
 EXCLUDED_WORDS = ["bolt", "ring", "rod", "Plate", "screw"]
 EXCLUDED_PATTERN = "bolt|ring|rod|Plate|screw"
 PRIORITY_ORDER = ["urgent", "high", "routine"]
-# The intervention classes of the source question, most urgent first.
-INTERVENTION_LABELS = ("priority for intervention", "consider intervention", "monitor")
+# The classes of the rule query, most urgent first.
+ACTION_LABELS = ("act now", "review", "watch")
 
 
 def _double(c: str) -> F.Column:
     return F.col(c).cast("double")
 
 
+def _repeated(c: str, times: str) -> tuple[F.Column, F.Column]:
+    """Fixed-point units and count of a value that stands for ``times`` joined rows."""
+    units = to_units(c).cast("decimal(19,0)") * F.col(times).cast("decimal(18,0)")
+    return units, F.when(F.col(c).isNotNull(), F.col(times))
+
+
 # --- Q1: first -> last period change -------------------------------------------------
 def q_first_last_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Q1: each customer's order value at its first and last order date and the change (half-up)."""
@@ -158,13 +166,13 @@ def q_flag_any(spark: SparkSession, sf: str) -> DataFrame:
 def q_profile_dupes(spark: SparkSession, sf: str) -> DataFrame:
     """Rows, distinct texts and surplus copies of the documents."""
     docs = load(spark, sf, "documents", ["text"])
-    return shape.profile_dupes(docs, "text", hash_prefilter=True)
+    return shape.profile_dupes(docs, "text", digest=True)
 
 
 def q_rows_of_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Every document whose whole text occurs more than once."""
     docs = load(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
-    return shape.rows_of_duplicate_keys(docs, "text", hash_prefilter=True).orderBy("doc_id")
+    return shape.rows_of_duplicate_keys(docs, "text", digest=True).orderBy("doc_id")
 
 
 def _doc_exclusion() -> F.Column:
@@ -184,11 +192,15 @@ def q_dedupe_project(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_filter_nor(spark: SparkSession, sf: str) -> DataFrame:
-    """Q11 (document form): the $nor exclusion with a case-sensitive regex."""
+    """Q11 (document form): the $nor exclusion with a case-sensitive regex; unknown names and types are kept."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type"])
+    key = F.col("p_partkey")
+    # Input as the dumps store it: some types and names are missing.
+    raw = part.select("p_partkey", F.when(key % 10 != 3, F.col("p_name")).alias("p_name"),
+                      F.when(key % 6 != 0, F.col("p_type")).alias("p_type"))
     # The pipeline form: case-sensitive regex inside $nor (rows with an unknown test are kept).
     cond = exclude_both(matches("p_name", "bolt"), F.col("p_type") == "SMALL", keep_null=True)
-    return part.filter(cond).orderBy("p_partkey")
+    return raw.filter(cond).orderBy("p_partkey")
 
 
 def _clean_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,15 +255,16 @@ def q_seasonal_mean(spark: SparkSession, sf: str) -> DataFrame:
     nation = load(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = load(spark, sf, "region", ["r_regionkey", "r_name"])
     geo = join.enrich(nation, region, "n_regionkey", "r_regionkey")
-    # Only the six winter months of either hemisphere can count: filter before the join.
-    o = (orders.withColumn("o_month", F.month("o_orderdate"))
-         .filter(F.col("o_month").isin(12, 1, 2, 6, 7, 8))
-         .select("o_custkey", "o_month", "o_totalprice"))
-    facts = join.enrich(o, cust, "o_custkey", "c_custkey", broadcast="auto")
-    facts = join.enrich(facts, geo, "c_nationkey", "n_nationkey")
+    # Only the six winter months of either hemisphere can count, and at most six rows a customer meet the attributes.
+    o = (orders.select("o_custkey", F.month("o_orderdate").alias("o_month"), "o_totalprice")
+         .filter(F.col("o_month").isin(12, 1, 2, 6, 7, 8)).groupBy("o_custkey", "o_month")
+         .agg(unit_sum("o_totalprice").alias("price_units"), F.count("o_totalprice").alias("n_prices"),
+              F.count(F.lit(1)).alias("n_orders")))
+    facts = join.enrich(join.enrich(o, cust, "o_custkey", "c_custkey"), geo, "c_nationkey", "n_nationkey")
     winter = panel.seasonal_mean(facts, "n_name", "o_month", ["o_totalprice", "c_acctbal"],
-                                 southern=F.col("r_name").isin(*SOUTHERN_REGIONS), scale=4,
-                                 extra_keys=["r_name"], fixed=2)
+                                 southern=F.col("r_name").isin(*SOUTHERN_REGIONS), scale=4, extra_keys=["r_name"], fixed=2,
+                                 pre={"o_totalprice": (F.col("price_units"), F.col("n_prices")),
+                                      "c_acctbal": _repeated("c_acctbal", "n_orders")})
     total = F.col("avg_winter_o_totalprice") + F.col("avg_winter_c_acctbal")
     return winter.select("n_name", "r_name", _double("avg_winter_o_totalprice").alias("avg_winter_o_totalprice"),
                          _double("avg_winter_c_acctbal").alias("avg_winter_c_acctbal"),
@@ -264,7 +277,7 @@ def _long_run_mean(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     per = (orders.groupBy("o_custkey")
            .agg(F.round(fixed_mean("o_totalprice"), 2).cast("double").alias("avg_order_value")))
-    return join.enrich(cust, per, "c_custkey", "o_custkey", broadcast="auto")
+    return join.enrich(cust, per, "c_custkey", "o_custkey")
 
 
 def q_enrich(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +294,7 @@ def q_semi_match(spark: SparkSession, sf: str) -> DataFrame:
     """Q17 (document form): customers with at least one matching order (non-empty lookup)."""
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderstatus"]).filter(F.col("o_orderstatus") == "P")
-    return join.semi_match(cust, orders, "c_custkey", "o_custkey", broadcast="auto").orderBy("c_custkey")
+    return join.semi_match(cust, orders, "c_custkey", "o_custkey").orderBy("c_custkey")
 
 
 # --- Q17 / Q21: correlation -----------------------------------------------------------------
@@ -299,10 +312,15 @@ def q_corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q18: variation index ----------------------------------------------------------------
 def q_variation_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Q18: sample std-devs of four measures per supplier, their mean, joined to attributes."""
-    li = load(spark, sf, "lineitem", ["l_suppkey"] + LINE_MEASURES)
+    """Q18: sample std-devs of four measures per supplier, their mean over those known, joined to attributes."""
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_suppkey"] + LINE_MEASURES)
     sup = load(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
-    var = panel.variation_index(li, "l_suppkey", LINE_MEASURES, skip_null=True, scale=6, require_any=True)
+    # Input as the dumps store it: measures are missing here and there, and altogether for some suppliers.
+    known = {m: F.col("l_suppkey") % 17 != 0 for m in LINE_MEASURES}
+    known["l_quantity"] = known["l_quantity"] & (F.col("l_orderkey") % 5 != 0)
+    known["l_tax"] = known["l_tax"] & (F.col("l_suppkey") % 13 != 0)
+    raw = li.select("l_suppkey", *[F.when(known[m], F.col(m)).alias(m) for m in LINE_MEASURES])
+    var = panel.variation_index(raw, "l_suppkey", LINE_MEASURES, skip_null=True, scale=6, require_any=True)
     out = join.enrich(var, sup, "l_suppkey", "s_suppkey")
     return out.orderBy("variation_index", F.col("s_acctbal").desc())
 
@@ -364,9 +382,9 @@ def q_share_of_total(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Q21b: row totals ----------------------------------------------------------------------
 def q_row_total(spark: SparkSession, sf: str) -> DataFrame:
-    """Line measures with their row total, newest ship year first."""
-    li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"] + LINE_MEASURES)
-    out = shape.row_total(li, LINE_MEASURES, "row_total")
+    """One supplier's line measures with their row total, newest ship year first."""
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"] + LINE_MEASURES)
+    out = shape.row_total(li.filter(F.col("l_suppkey") == 7), LINE_MEASURES, "row_total")
     return out.select("l_orderkey", "l_linenumber", F.year("l_shipdate").cast("bigint").alias("ship_year"),
                       *LINE_MEASURES, "row_total").orderBy(F.col("ship_year").desc(), "l_orderkey", "l_linenumber")
 
@@ -386,8 +404,12 @@ def q_enrich_row_total(spark: SparkSession, sf: str) -> DataFrame:
 def q_clean_zero_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Lines in two return flags whose text-stored tax cleans to exactly 0."""
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_tax"])
-    # Input as the dumps store it: the tax as text wrapped in stray marks.
-    raw = li.withColumn("tax_text", F.concat(F.lit(" "), F.col("l_tax").cast("string"), F.lit("Â")))
+    # Input as the dumps store it: the tax as text, wrapped in stray marks, or missing, blank or junk.
+    k, tax = F.col("l_orderkey") % 11, F.col("l_tax").cast("string")
+    text = (F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, "   ").when(k == 3, "n/a")
+            .when(k == 4, F.concat(F.lit("0,00"), tax)).when(k == 5, F.concat(F.lit("\u00a0"), tax))
+            .otherwise(F.concat(F.lit(" "), tax, F.lit("Â"))))
+    raw = li.withColumn("tax_text", text)
     out = score.clean_zero_filter(raw, "l_returnflag", ["A", "N"], "tax_text")
     return out.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice").orderBy(
         F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
@@ -396,7 +418,12 @@ def q_clean_zero_filter(spark: SparkSession, sf: str) -> DataFrame:
 def q_multi_threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Q22c (SQL form): typed thresholds plus NOT LIKE word exclusions."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
-    raw = part.withColumn("price_text", F.concat(format_fixed("p_retailprice", 2), F.lit(" Â")))
+    # Input as the dumps store it: prices as text, with thousands commas and marks, or missing, blank or junk; some names missing.
+    k, price = F.col("p_partkey") % 7, format_fixed("p_retailprice", 2)
+    text = (F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, "unknown")
+            .when(k == 3, format_fixed(F.col("p_retailprice") + 1000, 2)).when(k == 5, F.concat(F.lit("0,"), price))
+            .otherwise(F.concat(price, F.lit(" Â"))))
+    raw = part.withColumns({"price_text": text, "p_name": F.when(F.col("p_partkey") % 10 != 9, F.col("p_name"))})
     conds = [to_number("price_text") <= 950.0, F.col("p_size") > 15, F.col("p_size") < 40]
     out = score.multi_threshold_filter(raw.filter(F.col("p_type").isin("STANDARD", "SMALL", "MEDIUM")),
                                        conds, "p_name", EXCLUDED_WORDS)
@@ -407,7 +434,11 @@ def q_multi_threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
 def q_multi_threshold_regex(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline form of the screen: typed thresholds and one case-insensitive ``$not $regex``."""
     part = load(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"])
-    raw = part.withColumn("price_text", F.concat(F.lit(" "), F.col("p_retailprice").cast("string")))
+    # Input as the dumps store it: the price as text, or blank, junk or missing.
+    k = F.col("p_partkey") % 5
+    text = (F.when(k == 0, "  ").when(k == 1, "12.5.7").when(k == 2, F.lit(None))
+            .otherwise(F.concat(F.lit(" "), F.col("p_retailprice").cast("string"))))
+    raw = part.withColumn("price_text", text)
     conds = [F.col("p_type").isin("STANDARD", "SMALL", "MEDIUM"), to_number("price_text") <= 950.0,
              F.col("p_size") > 15, F.col("p_size") < 40]
     out = score.multi_threshold_filter(raw, conds, "p_name", exclude_regex=EXCLUDED_PATTERN)
@@ -420,25 +451,41 @@ def _customer_period_mean(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     facts = orders.select("o_custkey", F.year("o_orderdate").alias("o_year"), "o_totalprice")
+    # Input as the dumps store it: some segments are empty, missing or blank.
+    k = F.col("c_custkey") % 8
+    cust = cust.withColumn("c_mktsegment", F.when(k == 0, "").when(k == 1, F.lit(None)).when(k == 2, "  ")
+                           .otherwise(F.col("c_mktsegment")))
     return panel.period_mean_enrich(cust, facts, "c_custkey", "o_custkey", "o_year", 1996, 2000, ["o_totalprice"],
                                     ["c_name", "c_mktsegment", "c_acctbal"], require=["c_mktsegment"], scale=2,
                                     fixed=2)
 
 
 def q_period_mean_enrich(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer attributes with the mean order value over 1996-2000."""
+    """Customer attributes with the mean order value over 1996-2000; customers without a segment are left out."""
     out = _customer_period_mean(spark, sf)
     return out.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal",
                       _double("avg_o_totalprice").alias("avg_o_totalprice")).orderBy(
         F.col("c_acctbal").desc(), "c_custkey")
 
 
+def q_period_mean_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """Q23a on text years: the range '1996' to '2000' compares as text, so a year with a trailing blank sorts after it."""
+    cust = load(spark, sf, "customer", ["c_custkey", "c_name"])
+    orders = load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    # Input as the dumps store it: the year as text, some with a blank behind.
+    year = F.concat(F.date_format("o_orderdate", "yyyy"), F.when(F.col("o_orderkey") % 13 == 0, " ").otherwise(""))
+    facts = orders.select("o_custkey", year.alias("year_text"), "o_totalprice")
+    out = panel.period_mean_enrich(cust, facts, "c_custkey", "o_custkey", "year_text", "1996", "2000",
+                                   ["o_totalprice"], ["c_name"], scale=2, fixed=2, lexical=True)
+    return out.select("c_custkey", "c_name", _double("avg_o_totalprice").alias("avg_o_totalprice")).orderBy("c_custkey")
+
+
 def _customer_mean_raw(spark: SparkSession, sf: str) -> DataFrame:
     cust = load(spark, sf, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
     per = (orders.filter(F.year("o_orderdate").between(1996, 2000))
            .groupBy("o_custkey").agg(fixed_mean("o_totalprice").alias("mean_price")))
-    return join.enrich(cust, per, "c_custkey", "o_custkey", broadcast="auto")
+    return join.enrich(cust, per, "c_custkey", "o_custkey")
 
 
 def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -457,17 +504,18 @@ def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tier_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    """Q23d: balance tiers over the customer-orders join (fan-out kept, distinct count)."""
+    """Q23d: balance tiers over the customer-orders join (fan-out kept, distinct count), orders summed before it."""
     cust = load(spark, sf, "customer", ["c_custkey", "c_acctbal"])
     orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_totalprice"])
-    lo_b, hi_b = 2000.0, 6000.0
-    tiered = cust.withColumn("tier", score.classify([(F.col("c_acctbal") > hi_b, "high balance"),
-                                                     (F.col("c_acctbal").between(lo_b, hi_b), "medium balance")],
-                                                    "low balance"))
-    o = orders.filter(F.year("o_orderdate").between(1996, 2000)).select("o_custkey", "o_totalprice")
-    joined = join.enrich(tiered, o, "c_custkey", "o_custkey", broadcast="auto")
-    out = agg.tier_summary(joined, F.col("tier"), {"avg_c_acctbal": "c_acctbal", "avg_o_totalprice": "o_totalprice"},
-                           distinct_key="c_custkey", scale=2, fixed=2)
+    tiered = cust.withColumn("tier", score.classify([(F.col("c_acctbal") > 6000.0, "upper"),
+                                                     (F.col("c_acctbal") >= 2000.0, "middle")], "lower"))
+    o = (orders.filter(F.year("o_orderdate").between(1996, 2000)).groupBy("o_custkey")
+         .agg(unit_sum("o_totalprice").alias("price_units"), F.count("o_totalprice").alias("n_prices"),
+              F.count(F.lit(1)).alias("n_orders")))
+    joined = join.enrich(tiered, o, "c_custkey", "o_custkey")
+    out = agg.tier_summary(joined, F.col("tier"), {}, distinct_key="c_custkey", scale=2, fixed=2,
+                           pre={"avg_c_acctbal": _repeated("c_acctbal", "n_orders"),
+                                "avg_o_totalprice": (F.col("price_units"), F.col("n_prices"))})
     out = out.select("tier", "n_entities", _double("avg_c_acctbal").alias("avg_c_acctbal"),
                      _double("avg_o_totalprice").alias("avg_o_totalprice"))
     return out.orderBy(F.col("avg_c_acctbal").desc())
@@ -487,13 +535,13 @@ def q_profile_measure(spark: SparkSession, sf: str) -> DataFrame:
 def q_priority_class(spark: SparkSession, sf: str) -> DataFrame:
     """Q23e: rule classes over the per-customer mean, HAVING mean > 200 000."""
     per = _customer_mean_raw(spark, sf).filter(F.col("mean_price") > 200000)
-    first, second, default = INTERVENTION_LABELS
+    first, second, default = ACTION_LABELS
     rules = [((F.col("mean_price") > 275000) & (F.col("c_acctbal") < 0), first),
              ((F.col("mean_price") > 250000) & (F.col("c_acctbal") < 3000), second)]
-    out = score.priority_class(per, rules, default, name="intervention_priority")
+    out = score.priority_class(per, rules, default, name="action")
     return out.select("c_custkey", "c_mktsegment", "c_acctbal",
                       F.round(F.col("mean_price"), 2).cast("double").alias("avg_o_totalprice"),
-                      "intervention_priority").orderBy("intervention_priority", "c_acctbal", "c_custkey")
+                      "action").orderBy("action", "c_acctbal", "c_custkey")
 
 
 # --- IA: counts, sums, labels, time split, buckets, 4-table top-k -------------------------------
@@ -565,10 +613,12 @@ def q_onehot_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_time_split_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Spend before and after 12 from HH:mm text, invalid hours dropped."""
-    ev = load(spark, sf, "events", ["ts", "value"])
-    # Input as the dumps store it: time of day as HH:mm text.
-    raw = ev.select(F.date_format("ts", "HH:mm").alias("time_text"), "value")
-    out = panel.time_split_sum(raw, parse_hour("time_text"), "value", fixed=2)
+    ev = load(spark, sf, "events", ["event_id", "ts", "value"])
+    # Input as the dumps store it: time of day as text, with hours from 24 on, below 0, junk, blanks and gaps.
+    k = F.col("event_id") % 9
+    text = (F.when(k == 0, F.lit(None)).when(k == 1, "").when(k == 2, "25:10").when(k == 3, "24:00").when(k == 4, "ab:cd")
+            .when(k == 5, F.date_format("ts", "H:mm")).when(k == 6, "-3:10").otherwise(F.date_format("ts", "HH:mm")))
+    out = panel.time_split_sum(ev.select(text.alias("time_text"), "value"), parse_hour("time_text"), "value", fixed=2)
     return out.select("period", _double("amt").alias("amt")).orderBy("amt")
 
 
@@ -585,7 +635,8 @@ def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
     The order date arrives as ``d/m/Y`` text; it is parsed once per order,
     before the order is joined to its (several) line items.  The customer is
-    matched through the number behind the ``Customer#`` prefix of its name.
+    matched through the number behind the ``Customer#`` prefix of its name;
+    customer and supplier keys are unique.
     Output is sorted by month number, which is not itself returned.
     """
     li = load(spark, sf, "lineitem", ["l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"])
@@ -595,18 +646,21 @@ def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
     raw_orders = orders.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "d/M/yyyy").alias("date_text"))
     o = raw_orders.select("o_orderkey", "o_custkey", F.month(parse_dmy("date_text")).cast("bigint").alias("month_no"))
     c = cust.select(id_from_prefixed("c_name", 9).alias("c_key"), "c_custkey", "c_mktsegment")
-    facts = join.enrich(li, o, "l_orderkey", "o_orderkey", broadcast="auto")
-    facts = join.enrich(facts, c, "o_custkey", "c_key", broadcast="auto")
-    facts = join.enrich(facts, sup, "l_suppkey", "s_suppkey")
-    # Totals stay long unit counts (cents) through the ranking; decimals are made for the survivors only.
-    aggregated = facts.groupBy("month_no", "c_custkey", "l_suppkey", "c_mktsegment", "s_name").agg(
+    facts = join.enrich(li, o, "l_orderkey", "o_orderkey")
+    # Narrow keys and sums only go through the shuffles; totals are decimals of whole cents.
+    aggregated = facts.groupBy("month_no", "o_custkey", "l_suppkey").agg(
         unit_sum("l_discount").alias("disc_units"), F.count(F.lit(1)).alias("trans_amt"),
         unit_sum("l_extendedprice").alias("money_units"))
+    # Rows without a customer or a supplier go before the ranking, as the inner joins would have it.
+    aggregated = join.enrich(aggregated, c.select("c_key", "c_custkey"), "o_custkey", "c_key")
+    aggregated = join.semi_match(aggregated, sup, "l_suppkey", "s_suppkey")
     ranked = rank.top_k_per_group(aggregated, ["month_no"], [F.col("money_units").desc(), F.col("c_custkey"),
                                                              F.col("l_suppkey")], 3)
     ranked = ranked.withColumns({"avg_disc": units_mean("disc_units", "trans_amt"),
                                  "total_money": units_to_fixed("money_units")})
-    # Attributes that are functions of the grouping keys are derived on the few ranked rows.
+    # Attributes are attached to the few ranked rows.
+    ranked = join.enrich(ranked, c.select("c_custkey", "c_mktsegment"), "c_custkey")
+    ranked = join.enrich(ranked, sup, "l_suppkey", "s_suppkey")
     month_name = F.upper(F.date_format(F.make_date(F.lit(2000), F.col("month_no").cast("int"), F.lit(1)), "MMM"))
     s_prefix, _ = split_pair(F.col("s_name"), "#")
     out = ranked.select(month_name.alias("trans_month"), "c_custkey", "l_suppkey", "c_mktsegment",
@@ -617,6 +671,41 @@ def q_top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return out.orderBy("month_no", "rank_no").drop("month_no")
 
 
+def q_fanout_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Money per segment over a many-to-many join on a derived key, whose customer side repeats every key."""
+    orders = load(spark, sf, "orders", ["o_custkey", "o_totalprice"])
+    cust = load(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    # Input as the dumps store it: the store of a sale as a prefixed id, several customers to a store.
+    raw = orders.select(F.concat(F.lit("STORE-"), F.col("o_custkey") % 97).alias("store_text"), "o_totalprice")
+    fact = raw.select(id_from_prefixed("store_text", 6).alias("store"), to_units("o_totalprice").alias("money_units"))
+    dim = cust.select((F.col("c_custkey") % 97).alias("store"), "c_mktsegment")
+    out = join.fanout_sum(fact, dim, "store", ["money_units"], ["c_mktsegment"])
+    return out.select("c_mktsegment", "n_rows", units_to_fixed("money_units").cast("double").alias("total_money")).orderBy(
+        "c_mktsegment")
+
+
+def q_distinct_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct (nation, in debt) pairs of two sources (UNION without ALL)."""
+    cust = load(spark, sf, "customer", ["c_nationkey", "c_acctbal"])
+    sup = load(spark, sf, "supplier", ["s_nationkey", "s_acctbal"])
+    return join.distinct_union(
+        cust.select(F.col("c_nationkey").alias("nationkey"), (F.col("c_acctbal") < 0).cast("string").alias("in_debt")),
+        sup.select(F.col("s_nationkey").alias("nationkey"), (F.col("s_acctbal") < 0).cast("string").alias("in_debt"))
+    ).orderBy("nationkey", "in_debt")
+
+
+def q_coalesce_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Key drift: customers per segment, where two dumps name the same key differently and some rows lack it."""
+    cust = load(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    # Input as the dumps store it: one key per dump, missing in every tenth row of the second.
+    one = cust.filter(F.col("c_custkey") % 2 == 1).select(F.col("c_mktsegment").alias("Segment"))
+    two = cust.filter(F.col("c_custkey") % 2 == 0).select(
+        F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("mkt_segment"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    named = both.select(coalesce_existing(both, ["Segment", "mkt_segment", "seg"]).alias("segment"))
+    return agg.count_by(named, ["segment"], name="n_customers").orderBy("segment")
+
+
 QUERIES: dict[str, Query] = {
     "first_last_delta": q_first_last_delta,
     "first_last_delta_half_even": q_first_last_delta_half_even,
@@ -670,4 +759,8 @@ QUERIES: dict[str, Query] = {
     "time_split_sum": q_time_split_sum,
     "bucket_scaffold": q_bucket_scaffold,
     "top_k_per_group": q_top_k_per_group,
+    "period_mean_lexical": q_period_mean_lexical,
+    "fanout_sum": q_fanout_sum,
+    "distinct_union": q_distinct_union,
+    "coalesce_drift": q_coalesce_drift,
 }

@@ -64,11 +64,9 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> None:
-    """Expose the driver tables to ``spark.sql`` under their own names."""
+    """Expose the driver tables to ``spark.sql`` under their own names; a missing table is Spark's error."""
     for name in names:
-        path = table_path(sf_dir, name)
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+        spark.read.parquet(table_path(sf_dir, name)).createOrReplaceTempView(name)
 
 
 def text_schema(columns: list[str]) -> T.StructType:

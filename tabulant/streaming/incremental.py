@@ -20,21 +20,18 @@ from ..functions.numeric import mean
 from ..session import ensure_checkpoint_dir
 
 
-def read_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1, single_file: bool = False) -> DataFrame:
     """Stream parquet with the schema of the data already there.
 
-    ``path`` is a folder (new files arriving there are picked up) or a single
-    file; a file source streams folders, so a file is read as its folder
-    filtered to that file name.
+    ``path`` is a folder (new files arriving there are picked up).  A file
+    source streams folders, so with ``single_file`` a path to one file is read
+    as its folder filtered to that name.
     """
-    existing = spark.read.parquet(path)
-    reader = spark.readStream.schema(existing.schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    files = existing.inputFiles()
-    if len(files) == 1 and files[0].rstrip("/").rsplit("/", 1)[-1] == name:
-        folder = path.rstrip("/").rsplit("/", 1)[0] or "/"
-        return reader.option("pathGlobFilter", name).parquet(folder)
-    return reader.parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if not single_file:
+        return reader.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder or "/")
 
 
 def windowed_mean(stream: DataFrame, ts: str, window: str, watermark: str, keys: list[str],

@@ -20,24 +20,18 @@ def test_enrich_fans_out_on_repeated_dimension_key(spark):
     assert join.enrich(fact, dim, "cid").count() == 2
 
 
-def test_bounded_broadcast_checks_size(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert join.row_bound(small, 10) and not join.row_bound(big, 999)
-    fact = spark.range(100).withColumnRenamed("id", "k")
-    hinted = fact.join(join.bounded_broadcast(small.withColumnRenamed("id", "k"), 10), "k")
-    plain = fact.join(join.bounded_broadcast(big.withColumnRenamed("id", "k"), 10), "k")
-    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_bounded_broadcast_checks_bytes_too(spark):
-    wide = spark.range(50).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 10_000).alias("blob"))
-    assert join.row_bound(wide, 100, max_bytes=1_000_000)          # 50 rows x ~10 KB = ~0.5 MB
-    assert not join.row_bound(wide, 100, max_bytes=100_000)        # rows are few, bytes are not
-    fact = spark.range(10).withColumnRenamed("id", "k")
-    plan = fact.join(join.bounded_broadcast(wide, 100, max_bytes=100_000), "k")._jdf.queryExecution()
-    assert "broadcast" not in plan.analyzed().toString().lower()
+def test_fanout_sum_equals_the_join(spark):
+    fact = spark.createDataFrame([(1, 5), (1, 7), (2, 11), (3, 13), (None, 17)], "k int, units long")
+    dim = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (9, "c"), (None, "d")], "k int, label string")
+    out = rows(join.fanout_sum(fact, dim, "k", ["units"], ["label"]))
+    plain = (fact.join(dim, "k").groupBy("label").agg(F.count(F.lit(1)), F.sum("units")))
+    assert [(a, n, int(u)) for a, n, u in out] == rows(plain) == [("a", 4, 24), ("b", 3, 23)]
+
+
+def test_distinct_union(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([("x", 2), ("y", 3)], "v string, k int")
+    assert rows(join.distinct_union(a, b)) == [(1, None), (2, "x"), (3, "y")]
 
 
 def test_bucket_scaffold_keeps_empty_buckets(spark):

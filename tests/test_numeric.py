@@ -64,3 +64,17 @@ def test_fixed_point_units_sum_and_mean(spark):
     row = df.agg(fixed_sum("x").alias("s"), fixed_mean("x").alias("m")).collect()[0]
     assert str(row["s"]) == "-1.58" and str(row["m"]) == "-0.395000"
     assert df.filter("x is null").agg(fixed_mean("x")).collect()[0][0] is None
+
+
+def test_unit_sums_beyond_a_long(spark):
+    """Totals past 2**63 units are exact, for few huge values and with negatives."""
+    from decimal import Decimal
+
+    from tabulant.functions.numeric import units_mean, units_to_fixed, units_total
+    big = [2 ** 62 + 1, 2 ** 62 + 3, 2 ** 61, -7, None]
+    df = spark.createDataFrame([(x,) for x in big], "u long")
+    total = sum(x for x in big if x is not None)
+    r = df.agg(units_total("u").alias("t"), F.count("u").alias("n")).select("t", units_to_fixed("t").alias("m"),
+                                                                           units_mean("t", "n").alias("a")).first()
+    assert int(r.t) == total and r.m == Decimal(total) / 100 and abs(r.a - Decimal(total) / 400) < Decimal("0.000001")
+    assert df.limit(0).agg(units_total("u")).first()[0] is None

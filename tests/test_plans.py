@@ -57,6 +57,52 @@ def test_duplicate_rows_use_semi_join(spark):
     assert "LeftSemi" in plan_of(spark, "rows_of_duplicate_keys")
 
 
+def test_duplicate_texts_are_shuffled_once(spark):
+    """Without any broadcast, one exchange carries texts (the join's) besides the final sort."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        from tabulant.operators.shape import rows_of_duplicate_keys
+        df = spark.read.parquet(f"{SF}/documents.parquet")
+        plan = rows_of_duplicate_keys(df, "text", digest=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    exchanges = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    with_text = [i for i in exchanges if "text#" in lines[i + 1].split("functions=")[0] and "keys=" not in lines[i + 1]]
+    assert len(with_text) == 1 and len(exchanges) <= 3
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_runs_no_job(spark, name):
+    """Builders are lazy: the plan is made, and no Spark job runs, until rows are asked for."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build-{name}", name)
+    try:
+        QUERIES[name](spark, SF)
+        assert not sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_limit_feeds_a_single_partition(spark, name):
+    """No size probe: a limit over a whole side would send it to one task."""
+    lines = plan_of(spark, name).split("\n")
+    for above, below in zip(lines, lines[1:]):
+        assert not ("Exchange SinglePartition" in above and "LocalLimit" in below)
+
+
+def test_row_total_filter_reaches_the_scan(spark):
+    assert "EqualTo(l_suppkey,7)" in plan_of(spark, "row_total")
+
+
+def test_facts_are_summed_before_they_meet_attributes(spark):
+    """The wide shuffles of the flagship carry keys and sums, no strings."""
+    plan = plan_of(spark, "top_k_per_group")
+    agg = [x for x in plan.split("\n") if "partial_sum" in x]
+    assert agg and all("s_name" not in x and "c_mktsegment" not in x for x in agg)
+
+
 def test_top_k_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan_of(spark, "top_k")
 

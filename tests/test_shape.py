@@ -17,15 +17,10 @@ def test_profile_dupes(spark):
     assert tuple(shape.profile_dupes(menu(spark), "item").collect()[0]) == (7, 4, 3)
 
 
-def test_profile_dupes_hash_prefilter_exact_under_collisions(spark):
+def test_profile_dupes_by_digest(spark):
     df = menu(spark)
-    plain = tuple(shape.profile_dupes(df, "item").collect()[0])
-    assert tuple(shape.profile_dupes(df, "item", hash_prefilter=True).collect()[0]) == plain
-    # a deliberately weak hash (text length) makes distinct items collide; the count must stay exact
-    weak = tuple(shape.profile_dupes(df, "item", hash_prefilter=True, hash_fn=lambda c: F.length(c)).collect()[0])
-    assert weak == plain
-    empty = df.filter(F.lit(False))
-    assert tuple(shape.profile_dupes(empty, "item", hash_prefilter=True).collect()[0]) == (0, 0, 0)
+    assert tuple(shape.profile_dupes(df, "item", digest=True).collect()[0]) == (7, 4, 3)
+    assert tuple(shape.profile_dupes(df.filter(F.lit(False)), "item", digest=True).collect()[0]) == (0, 0, 0)
 
 
 def test_rows_of_duplicate_keys(spark):
@@ -34,10 +29,12 @@ def test_rows_of_duplicate_keys(spark):
                    ("Hamburger", "Burgers"), ("Hamburger", "Burgers")]
 
 
-def test_rows_of_duplicate_keys_hash_prefilter_is_exact(spark):
+def test_rows_of_duplicate_keys_by_digest(spark):
     plain = rows(shape.rows_of_duplicate_keys(menu(spark), "item"))
-    pre = rows(shape.rows_of_duplicate_keys(menu(spark), "item", hash_prefilter=True))
-    assert plain == pre and len(pre) == 4
+    assert plain == rows(shape.rows_of_duplicate_keys(menu(spark), "item", digest=True)) and len(plain) == 4
+    pairs = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("a", "bc"), (None, "c"), (None, "c")], "x string, y string")
+    for digest in (False, True):  # parts do not run together, and a NULL key equals nothing
+        assert rows(shape.rows_of_duplicate_keys(pairs, ["x", "y"], digest=digest)) == [("a", "bc"), ("a", "bc")]
 
 
 def test_dedupe_clean_whole_row_and_exclusion(spark):

@@ -90,3 +90,28 @@ def test_duplicate_keys_hot_key(skewed):
     assert out.count() == con.execute("""
         SELECT count(*) FROM orders
         WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)""").fetchone()[0]
+
+
+def test_hot_text_is_split(spark, tmp_path):
+    """A third of all rows share one text: the duplicate join splits that key over tasks and stays exact."""
+    import random
+    rng = random.Random(1)
+    text = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(300))
+    hot = text()
+    data = [(i, hot if i % 3 == 0 else text(), text()) for i in range(9000)]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(data, "doc_id long, text string, other string").repartition(12).write.parquet(path)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = shape.rows_of_duplicate_keys(spark.read.parquet(path), "text", digest=True)
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == list(range(0, 9000, 3))
+    assert "skew=true" in plan

@@ -36,7 +36,7 @@ def test_windowed_mean_with_watermark_matches_batch(spark, scratch):
 
 
 def test_single_file_source(spark, scratch):
-    stream = read_stream(spark, "/root/testdata/sf0.001/events.parquet")
+    stream = read_stream(spark, "/root/testdata/sf0.001/events.parquet", single_file=True)
     out = os.path.join(scratch, "events_copy")
     run_available(stream.select("event_id", "value"), out)
     assert rows(spark.read.parquet(out)) == rows(spark.read.parquet("/root/testdata/sf0.001/events.parquet"),
