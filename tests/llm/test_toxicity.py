@@ -106,7 +106,7 @@ def test_messy_rows_and_labels(spark, messy):
     model = tx.fit(docs, labels)
     of = model.scorer()
     assert of("such an idiot, a loser") > 0.5 > of("a fine person") and of(None) == of("") < 0.5
-    assert of("such an 1d10t, a L O S E R") > 0.5
+    assert of("such an 1d10t, and L O S E R") > 0.5
     out = tx.score(messy, model)
     assert out.count() == messy.count() and all(r.score < 0.5 for r in out.collect())
     kept = tx.keep_clean(messy.unionByName(messy.limit(1).withColumn("text", F.lit("idiot loser"))), model)
