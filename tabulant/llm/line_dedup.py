@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.join import forget_partitioning
 from .common import stage
 from .editdistance import INDEX, PROBE, key_plan, within
 from .graph import components, local_forest
@@ -228,7 +229,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = classed.withColumn("c2", F.coalesce("c2", F.lit(0)))
     firsts = (classed.groupBy("c", "c2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("c", "c2", F.col("at.doc").alias("d0"), F.col("at.pos").alias("p0")))
-    return (classed.join(firsts, ["c", "c2"]).filter("doc <> d0 or pos <> p0")
+    # The firsts are shuffled again, so that the line a third of all documents have can be split over tasks.
+    return (classed.join(forget_partitioning(firsts), ["c", "c2"]).filter("doc <> d0 or pos <> p0")
             .select(F.col("doc").alias(id_col), F.col("pos").alias("line"), F.col("d0").alias("first_doc"),
                     F.col("p0").alias("first_line")).distinct())
 
