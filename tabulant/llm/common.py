@@ -56,7 +56,7 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def successor_blocks(docs: DataFrame, id_col: str, text_col: str, out: str, blocks: int = 1024) -> DataFrame:
+def successor_blocks(docs: DataFrame, id_col: str, text_col: str, out: str, blocks: int = 4096) -> DataFrame:
     """Deal rows into blocks of neighbouring ids and add ``out``: the text of the row with the next larger id.
 
     Blocks are ``blocks`` ranges of ids by approximate quantiles; the head row
