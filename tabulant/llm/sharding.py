@@ -16,7 +16,7 @@ from .common import range_of, stage, uniform
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
-                  overhead: int = 16, sample_rows: int = 20_000, ranges_per_shard: int = 16,
+                  overhead: int = 16, sample_rows: int = 20_000, ranges_per_shard: int = 64,
                   whole_share: float = 0.05, seed: int = 42) -> DataFrame:
     """Put every record into one of ``shards`` shards of near equal bytes.
 
