@@ -24,6 +24,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0   # fixed value: an unknown character costs that much more than the worst piece
 LOT = 4 << 20            # characters whose words are encoded together
 REMEMBER = 1 << 20       # words whose encoding is kept from lot to lot
+TWO = (2,)
 
 
 def default_model() -> str:
@@ -48,10 +49,10 @@ class Vocabulary:
     unigram: bool
     prefix: bool                        # a mark is put before the text
     squeeze: bool                       # white space is squeezed to single marks, none outside
-    lengths: dict[str, tuple[int, ...]] = field(default_factory=dict)  # of pieces, by their last two characters
+    lengths: dict[str, tuple[int, ...]] = field(default_factory=dict)  # of pieces by their last three characters, and 2
     words: str = ""                     # pattern of marked words: no piece reaches across them
     plain: list[str] = field(default_factory=list)  # the text of each id, filled when first decoding
-    high: list[int] = field(default_factory=list)   # ids of the bytes from 128 on
+    high: np.ndarray | None = None                  # whether each id is a byte from 128 on
 
     @staticmethod
     def load(path: str) -> "Vocabulary":
@@ -73,7 +74,8 @@ class Vocabulary:
         byte_of = {i: int(p.piece[1:-1], 16) for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
         by_end: dict[str, set[int]] = {}
         for p in normal:
-            by_end.setdefault(p[-2:], set()).add(len(p))
+            if len(p) > 2:
+                by_end.setdefault(p[-3:], set()).add(len(p))
         lone = not any("\n" in p and len(p) > 1 for p in normal)
         across = any(re.search(f"[^{MARK}]{MARK}", p) for p in normal)
         words = r"(?s:.+)" if across else rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if lone else rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -83,7 +85,7 @@ class Vocabulary:
             next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN), model.trainer_spec.unk_surface,
             frozenset(i for i, p in enumerate(model.pieces) if p.type == kind.CONTROL), model.trainer_spec.model_type == 1,
             norm.add_dummy_prefix, norm.remove_extra_whitespaces,
-            {e: tuple(sorted(n, reverse=True)) for e, n in by_end.items()}, words)
+            {e: (*sorted(n, reverse=True), 2) for e, n in by_end.items()}, words)
 
     def marked(self, text: str) -> str:
         """The text with marks for spaces, as pieces have them."""
@@ -91,17 +93,6 @@ class Vocabulary:
             text = re.sub(" +", " ", text).strip(" ")
         return text and (MARK if self.prefix else "") + text.replace(" ", MARK)
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            if p in self.ids:
-                out.append(self.ids[p])
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in p.encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:  # neighbouring unknown characters are one
-                out.append(self.unknown)
-        return out
-
     def text_of(self, ids) -> str:
         """The text that ids stand for: byte pieces joined as UTF-8, marks as spaces, the prefix taken off."""
         ids = np.asarray(ids, np.int64)
@@ -110,8 +101,8 @@ class Vocabulary:
                 byte = self.bytes_of.get(i, 0)
                 self.plain.append("" if i in self.silent else self.unknown_text if i == self.unknown else
                                   chr(byte) if i in self.bytes_of else p.replace(MARK, " "))
-            self.high.extend(i for i, b in self.bytes_of.items() if b > 127)
-        high = np.isin(ids, self.high)
+            self.high = np.array([self.bytes_of.get(i, 0) > 127 for i in range(len(self.pieces))])
+        high = self.high[ids]
         if not high.any():
             text = "".join(map(self.plain.__getitem__, ids.tolist()))
         else:  # runs of bytes from 128 on are parts of characters
@@ -128,20 +119,22 @@ class Vocabulary:
 class PrefixEncoder:
     """Encodes sorted words; the states of shared prefixes stay on a stack.
 
-    ``states[i]`` belongs to the first ``i`` characters: for unigram (score,
-    start of the last piece), for BPE (last piece, its start).
+    ``states[i]`` belongs to the first ``i`` characters: their score (unigram)
+    or last piece (BPE), and their ids as packed 32-bit integers.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[str, str], bool] = {}
         self.grown: dict[str, tuple[list[str], list[str]] | None] = {}
+        self.packed = {p: array("i", [i]).tobytes() for p, i in vocabulary.ids.items()}
+        self.unknown = array("i", [vocabulary.unknown]).tobytes()
         self.lowest = min((vocabulary.scores[p] for p in vocabulary.ids), default=0.0)
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids (packed 32-bit integers) of each of the distinct ``words``."""
         out, last = {}, ""
-        states: list = [(0.0, 0) if self.v.unigram else ("", 0)]
+        states: list = [(0.0, b"") if self.v.unigram else ("", b"")]
         advance = self._viterbi if self.v.unigram else self._merge
         for word in sorted(words):
             shared, most = 0, min(len(word), len(states) - 1)
@@ -149,44 +142,47 @@ class PrefixEncoder:
                 shared += 1
             del states[shared + 1:]
             advance(word, states)
-            pieces, at = [], len(word)
-            while at:
-                start = states[at][1]
-                pieces.append(word[start:at])
-                at = start
-            out[word] = array("i", self.v.ids_of(pieces[::-1])).tobytes()
+            out[word] = states[-1][1]
             last = word
         return out
 
+    def _single(self, c: str, before: bytes) -> bytes:
+        """``before`` and the ids of a single character: its own, those of its bytes, or the unknown one."""
+        if c in self.packed:
+            return before + self.packed[c]
+        if self.v.byte_ids:
+            return before + array("i", [self.v.byte_ids[b] for b in c.encode("utf-8", "replace")]).tobytes()
+        return before if before.endswith(self.unknown) else before + self.unknown  # neighbours are one
+
     def _viterbi(self, word: str, states: list) -> None:
-        v = self.v
+        lengths, scores, ids = self.v.lengths, self.v.scores, self.v.ids
         for end in range(len(states), len(word) + 1):
-            best, at = states[end - 1][0] + self.lowest - UNKNOWN_PENALTY, end - 1
-            if word[end - 1] in v.ids:
-                best = states[end - 1][0] + v.scores[word[end - 1]]
-            for n in v.lengths.get(word[max(0, end - 2):end], ()):
-                if 1 < n <= end and word[end - n:end] in v.ids:
-                    score = states[end - n][0] + v.scores[word[end - n:end]]
+            c = word[end - 1]
+            best, at = states[end - 1][0] + (scores[c] if c in ids else self.lowest - UNKNOWN_PENALTY), end - 1
+            for n in lengths.get(word[max(0, end - 3):end], TWO):
+                if n <= end and word[end - n:end] in ids:
+                    score = states[end - n][0] + scores[word[end - n:end]]
                     if score > best or score == best and end - n < at:
                         best, at = score, end - n
-            states.append((best, at))
+            packed = (states[at][1] + self.packed[word[at:end]] if end - at > 1 else self._single(c, states[at][1]))
+            states.append((best, packed))
 
     def _merge(self, word: str, states: list) -> None:
-        lengths, ids, fits = self.v.lengths, self.v.ids, self.fits
+        lengths, packed, fits = self.v.lengths, self.packed, self.fits
         for end in range(len(states), len(word) + 1):
-            for n in lengths.get(word[max(0, end - 2):end], ()):
-                if 1 < n <= end:
+            for n in lengths.get(word[end - 3 if end > 3 else 0:end], TWO):
+                if n <= end:
                     piece = word[end - n:end]
-                    if piece in ids:
-                        pair = (states[end - n][0], piece)
-                        fit = fits.get(pair)
+                    if piece in packed:
+                        last, before = states[end - n]
+                        fit = fits.get((last, piece))
                         if fit is None:
-                            fit = fits[pair] = self._fit(*pair)
+                            fit = fits[last, piece] = self._fit(last, piece)
                         if fit:
-                            states.append((piece, end - n))
+                            states.append((piece, before + packed[piece]))
                             break
             else:
-                states.append((word[end - 1], end - 1))
+                states.append((word[end - 1], self._single(word[end - 1], states[end - 1][1])))
 
     def _fit(self, left: str, right: str) -> bool:
         """Whether merging ``left + right`` from single characters ends in just these two pieces.
@@ -245,13 +241,14 @@ def encode_texts(texts: list[str], v: Vocabulary, encoder: PrefixEncoder, known:
                  pattern: re.Pattern) -> Iterator[np.ndarray]:
     """Ids of each text of a lot; ``known`` holds words encoded before."""
     split = [pattern.findall(v.marked(t)) for t in texts]
-    fresh = {w for words in split for w in words} - known.keys()
+    words = {w for row in split for w in row}
+    fresh = [w for w in words if w not in known]
     if len(known) + len(fresh) > REMEMBER:
         known.clear()
-        fresh = {w for words in split for w in words}
-    known.update(encoder.encode(list(fresh)))
-    for words in split:
-        yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        fresh = list(words)
+    known.update(encoder.encode(fresh))
+    for row in split:
+        yield np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",

@@ -95,7 +95,7 @@ def brute_best(v, marked):
 def viterbi_score(v, marked):
     encoder, total = pc.PrefixEncoder(v), 0.0
     for w in re.findall(v.words, marked):
-        states = [(0.0, 0)]
+        states = [(0.0, b"")]
         encoder._viterbi(w, states)
         total += states[-1][0]
     return total
