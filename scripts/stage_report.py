@@ -63,9 +63,9 @@ def main() -> None:
                                  # keep the 16 shuffle partitions apart, so per-task reads show the spread
                                  "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     sc = spark.sparkContext
-    import __spark_entry__ as entry
+    from tabulant.plans.catalog import QUERIES
 
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         sc.setJobGroup(name, name)
         fn(spark, sf).write.format("noop").mode("overwrite").save()
 
