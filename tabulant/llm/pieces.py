@@ -24,6 +24,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0   # fixed value: an unknown character costs that much more than the worst piece
 LOT = 4 << 20            # characters whose words are encoded together
 REMEMBER = 1 << 20       # words whose encoding is kept from lot to lot
+LONG = 256               # characters from which a word's encoding is not kept
 TWO = (2,)
 
 
@@ -119,22 +120,22 @@ class Vocabulary:
 class PrefixEncoder:
     """Encodes sorted words; the states of shared prefixes stay on a stack.
 
-    ``states[i]`` belongs to the first ``i`` characters: their score (unigram)
-    or last piece (BPE), and their ids as packed 32-bit integers.
+    ``states[i]`` belongs to the first ``i`` characters: for unigram (score,
+    start of the last piece), for BPE the last piece.  A word's ids are read by
+    walking back from its end, so memory is linear in a word however long.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[str, str], bool] = {}
         self.grown: dict[str, tuple[list[str], list[str]] | None] = {}
-        self.packed = {p: array("i", [i]).tobytes() for p, i in vocabulary.ids.items()}
-        self.unknown = array("i", [vocabulary.unknown]).tobytes()
+        self.same = {p: p for p in vocabulary.ids}   # states share the vocabulary's strings
         self.lowest = min((vocabulary.scores[p] for p in vocabulary.ids), default=0.0)
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids (packed 32-bit integers) of each of the distinct ``words``."""
         out, last = {}, ""
-        states: list = [(0.0, b"") if self.v.unigram else ("", b"")]
+        states: list = [(0.0, 0) if self.v.unigram else ""]
         advance = self._viterbi if self.v.unigram else self._merge
         for word in sorted(words):
             shared, most = 0, min(len(word), len(states) - 1)
@@ -142,17 +143,23 @@ class PrefixEncoder:
                 shared += 1
             del states[shared + 1:]
             advance(word, states)
-            out[word] = states[-1][1]
+            out[word] = self._ids(word, states)
             last = word
         return out
 
-    def _single(self, c: str, before: bytes) -> bytes:
-        """``before`` and the ids of a single character: its own, those of its bytes, or the unknown one."""
-        if c in self.packed:
-            return before + self.packed[c]
-        if self.v.byte_ids:
-            return before + array("i", [self.v.byte_ids[b] for b in c.encode("utf-8", "replace")]).tobytes()
-        return before if before.endswith(self.unknown) else before + self.unknown  # neighbours are one
+    def _ids(self, word: str, states: list) -> bytes:
+        """The ids of ``word``: the pieces that its states lead back over."""
+        v, ids, at, back = self.v, self.v.ids, len(word), []
+        while at:
+            piece = word[states[at][1]:at] if v.unigram else states[at]
+            if piece in ids:
+                back.append(ids[piece])
+            elif v.byte_ids:
+                back += [v.byte_ids[b] for b in reversed(piece.encode("utf-8", "replace"))]
+            elif not back or back[-1] != v.unknown:  # neighbouring unknown characters are one
+                back.append(v.unknown)
+            at -= len(piece)
+        return array("i", back[::-1]).tobytes()
 
     def _viterbi(self, word: str, states: list) -> None:
         lengths, scores, ids = self.v.lengths, self.v.scores, self.v.ids
@@ -164,25 +171,24 @@ class PrefixEncoder:
                     score = states[end - n][0] + scores[word[end - n:end]]
                     if score > best or score == best and end - n < at:
                         best, at = score, end - n
-            packed = (states[at][1] + self.packed[word[at:end]] if end - at > 1 else self._single(c, states[at][1]))
-            states.append((best, packed))
+            states.append((best, at))
 
     def _merge(self, word: str, states: list) -> None:
-        lengths, packed, fits = self.v.lengths, self.packed, self.fits
+        lengths, same, fits = self.v.lengths, self.same, self.fits
         for end in range(len(states), len(word) + 1):
             for n in lengths.get(word[end - 3 if end > 3 else 0:end], TWO):
                 if n <= end:
-                    piece = word[end - n:end]
-                    if piece in packed:
-                        last, before = states[end - n]
+                    piece = same.get(word[end - n:end])
+                    if piece is not None:
+                        last = states[end - n]
                         fit = fits.get((last, piece))
                         if fit is None:
                             fit = fits[last, piece] = self._fit(last, piece)
                         if fit:
-                            states.append((piece, before + packed[piece]))
+                            states.append(piece)
                             break
             else:
-                states.append((word[end - 1], self._single(word[end - 1], states[end - 1][1])))
+                states.append(word[end - 1])
 
     def _fit(self, left: str, right: str) -> bool:
         """Whether merging ``left + right`` from single characters ends in just these two pieces.
@@ -249,6 +255,9 @@ def encode_texts(texts: list[str], v: Vocabulary, encoder: PrefixEncoder, known:
     known.update(encoder.encode(fresh))
     for row in split:
         yield np.frombuffer(b"".join(map(known.__getitem__, row)), np.int32)
+    for word in fresh:
+        if len(word) > LONG:
+            del known[word]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",

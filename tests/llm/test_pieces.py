@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -112,6 +113,23 @@ def test_prefixes_are_shared(vocabulary):
     assert got == {w: pc.PrefixEncoder(vocabulary).encode([w])[w] for w in words}
 
 
+def test_long_unspaced_words_need_linear_memory(vocabulary):
+    """A megabyte without a space, for both kinds of vocabulary: the library's ids, and some hundred bytes a character."""
+    rng = random.Random(3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pc.default_model())
+    short = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/\t") for _ in range(20_000))
+    m = unigram(rng, True)
+    for v, text, theirs in ((vocabulary, short * 52, sp), (vocabulary, "日本語漢字" * 20_000, sp), (pc.Vocabulary.of(m), "abcab" * 20_000, None)):
+        known, encoder = {}, pc.PrefixEncoder(v)
+        tracemalloc.start()
+        got = next(iter([*pc.encode_texts([text], v, encoder, known, re.compile(v.words))]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400 * len(text) and not known  # long words are not kept for the next lot
+        assert v.text_of(got) == text
+        assert v.unigram or got.tolist() == theirs.encode(text)  # unigram ties may be cut differently
+
+
 def test_encode_and_decode_tables(spark, messy, vocabulary):
     encoded = pc.encode(messy, vocabulary, check=True)
     rows = encoded.collect()
