@@ -27,6 +27,9 @@ CHUNK = 1 << 20     # pairs screened at once
 VERIFY = 1 << 13    # pairs verified at once, between looks at which lines are already connected
 SCREEN = 1 << 24    # pairs of one cell up to which its rows are screened before their lines are fetched
 SEED = 42           # of Spark's xxhash64
+GATHER = 1 << 12    # rows of one role and cell that are screened together; larger cells are split before
+SAMPLE = 16         # of so many lines one is looked at to find such cells
+REMEMBER = 1 << 18  # lines a task remembers, so that it gives a line that many documents have but once
 
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
@@ -43,26 +46,35 @@ def _signatures(lines: list[bytes]) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (data & 63).astype(np.uint64)), starts)
 
 
-def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int) -> DataFrame:
-    """(``cell``, ``h``, ``sig``, ``role``): the segments and substrings of each batch's distinct lines."""
+def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int, one_in: int = 1) -> DataFrame:
+    """(``cell``, ``h``, ``sig``, ``role``): the segments and substrings of each task's distinct lines.
+
+    A task gives a line again only after ``REMEMBER`` others.  With ``one_in``
+    only that share of the lines is taken, drawn by their hashes.
+    """
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}  # plans by length, of lines short enough to have many of their length
+        given: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is held besides the batch
                 lines = {x for t in batch.column(0).slice(at, 256) if t.is_valid
                          for x in t.as_py().split(b"\n") if len(x) >= min_bytes}
-                if not lines:
+                fresh = {i: x for x in lines if (i := digest(x, SEED)) % one_in == 0 and i not in given}
+                if not fresh:
                     continue
-                lines = sorted(lines)
+                if len(given) + len(fresh) > REMEMBER:
+                    given.clear()
+                given.update(fresh)
+                lines = list(fresh.values())
                 for n in {len(x) for x in lines if len(x) <= 4096} - known.keys():
                     known[n] = key_plan(n, max_edits)
                 plans = [known.get(len(x)) or key_plan(len(x), max_edits) for x in lines]
                 cells = [digest(x[a:b], seed) for x, plan in zip(lines, plans) for a, b, seed, _ in plan]
                 roles = [role for plan in plans for *_, role in plan]
                 times = [len(p) for p in plans]
-                ids = np.array([digest(x, SEED) for x in lines], np.uint64)
+                ids = np.array(list(fresh), np.uint64)
                 yield pa.record_batch([
                     pa.array(np.array(cells, np.uint64).view(np.int64)), pa.array(np.repeat(ids, times).view(np.int64)),
                     pa.array(np.repeat(_signatures(lines), times).view(np.int64)),
@@ -71,6 +83,29 @@ def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int) -> Dat
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "cell long, h long, sig long, role byte")
 
 
+def _spread(keys: DataFrame, sample: DataFrame) -> DataFrame:
+    """``keys`` with hot cells split into rectangles of blocks, so that no task gathers a large cell whole.
+
+    Index rows of block x meet probe rows of block y in cell (x, y).  Which
+    cells are hot is estimated from ``sample``, the keys of one in ``SAMPLE``
+    lines, whose distinct rows are counted in partial sums; an estimate that
+    is off changes the size of blocks, not what meets.
+    """
+    blocks = lambda role: F.ceil(F.sum((F.col("role").bitwiseAND(role) > 0).cast("int")) * SAMPLE / GATHER)
+    hot = sample.select("cell", "h", "role").distinct().groupBy("cell").agg(
+        F.greatest(blocks(INDEX), F.lit(1)).cast("int").alias("nx"), F.greatest(blocks(PROBE), F.lit(1)).cast("int").alias("ny"))
+    rows = keys.join(stage(hot.filter("ny > 1"), "lines-large"), "cell", "left")
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(11), "h"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda x, y, role: F.struct(F.xxhash64("cell", x, y).alias("cell"), F.lit(role).cast("byte").alias("role"))
+    as_index = F.when(F.col("role").bitwiseAND(INDEX) > 0, F.transform(every("ny"), lambda y: place(mine("nx"), y, INDEX)))
+    as_probe = F.when(F.col("role").bitwiseAND(PROBE) > 0, F.transform(every("nx"), lambda x: place(x, mine("ny"), PROBE)))
+    none = F.array().cast("array<struct<cell: bigint, role: tinyint>>")
+    places = F.when(F.col("ny").isNull(), F.array(F.struct("cell", "role"))).otherwise(
+        F.concat(F.coalesce(as_index, none), F.coalesce(as_probe, none)))
+    return rows.select("h", "sig", F.inline(places)).select("cell", "h", "sig", "role")
+
+
 def _columns(batches) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*[[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches])]
 
@@ -211,7 +246,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     line = F.col("line")
     seen = stage(_line_rows(wanted, id_col, text_col, min_bytes).select(
         "doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), line).alias("h2")), "lines-seen")
-    near = stage(_screen(_keys(wanted, text_col, min_bytes, max_edits), max_edits), "lines-near")
+    keys = _spread(_keys(wanted, text_col, min_bytes, max_edits), _keys(wanted, text_col, min_bytes, max_edits, SAMPLE))
+    near = stage(_screen(keys, max_edits), "lines-near")
 
     # The text of each line that met another, read at its first occurrence.
     first = (seen.join(near.select("h").distinct(), "h", "left_semi").groupBy("h")

@@ -111,6 +111,28 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert get() == want
 
 
+def test_no_task_screens_a_hot_cell_whole(spark, monkeypatch):
+    """Distinct lines with one beginning: the rows of a cell stay bounded, and the repeats are those of brute force."""
+    rng = random.Random(5)
+    lines = ["2026-01-01 00:00:00 INFO " + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(300)]
+    lines += [x[:-1] + "z" for x in lines[:40]]
+    docs = frame(spark, [(i, "\n".join([x, lines[0]])) for i, x in enumerate(lines)])
+    monkeypatch.setattr(ld, "GATHER", 32)
+    monkeypatch.setattr(ld, "SAMPLE", 2)
+    largest = lambda keys: keys.groupBy("cell", "role").count().agg({"count": "max"}).first()[0]
+    keys = ld._keys(docs, "text", 24, 2).distinct()
+    assert largest(keys) > 300
+    assert largest(ld._spread(keys, ld._keys(docs, "text", 24, 2, 2))) < 100
+    got = {tuple(r) for r in ld.duplicate_lines(docs).collect()}
+    assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 2, 24) and len(got) >= 340
+
+
+def test_a_task_gives_a_repeated_line_once(spark):
+    docs = frame(spark, [(i, "a line that every document has, whole") for i in range(2000)]).coalesce(1)
+    keys = ld._keys(docs, "text", 24, 2)
+    assert keys.count() == keys.distinct().count()
+
+
 def test_messy_rows(spark, messy):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     got = {tuple(r) for r in ld.duplicate_lines(messy).collect()}
