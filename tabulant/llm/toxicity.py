@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from .common import stage, uniform
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
               "!": "i", "|": "li", "+": "t", "(": "c", "*": "aeiou"}
 SIGN_COST, KEEP_COST, DROP_COST, JOIN_COST, SPACE_COST = 1.0, 8.0, 0.5, 0.2, 1.5
-LONGEST = 64  # signs of a word, repetitions aside; longer tokens are no words and stay as they are
+LONGEST = 64  # signs of a word, repetitions aside; a longer part without a separator is no word and stays as it is
 
 BOUNDARY, SYMBOLS = 0, 64
 TAIL, HEAD = ".,;:!?\"')]}", "\"'([{¿¡"
 SUSPECT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+*(]|[0-9@$!|+*(][^\W\d_]|^\w(?:[.\-_~]\w){2,}$")
 RUN = re.compile(r"(.)\1{3,}")
+SEPARATOR = re.compile(r"([.\-_~])")
 
 
 def symbol(c: str) -> int:
@@ -81,28 +83,29 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 4 * pair) / (counts.sum(2, keepdims=True) + 4)).astype(np.float32)
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
+def lattice(stretch: str) -> Iterator[list[tuple[str, float]]]:
     """For each sign of a stretch: the strings it may stand for and their costs."""
-    out = []
     for i, c in enumerate(stretch):
         if c in LOOKALIKES:
-            out.append([(x, SIGN_COST) for x in LOOKALIKES[c]] + [(c, KEEP_COST)])
+            yield [(x, SIGN_COST) for x in LOOKALIKES[c]] + [(c, KEEP_COST)]
         elif c in " .-_~":
-            out.append([("", JOIN_COST), (" ", SPACE_COST)])
+            yield [("", JOIN_COST), (" ", SPACE_COST)]
         else:
             same = stretch[i - 1:i] == c or stretch[i + 1:i + 2] == c
             repeated = same and (stretch[max(0, i - 2):i + 1] == c * 3 or stretch[i - 1:i + 2] == c * 3
                                  or stretch[i:i + 3] == c * 3)
-            out.append([(c, 0.0), ("", DROP_COST)] if repeated else [(c, 0.0)])
-    return out
+            yield [(c, 0.0), ("", DROP_COST)] if repeated else [(c, 0.0)]
 
 
 def decode(stretch: str, logp: np.ndarray) -> str:
-    """The likeliest text behind a stretch: Viterbi over its lattice, states being the last two symbols."""
-    states = {(BOUNDARY, BOUNDARY): (0.0, "")}
+    """The likeliest text behind a stretch: Viterbi over its lattice, states being the last two symbols.
+
+    A state's text is a chain of (chain before, piece), so the work is linear in the stretch.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
     for options in lattice(stretch):
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, chain) in states.items():
             for piece, cost in options:
                 if piece:
                     c = symbol(piece)
@@ -110,9 +113,19 @@ def decode(stretch: str, logp: np.ndarray) -> str:
                 else:
                     to, value = (a, b), score - cost
                 if to not in reached or value > reached[to][0]:
-                    reached[to] = (value, text + piece)
+                    reached[to] = (value, (chain, piece) if piece else chain)
         states = reached
-    return max((score + float(logp[a, b, BOUNDARY]), text) for (a, b), (score, text) in states.items())[1]
+    ends = [(score + float(logp[a, b, BOUNDARY]), chain) for (a, b), (score, chain) in states.items()]
+    best = max(score for score, _ in ends)
+    return max(_spelt(chain) for score, chain in ends if score == best)
+
+
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, piece = chain
+        out.append(piece)
+    return "".join(reversed(out))
 
 
 def restore_token(token: str, logp: np.ndarray) -> list[str]:
@@ -121,9 +134,21 @@ def restore_token(token: str, logp: np.ndarray) -> list[str]:
     if not core or not SUSPECT.search(core):
         return [core] if core else []
     short = RUN.sub(r"\1\1\1", core)
-    if len(short) > LONGEST or not any(c.isalpha() for c in short):
+    if not any(c.isalpha() for c in short):
         return [core]
-    return decode(short, logp).split() or [core]
+    if len(short) <= LONGEST:
+        return decode(short, logp).split() or [core]
+    parts = SEPARATOR.split(short)
+    if len(parts) == 1:
+        return [core]
+    words: list[str] = []
+    for long, group in groupby(parts, lambda p: len(p) > LONGEST):  # what lies between long parts is decoded whole
+        stretch = "".join(group)
+        if long or not any(c.isalpha() for c in stretch):
+            words += stretch.strip(".-_~").split()
+        else:
+            words += decode(stretch, logp).split()
+    return words or [core]
 
 
 class Words:
@@ -150,10 +175,9 @@ class Words:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
             for start, end in zip(edges[::2], edges[1::2]):
                 if end - start > 2:
-                    for at in range(start, end, LONGEST):
-                        letters = "".join(tokens[at:min(end, at + LONGEST)]).lower()
-                        if any(c.isalpha() for c in letters):
-                            words.update(decode(" ".join(letters), self.logp).split())
+                    letters = "".join(tokens[start:end]).lower()
+                    if any(c.isalpha() for c in letters):
+                        words.update(decode(" ".join(letters), self.logp).split())
         return words
 
 

@@ -58,6 +58,24 @@ def test_disguises_are_undone():
     assert tx.restore_token(long, logp) == [long]
 
 
+def test_long_disguises_are_undone():
+    """Texts of several hundred letters, spelt in three ways, with the toxic word over letter 64."""
+    logp = tiny_model()
+    clean = "this is a person and this is a person with a person and a person with a person and a person".split()
+    before, n = [], 0
+    while n + len(clean[len(before)]) <= 62:
+        n += len(clean[len(before)])
+        before.append(clean[len(before)])
+    text = [*before, "idiot", *clean * 4]
+    letters = "".join(text)
+    assert 59 < letters.index("idiot") < 64 and len(letters) > 300
+    assert "idiot" in tx.restore_token(".".join(letters), logp)
+    assert "idiot" in tx.restore_token("_".join(text).replace("i", "1"), logp)
+    assert "idiot" in tx.restore_token("x1" * 50 + "-" + ".".join(letters), logp)
+    assert "idiot" in tx.Words(logp).of_text(" ".join(letters))
+    assert "idiot" in tx.restore_token(".".join(letters * 100), logp)
+
+
 def test_trigram_counts(spark, messy):
     want = Counter()
     for r in messy.collect():
