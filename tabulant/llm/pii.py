@@ -26,9 +26,11 @@ KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 96, 48   # characters of a window, and from one window to the next
 BATCH = 256              # windows tagged at once
 
-# An added span holds one of these: a digit, an at sign, or the word in brackets.
+# An added span holds one of these: a digit, an at sign, the word in brackets, or the bare word between a local part
+# and a domain whose first dot may be spelt too.  Together they admit whatever ``plausible`` accepts.
 SIGN = re.compile(r"[0-9@]")
-SPELT = re.compile(r"[\[({] ?at ?[\])}]", re.I)
+SPELT = re.compile(r"[\[({]\s*at\s*[\])}]", re.I)
+BARE = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-]++(?:\.|\s+\.\s|\s+dot\s|\s*[\[({]\s*dot\s*[\])}])\s*[A-Za-z0-9-])", re.I)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Possessive, and the address only from the start of a run of digits: linear in the text however long a run is.
@@ -40,7 +42,7 @@ Span = tuple[str, int, int]
 
 def signs(text: str) -> list[tuple[int, int]]:
     """Places of the signs that an added span may hold."""
-    return [m.span() for p in (SIGN, SPELT) for m in p.finditer(text)]
+    return [m.span() for p in (SIGN, SPELT, BARE) for m in p.finditer(text)]
 
 
 def luhn(digits: str) -> bool:

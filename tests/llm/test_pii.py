@@ -128,6 +128,34 @@ def test_disguised_values_are_found(spark, tagger):
     assert all(not r.added and not r.base for r in pii.find(frame(spark, list(enumerate(clean))), tagger).collect())
 
 
+SPELT_OUT = ["jane.doe at example dot org", "jane.doe at example.org", "jane AT mail DOT example DOT org", "jane\tat\nexample . org",
+             "jane at example [dot] org", "jane at example(dot)org", "jane (  at  ) example.org", "jane{at}example dot org"]
+
+
+@pytest.mark.parametrize("value", SPELT_OUT)
+def test_spelt_addresses_pass_every_gate(value):
+    """Without a digit or an at sign: windows are read, and a tagged span is kept."""
+    assert pii.plausible("email", value)
+    text = "please write to " + value + " about it"
+    at = text.index(value)
+    assert any(s <= at and at + len(value) <= s + pii.WIDTH for s in pii.window_starts(text, []))
+    assert pii.reconcile(text, [], [("email", at, at + len(value), 1.0)]) == [("email", at, at + len(value))]
+
+
+def test_spelt_addresses_are_found(spark, tagger):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 7)))
+    rows, want = [], {}
+    for i in range(60):
+        value = f"{word()}.{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}"
+        rows.append((i, "Contact: " + value + " for it"))
+        want[i] = value
+    got = {r.doc_id: [dict(rows)[r.doc_id][s.start:s.end] for s in r.added] for r in pii.find(frame(spark, rows), tagger).collect()}
+    found = sum(want[i] in got[i] for i in want)
+    print("found", found, "of", len(want))
+    assert found >= 15
+
+
 def test_windows_meet_every_place(tagger):
     text = "ab " * 200 + "5" + " cd" * 200
     starts = pii.window_starts(text, [])
