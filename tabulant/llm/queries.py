@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table_path
-from . import ann, line_dedup, mixing, pieces, pii, secrets, sharding, simhash, toxicity
+from . import alignment, ann, conversations, decontaminate, line_dedup, mixing, pieces, pii, secrets, sharding, simhash, toxicity
 from . import fingerprint as fp
 from .common import stage, successor_blocks
 
@@ -200,6 +200,49 @@ def mix_oracle(table: str, columns: str, tokens: str, percent: int, epochs: int,
 """
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: byte-level BPE tokens against SentencePiece tokens, their common cuts, links and corpus-wide counts."""
+    a, b = alignment.ByteLevel.load(), alignment.Pieces.load()
+    return alignment.align(_table(spark, sf, "documents"), a, b).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: words in occurrences of 10 consecutive words of a benchmark item (or a whole shorter one), and the items."""
+    found = decontaminate.scan(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), window=10)
+    n_hit = decontaminate.count_hits(F.col("runs"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation, damaged by a rule on its keys: faults counted, and the cheapest repair of its turns."""
+    turns = _table(spark, sf, "conversations")
+    return conversations.repair(conversations.damage(turns), turns).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+# Item windows and document words as joins: every text's runs of as many words as a window has.
+DECONTAMINATION_SQL = r"""
+with items as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark)
+, windows as (select item_id, least(len(w), 10) as k, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i, w from items
+        where len(w) > 0)
+, pattern as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as p from windows)
+, docs as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents)
+, runs as (select r, k, unnest(generate_series(1, len(w) - k + 1)) as i, w from docs, (select distinct k from pattern) where len(w) >= k)
+, found as (select r, i, k, item_id from (select r, i, k, array_to_string(w[i:i + k - 1], ' ') as p from runs) join pattern using (k, p))
+, hits as (select r, count(distinct j) as n from (select r, unnest(generate_series(i, i + k - 1)) as j from found) group by r)
+, named as (select r, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+        from (select distinct r, item_id from found) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(n.n, 0)::bigint as n_items,
+       sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from docs d left join hits h using (r) left join named n using (r)
+"""
+
+
 WORDS_SQL = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
 
 QUERIES = {
@@ -213,10 +256,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
+    "op12_decontamination": op12_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op10_mixing": mix_oracle("documents", "doc_id, lang, source", "coalesce(" + WORDS_SQL.format("text") + ", 0)",
                               MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
     + "select doc_id, domain, lang, source, t::bigint as tokens, epoch::bigint as epoch from mixed",
+    "op12_decontamination": DECONTAMINATION_SQL,
 }

@@ -1,0 +1,170 @@
+"""Conversation repair against a plain search over all edits."""
+
+import hashlib
+import random
+import re
+import zlib
+from functools import lru_cache
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabulant.llm import conversations, queries
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+COLUMNS = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        fault = zlib.crc32(key.encode()) % 20
+        if fault == 0:
+            continue
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+    return out
+
+
+def brute(rows):
+    """(gaps, ..., repaired_sha256) of one conversation's rows in order."""
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        visible = text.strip("\x20\t\n\x0b\x0c\r")
+        faults.append("blank" if not visible else "duplicate" if (role, text) in seen else
+                      "truncated" if visible[-1] not in ".!?" else None)
+        seen.add((role, text))
+    legal = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}  # by the last role written
+
+    @lru_cache(None)
+    def best(i, last, inserts=0):
+        """(cost, audit, lines as (role or None for the row's own, row or None)) from row i on."""
+        ways = []
+        if i == len(rows):
+            if last in ("", "a"):
+                ways.append((0, "", ()))
+        else:
+            c, a, lines = best(i + 1, last)
+            ways.append((3 + c, "D" + a, lines))
+            if faults[i] not in ("blank", "duplicate"):
+                extra = faults[i] == "truncated"
+                to = legal.get((last, rows[i][2][:1]))
+                if to:
+                    c, a, lines = best(i + 1, to)
+                    ways.append((extra + c, "K" + a, ((None, i), *lines)))
+                for role in ("user", "assistant"):
+                    to = legal.get((last, role[0]))
+                    if to:
+                        c, a, lines = best(i + 1, to)
+                        ways.append((2 + extra + c, "R" + a, ((role, i), *lines)))
+        if inserts < 4:
+            for role in ("user", "assistant"):
+                to = legal.get((last, role[0]))
+                if to:
+                    c, a, lines = best(i, to, inserts + 1)
+                    ways.append((2 + c, "I" + a, ((role, None), *lines)))
+        return min(ways, default=(10 ** 9, "", ()), key=lambda w: w[:2])
+
+    cost, audit, lines = best(0, "")
+    text = "\n".join(f"{role or rows[i][2]}:{'' if i is None else rows[i][3]}" for role, i in lines)
+    turns = [t for _, t, _, _ in rows if t is not None]
+    pairs = [a[2][:1] + b[2][:1] for a, b in zip(rows, rows[1:])]
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")],
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256(text.encode()).hexdigest())
+
+
+def digest(row):
+    return hashlib.sha256(f"{len(row[2])}:{row[2]}{row[3]}".encode()).digest()
+
+
+def expected(rows, everyone):
+    out = {}
+    for conv in everyone:
+        mine = [r for r in rows if r[0] == conv]
+        out[conv] = brute(sorted(mine, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), digest(r))))
+    return out
+
+
+def run(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = conversations.repair(conversations.damage(df), df).select(COLUMNS).collect()
+    assert len(got) == len({r[0] for r in rows})
+    return {r[0]: tuple(r)[1:] for r in got}
+
+
+def check(spark, rows):
+    assert run(spark, rows) == expected(damaged(rows), {r[0] for r in rows})
+
+
+def made(rng, convs, turns, role=None):
+    texts = ["Yes.", "No!", "Why?", "cut off", "Well. ", "  ", "", None, "Yes.", "last\n", "end.\n", "ß."]
+    roles = ["user", "assistant", "system", "tool", "", None, "unit", "User"]
+    return [(c, t, role or rng.choice(roles[:3] if rng.random() < 0.8 else roles), rng.choice(texts) if rng.random() < 0.5 else f"Line {t}.")
+            for c in range(convs) for t in range(rng.randint(1, turns))]
+
+
+def test_random_conversations(spark):
+    check(spark, made(random.Random(1), 300, 9))
+
+
+def test_edge_cases(spark):
+    rows = [(1, None, "user", "Hi."), (1, None, "user", "Hi."), (1, 3, "assistant", "Yes."), (1, 3, "assistant", "Yes!"),
+            (2, None, None, None), (None, 0, "user", "A."), (None, 1, "assistant", "B."), (None, None, "system", "C."),
+            (3, -5, "system", "x."), (3, 7, "user", "y" * 100_000), (3, 9, "assistant", "z."), (4, 1, "assistant", "only."),
+            (5, 1, "system", "s."), (5, 2, "system", "t."), (6, 1, "tool", "r."), (7, 1, "user", "á."), (7, 1, "user", "á.")]
+    check(spark, rows)
+
+
+def test_dropped_conversation_is_answered(spark):
+    conv = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    assert run(spark, [(conv, 0, "user", "Gone.")]) == {conv: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+def test_empty_table(spark):
+    assert run(spark, []) == {}
+
+
+def test_clashing_columns(spark):
+    rows = made(random.Random(3), 20, 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("conv", "rid", "kind", "chunk", "symbol", "digest", "cost", "audit", "__copy", "blank"):
+        df = df.withColumn(c, F.lit(1))
+    got = conversations.repair(conversations.damage(df), df).select(COLUMNS).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == run(spark, rows)
+
+
+def test_hot_conversation_in_many_chunks(spark, monkeypatch):
+    """One conversation of a third of all rows, in chunks of 16 rows over several ranges; also equal rows beyond a chunk."""
+    monkeypatch.setattr(conversations, "CHUNK_BITS", 4)
+    rng = random.Random(4)
+    rows = made(rng, 60, 8) + [(1000, t, r, x) for _, t, r, x in made(rng, 1, 2)[:0]]
+    rows += [(1000, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice(["Same.", f"Own {t}.", "cut"])) for t in range(300)]
+    rows += [(1001, 1, "user", "Again.")] * 90
+    import sys
+    sys.setrecursionlimit(10_000)
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("length", range(0, 10))
+def test_tables_agree_with_single_steps(length):
+    tables = conversations.Tables()
+    assert len(tables.vectors) < 500
+    rng = random.Random(length)
+    for _ in range(30):
+        symbols = [rng.randrange(9) for _ in range(length)]
+        import numpy as np
+        matrix = tables.matrices([np.array(symbols, np.int64)])[0]
+        for to, unit in enumerate(conversations.UNITS):
+            v = unit
+            for s in reversed(symbols):
+                v = conversations.before(s, v)
+            assert matrix[:, to].tolist() == [min(c, conversations.FAR) for c in v]
+
+
+def test_query_on_a_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {r[0]: tuple(r)[1:] for r in queries.op13_conversation_repair(spark, sf).collect()}
+    assert got == expected(damaged(rows), {r[0] for r in rows})
