@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 LOT = 2 << 20        # characters of the documents whose pairs are numbered together (a longer document is alone)
-REMEMBER = 1 << 22   # characters of distinct units that a task remembers
+REMEMBER = 1 << 23   # characters of distinct units that a task remembers
 JOINED = 1 << 16     # characters of units that are encoded in one call
 MARK = "▁"
 # Signs beside which a space is no cut: all that any rule counts as white space, controls, joiners, and the mark itself.
@@ -93,8 +93,8 @@ class Pieces:
         return self.processor.encode(units, num_threads=1)
 
 
-def units_of(text: str, unsafe: set[str], words: list[str]) -> list[str]:
-    """``words`` (the text split at spaces), joined again across every space that is no cut; a space goes before each unit."""
+def units_of(words: list[str], unsafe: set[str]) -> list[str]:
+    """``words`` (a text split at spaces), joined again across every space that is no cut; a space goes before each unit."""
     if unsafe.isdisjoint(words):
         return words
     units: list[str] = []
@@ -150,7 +150,7 @@ class UnitTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.held = 0
+        self.held, self.unsafe = 0, set()   # of words that start or end with a blank sign
         self.counts, self.valid = np.zeros((0, 3), np.int64), np.zeros(0, bool)
         self.text: list[bytes] = []
         self.pairs, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -160,7 +160,7 @@ class UnitTable:
         lone, safe, lots, ids_a, ids_b = [], [], [[]], [], []
         size = 0
         for u in units:
-            if EDGE.search(u):
+            if u in self.unsafe or " " in u and EDGE.search(u):
                 lone.append(u)
                 continue
             if size >= JOINED:
@@ -247,6 +247,15 @@ def lots_of(work: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+def new_units(split: list[list[str]], table: UnitTable) -> list[str]:
+    """The distinct units that ``table`` lacks; ``split`` (words of each slice) becomes units in place."""
+    seen = set(chain.from_iterable(split))
+    table.unsafe.update(w for w in seen if w not in table.index and EDGE.search(w))
+    if not table.unsafe.isdisjoint(seen):
+        split[:] = [units_of(words, table.unsafe) for words in split]
+    return [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in table.index]
+
+
 def align_lot(texts: list[str | None], table: UnitTable):
     """Per text (n_a, n_b, n_groups, n_links, groups' SHA-256, pair numbers, how often each), the lot's pairs and their sums."""
     total = np.zeros((len(texts), 4), np.int64)
@@ -254,12 +263,10 @@ def align_lot(texts: list[str | None], table: UnitTable):
     begun, found = [False] * len(texts), []
     for part in lots_of((n, s) for n, t in enumerate(texts) if t for s in slices(t)):
         split = [s.split(" ") for _, s in part]
-        unsafe = {w for w in set(chain.from_iterable(split)) if EDGE.search(w)}
-        split = [units_of(s, unsafe, w) for (_, s), w in zip(part, split)]
-        fresh = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in table.index]
+        fresh = new_units(split, table)
         if table.held + sum(map(len, fresh)) > REMEMBER:
             table.clear()
-            fresh = list(dict.fromkeys(chain.from_iterable(split)))
+            fresh = new_units(split, table)
         table.add(fresh)
         units = np.fromiter(map(table.index.__getitem__, chain.from_iterable(split)), np.int64)
         at, links = gather(table.offsets, units)
