@@ -24,7 +24,10 @@ from ..functions.clean import (coalesce_existing, id_from_prefixed, onehot_label
 from ..functions.numeric import (fixed_mean, fixed_sum, floor_half_up, format_fixed, to_units, unit_sum, units_mean,
                                  units_to_fixed)
 from ..functions.predicates import contains_text, exclude_both, matches, ordinal_position
-from ..operators import agg, join, panel, rank, score, shape, stats
+from ..functions import lists
+from ..operators import agg, join, nested, panel, rank, score, shape, stats
+from ..operators.facets import facets
+from ..operators.gram import corr_tiles
 from ..operators.score import ScenarioSpec
 from ..sources.tables import load
 
@@ -706,6 +709,74 @@ def q_coalesce_drift(spark: SparkSession, sf: str) -> DataFrame:
     return agg.count_by(named, ["segment"], name="n_customers").orderBy("segment")
 
 
+# --- lookups kept as arrays, ordered lists, facets, many correlations -----------------------
+NESTED_ROWS = 8   # matches to a row of the nested lookup
+LIST_ROWS = 10    # rows of the ordered list, as the source keeps them
+
+
+def q_lookup_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Q16 / Q17 (document form): every customer with its orders as arrays, in chunks; the keys and statuses as arrays of a field."""
+    cust = load(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    orders = load(spark, sf, "orders", ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"])
+    orders = orders.withColumn("cents", to_units("o_totalprice"))
+    out = nested.lookup_nested(cust, orders, "c_custkey", "o_custkey", "o_orderkey", ["o_orderkey", "o_orderstatus", "cents"],
+                               as_name="orders", chunk_rows=NESTED_ROWS)
+    return out.select("c_custkey", "c_mktsegment", "chunk", F.size("orders").cast("bigint").alias("n_orders"),
+                      F.to_json("orders").alias("orders"), F.to_json("orders.o_orderkey").alias("order_keys"),
+                      F.array_join("orders.o_orderstatus", "").alias("statuses"))
+
+
+def q_lookup_nonempty(spark: SparkSession, sf: str) -> DataFrame:
+    """Q17: the non-empty-array test on a nested lookup: parts with their large sales, parts without any dropped."""
+    part = load(spark, sf, "part", ["p_partkey", "p_brand"])
+    li = load(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]).filter(F.col("l_quantity") >= 45)
+    sale = F.col("l_orderkey") * 8 + F.col("l_linenumber")   # a unique number of the line
+    li = li.select("l_partkey", sale.alias("sale"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    out = nested.lookup_nested(part, li, "p_partkey", "l_partkey", "sale", ["sale", "quantity"], as_name="sales",
+                               chunk_rows=NESTED_ROWS, how="inner")
+    return out.select("p_partkey", "p_brand", "chunk", F.to_json("sales").alias("sales"))
+
+
+def q_last_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2 (document form): each customer's last orders as an array; its slices, ends, and exact means of a field."""
+    orders = load(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"])
+    orders = orders.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey",
+                           "o_totalprice", to_units("o_totalprice").alias("cents"))
+    out = nested.last_list(orders, ["o_custkey"], ["day", "o_orderkey"], ["cents", "o_totalprice"], LIST_ROWS)
+    price = "last.o_totalprice"
+    slim = F.transform("last", lambda s: F.struct(s["day"].alias("day"), s["o_orderkey"].alias("o_orderkey"), s["cents"].alias("cents")))
+    return out.select(
+        "o_custkey", F.size("last").cast("bigint").alias("n_last"), F.to_json(slim).alias("last"),
+        F.to_json(lists.tail("last.o_orderkey", 3)).alias("last_3"), F.to_json(lists.head("last.o_orderkey", 2)).alias("first_2"),
+        lists.element("last.o_orderkey", 0).alias("oldest"), lists.element("last.o_orderkey", -1).alias("newest"),
+        lists.element("last.o_orderkey", 9).alias("tenth"),
+        F.round(lists.mean_of(price), 2).cast("double").alias("avg_price"),
+        F.round(lists.mean_of(lists.tail(price, 3)), 2).cast("double").alias("avg_price_3"))
+
+
+def q_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8 (document form): four groupings of the line items side by side, from one scan."""
+    li = load(spark, sf, "lineitem", ["l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice"])
+    li = li.withColumn("ship_month", F.month("l_shipdate").cast("bigint"))
+    out = facets(li, {"by_flag": ["l_returnflag", "l_linestatus"], "by_month": ["ship_month"], "by_line": ["l_linenumber", "l_returnflag"],
+                      "all": []},
+                 {"n_lines": F.count(F.lit(1)), "quantity": fixed_sum("l_quantity"), "avg_price": fixed_mean("l_extendedprice"),
+                  "max_price": F.max("l_extendedprice")})
+    return out.withColumns({"quantity": _double("quantity"), "avg_price": F.round("avg_price", 4).cast("double")})
+
+
+CORR_COLUMNS = 200
+
+
+def q_corr_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Q19: the correlation matrix of two hundred derived columns, in tiles; some rows lack some of them."""
+    orders = load(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    cols = {f"c{k}": F.when((key + k) % 23 != 0, (key * (2 * k + 1) + cust * (k % 7)) % (89 + k) + (cust % 10) * (k % 5))
+            for k in range(CORR_COLUMNS)}
+    return corr_tiles(orders.select(*[c.alias(n) for n, c in cols.items()]), list(cols), scale=6)
+
+
 QUERIES: dict[str, Query] = {
     "first_last_delta": q_first_last_delta,
     "first_last_delta_half_even": q_first_last_delta_half_even,
@@ -763,4 +834,9 @@ QUERIES: dict[str, Query] = {
     "fanout_sum": q_fanout_sum,
     "distinct_union": q_distinct_union,
     "coalesce_drift": q_coalesce_drift,
+    "lookup_nested": q_lookup_nested,
+    "lookup_nonempty": q_lookup_nonempty,
+    "last_list": q_last_list,
+    "facets": q_facets,
+    "corr_tiles": q_corr_tiles,
 }

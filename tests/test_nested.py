@@ -1,0 +1,136 @@
+"""Nested lookups in chunks, ordered lists, and the array helpers."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabulant.functions import lists
+from tabulant.operators import nested
+from tests.conftest import rows
+
+DIM = "k long, id long, v string"
+
+
+def table(spark, data, schema):
+    return spark.createDataFrame(data, schema)
+
+
+def test_position_in_key_matches_sorting(spark):
+    rng = random.Random(1)
+    ids = [rng.randrange(-2 ** 62, 2 ** 62) for _ in range(300)] + rng.sample(range(500), 300) + [-1, -70000, 65536, 2 ** 63 - 1, -2 ** 63]
+    ids = list(dict.fromkeys(ids))
+    data = [(rng.choice([1, 1, 1, 2, None]), i, "x") for i in ids]
+    got = nested.position_in_key(table(spark, data, DIM), "k", "id").collect()
+    for key in (1, 2, None):
+        mine = sorted(i for k, i, _ in data if k == key)
+        assert sorted((r.position, r.id) for r in got if r.k == key) == list(enumerate(mine))
+    assert len(got) == len(data)
+
+
+def test_position_with_repeated_and_null_ids_numbers_every_row(spark):
+    data = [(1, 5, "a"), (1, 5, "b"), (1, None, "c"), (1, None, "d"), (1, 7, "e")]
+    got = nested.position_in_key(table(spark, data, DIM), "k", "id").collect()
+    assert sorted(r.position for r in got) == [0, 1, 2, 3, 4]
+    assert {r.position for r in got if r.v in "cd"} == {0, 1} and next(r.position for r in got if r.v == "e") == 4
+
+
+def lookup(spark, facts, dim, **kw):
+    df = nested.lookup_nested(table(spark, facts, "fk long, name string"), table(spark, dim, DIM), "fk", "k", "id", ["id", "v"], **kw)
+    return sorted(((r.fk is not None, r.fk or 0), r.name, r.chunk, [(m.id, m.v) for m in r.matches]) for r in df.collect())
+
+
+FACTS = [(1, "one"), (2, "two"), (3, "three"), (None, "none"), (1, "again")]
+
+
+def test_left_keeps_facts_without_matches_as_empty_arrays(spark):
+    dim = [(1, 10, "a"), (1, 5, "b"), (2, 1, None), (None, 9, "z"), (4, 2, "q")]
+    expected = [((True, 1), n, 0, [(5, "b"), (10, "a")]) for n in ("again", "one")] + [
+        ((True, 2), "two", 0, [(1, None)]), ((True, 3), "three", 0, []), ((False, 0), "none", 0, [])]
+    assert lookup(spark, FACTS, dim) == sorted(expected)
+    assert lookup(spark, FACTS, dim, how="inner") == sorted(e for e in expected if e[3])
+
+
+def test_chunks_are_bounded_ordered_and_whole(spark):
+    dim = [(1, i, str(i)) for i in random.Random(2).sample(range(10_000), 25)]
+    got = [r for r in lookup(spark, [(1, "one")], dim, chunk_rows=10)]
+    assert [(c, len(m)) for _, _, c, m in got] == [(0, 10), (1, 10), (2, 5)]
+    assert [m for *_, ms in got for m in ms] == sorted((i, v) for _, i, v in dim)
+
+
+def test_exactly_one_full_chunk(spark):
+    assert [(c, len(m)) for _, _, c, m in lookup(spark, [(1, "one")], [(1, i, "x") for i in range(10)], chunk_rows=10)] == [(0, 10)]
+
+
+def test_empty_sides(spark):
+    assert lookup(spark, [], [(1, 1, "a")]) == []
+    assert [m for *_, m in lookup(spark, FACTS, [])] == [[]] * len(FACTS)
+    with pytest.raises(ValueError):
+        lookup(spark, FACTS, [], how="outer")
+
+
+def test_hot_key_is_many_rows_and_no_group_is_whole(spark):
+    """A third of all matches share a key: chunks of 100, and no window partitioned by the key alone sees matches."""
+    hot = spark.range(30_000).select(F.lit(7).cast("long").alias("k"), (F.col("id") * 3).alias("id"), F.lit("h").alias("v"))
+    rest = spark.range(60_000).select((F.col("id") % 5000 + 100).alias("k"), (F.col("id") + 1_000_000).alias("id"), F.lit("r").alias("v"))
+    facts = spark.range(6000).select(F.col("id").alias("fk"), F.lit("f").alias("name"))
+    df = nested.lookup_nested(facts, hot.unionByName(rest), "fk", "k", "id", ["id"], chunk_rows=100)
+    sizes = df.filter("fk = 7").select("chunk", F.size("matches").alias("n"), F.try_element_at("matches", F.lit(1))["id"].alias("first")).collect()
+    assert sorted((r.chunk, r.n, r["first"]) for r in sizes) == [(c, 100, c * 300) for c in range(300)]
+    assert df.agg(F.sum(F.size("matches"))).first()[0] == 90_000
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "row_number()" in line and "Window [" in line]
+    assert windows and all("shiftright" in w or "_w" in w or ", " in w.split("], [")[1] for w in windows)
+
+
+def test_field_of_matches_is_an_array(spark):
+    df = nested.lookup_nested(table(spark, [(1, "one")], "fk long, name string"), table(spark, [(1, 2, "b"), (1, 1, "a")], DIM),
+                              "fk", "k", "id", ["id", "v"])
+    assert df.select("matches.v").first()[0] == ["a", "b"]
+
+
+def test_lookup_builds_without_a_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-nested", "no job")
+    nested.lookup_nested(table(spark, FACTS, "fk long, name string"), table(spark, [], DIM), "fk", "k", "id", ["id"])
+    assert not tracker.getJobIdsForGroup("build-nested")
+    spark.sparkContext.setJobGroup("", "")
+
+
+LIST = "g string, t int, v double, w string"
+
+
+def last(spark, data, n):
+    df = nested.last_list(table(spark, data, LIST), ["g"], ["t"], ["v", "w"], n)
+    return {r.g: [tuple(x) for x in r.last] for r in df.collect()}
+
+
+def test_last_list_more_fewer_and_exactly_n(spark):
+    data = [("a", t, float(t), "x") for t in range(4)] + [("b", 1, 1.0, "x")] + [("c", t, 0.0, "x") for t in range(3)]
+    assert last(spark, data, 3) == {"a": [(1, 1.0, "x"), (2, 2.0, "x"), (3, 3.0, "x")], "b": [(1, 1.0, "x")],
+                                    "c": [(0, 0.0, "x"), (1, 0.0, "x"), (2, 0.0, "x")]}
+
+
+def test_last_list_ties_nulls_and_repeats(spark):
+    data = [("a", 1, 2.0, "x"), ("a", 1, 1.0, "y"), ("a", 1, 2.0, "w"), ("a", None, 9.0, "x"), ("a", 1, 2.0, "x"), (None, 1, None, None)]
+    expected = {"a": [(1, 2.0, "w"), (1, 2.0, "x"), (1, 2.0, "x")], None: [(1, None, None)]}
+    assert last(spark, data, 3) == expected == last(spark, data[::-1], 3)
+    assert last(spark, data, 9)["a"][0] == (None, 9.0, "x")
+    assert last(spark, [], 3) == {}
+
+
+def test_last_list_limits_before_and_after_the_shuffle(spark):
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"),
+                                     F.col("id").cast("int").alias("t"), F.lit(1.0).alias("v"), F.lit("w").alias("w"))
+    df = nested.last_list(hot, ["g"], ["t"], ["v"], 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("Exchange hashpartitioning") == 1
+    assert [x.t for x in df.filter("g = 'hot'").first().last] == [29985, 29988, 29991, 29994, 29997]
+
+
+def test_list_helpers(spark):
+    df = table(spark, [(1, [1.25, None, 2.5, 3.0]), (2, []), (3, [None]), (4, [7.0])], "i int, a array<double>")
+    got = rows(df.select("i", lists.tail("a", 2), lists.head("a", 2), lists.element("a", 0), lists.element("a", -1), lists.element("a", 3),
+                         lists.mean_of("a").cast("double")))
+    assert [tuple(g) for g in got] == [(1, [2.5, 3.0], [1.25, None], 1.25, 3.0, 3.0, 2.25), (2, [], [], None, None, None, None),
+                                       (3, [None], [None], None, None, None, None), (4, [7.0], [7.0], 7.0, 7.0, None, 7.0)]
