@@ -121,6 +121,38 @@ def pivot_measure(df: DataFrame, key: str | list[str], pivot: str, values: list,
     return wide.select(*out)
 
 
+def pivot_open(df: DataFrame, key: str | list[str], pivot: str, measure: Column, max_columns: int = 20, map_rows: int = 1000,
+               null_name: str = "(null)", rest: str = "rest", part: str = "part") -> DataFrame:
+    """Long -> wide without knowing the pivot's values: the most frequent become columns, the others a map.
+
+    ``measure`` is an aggregate.  The ``max_columns`` values with the most rows
+    (ties: the smaller as text) are found first, in one aggregate and a top-k:
+    that is the one job that runs while the plan is built, as column names
+    have to be known.  All other values of a key are entries of the map
+    column ``rest``, so none is lost and the number of columns is bounded.  A key
+    with more than about ``map_rows`` other values has several rows, numbered
+    by ``part`` from 0, with its entries dealt over them by a hash; its columns
+    are filled in part 0.  NULL pivot values count as ``null_name``.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.withColumn("__p", F.coalesce(F.col(pivot).cast("string"), F.lit(null_name)))
+    top = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__p").limit(max_columns)
+    heavy = [r[0] for r in top.select("__p").collect()]   # at most max_columns values
+    cells = rows.groupBy(*keys, "__p").agg(measure.alias("__v")).withColumn("__heavy", F.col("__p").isin(*heavy))
+    others = cells.groupBy(*keys).agg(F.count_if(~F.col("__heavy")).alias("__m"))
+    others = forget_partitioning(others.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__m"))
+    same = None
+    for i, k in enumerate(keys):
+        term = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        same = term if same is None else same & term
+    parts = F.greatest(F.ceil(F.col("__m") / F.lit(map_rows)), F.lit(1))
+    place = F.when(F.col("__heavy"), F.lit(0)).otherwise(F.pmod(F.xxhash64("__p"), parts)).cast("long")
+    dealt = cells.join(others, same).withColumn(part, place)
+    entries = F.sort_array(F.collect_list(F.when(~F.col("__heavy"), F.struct("__p", "__v"))))
+    wide = [F.max(F.when(F.col("__p") == v, F.col("__v"))).alias(v) for v in heavy]
+    return dealt.groupBy(*keys, part).agg(*wide, F.map_from_entries(entries).alias(rest))
+
+
 def seasonal_mean(df: DataFrame, entity: str, month: str, measures: list[str], southern: Column,
                   north_months: tuple[int, ...] = NORTH_WINTER, south_months: tuple[int, ...] = SOUTH_WINTER,
                   scale: int = 4, prefix: str = "avg_winter_", extra_keys: list[str] | None = None,

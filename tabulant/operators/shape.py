@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.numeric import row_sum
 from .join import forget_partitioning
@@ -45,15 +46,47 @@ def rows_of_duplicate_keys(df: DataFrame, key: str | list[str], digest: bool = F
     return rows.join(forget_partitioning(dup), on, "left_semi").select(*df.columns)
 
 
-def dedupe_clean(df: DataFrame, exclude: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row, NULL told apart from empty text; equal rows have equal digests."""
+    def part(field):
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (DoubleType, FloatType)):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)   # -0.0 and 0.0 are one value
+        text = c.cast("string")
+        return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(*[part(f) for f in df.schema.fields]).cast("binary"), 256))
+
+
+def distinct_wide(df: DataFrame) -> DataFrame:
+    """The distinct rows of a table with wide columns such as whole texts (``SELECT DISTINCT *``).
+
+    Digests of whole rows are counted first: 32 bytes are shuffled for each
+    distinct row of a task.  A row whose digest occurs once is distinct and
+    passes; only rows whose digest repeats are fetched and compared in full, so
+    the result does not rest on the digest, and copies of a hot row are one row
+    for each task before they are shuffled.  While repeated digests are few they
+    are broadcast, and rows that have no copy are not shuffled at all.
+    """
+    rows = df.withColumn("__digest", row_digest(df))
+    repeated = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select("__digest")
+    repeated = forget_partitioning(repeated)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    alone = rows.join(repeated, "__digest", "left_anti").select(*columns)
+    return alone.unionByName(rows.join(repeated, "__digest", "left_semi").select(*columns).distinct())
+
+
+def dedupe_clean(df: DataFrame, exclude: Column | None = None, keys: list[str] | None = None, digest: bool = False) -> DataFrame:
     """Drop excluded rows, then duplicates.
 
     ``exclude`` is a boolean column marking rows to remove (a NULL test keeps
     the row); ``keys=None`` de-duplicates whole rows (``SELECT DISTINCT *``),
-    a key list keeps one row per key combination.
+    a key list keeps one row per key combination.  ``digest``, for whole rows
+    with wide columns, finds the copies by digests first (``distinct_wide``).
     """
     kept = df.filter(~F.coalesce(exclude, F.lit(False))) if exclude is not None else df
-    return kept.dropDuplicates(keys) if keys else kept.distinct()
+    if keys:
+        return kept.dropDuplicates(keys)
+    return distinct_wide(kept) if digest else kept.distinct()
 
 
 def dedupe_project(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ schema.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,14 @@ from ..functions.clean import (coalesce_existing, id_from_prefixed, onehot_label
 from ..functions.numeric import (fixed_mean, fixed_sum, floor_half_up, format_fixed, to_units, unit_sum, units_mean,
                                  units_to_fixed)
 from ..functions.predicates import contains_text, exclude_both, matches, ordinal_position
-from ..functions import lists
-from ..operators import agg, join, nested, panel, rank, score, shape, stats
+from ..functions import collate, lists
+from ..operators import agg, join, nested, panel, rank, score, shape, sketch, stats
 from ..operators.facets import facets
 from ..operators.gram import corr_tiles
+from ..operators.ranges import range_lookup
 from ..operators.score import ScenarioSpec
+from ..session import ensure_checkpoint_dir
+from ..sources import export
 from ..sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,9 +187,9 @@ def _doc_exclusion() -> F.Column:
 
 
 def q_dedupe_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Drop excluded rows, then whole-row duplicates."""
+    """Drop excluded rows, then whole-row duplicates, found by digests of the rows."""
     docs = load(spark, sf, "documents", ["text", "lang", "source"])
-    return shape.dedupe_clean(docs, exclude=_doc_exclusion())
+    return shape.dedupe_clean(docs, exclude=_doc_exclusion(), digest=True)
 
 
 def q_dedupe_project(spark: SparkSession, sf: str) -> DataFrame:
@@ -777,6 +781,110 @@ def q_corr_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return corr_tiles(orders.select(*[c.alias(n) for n, c in cols.items()]), list(cols), scale=6)
 
 
+# --- sketches, interval tables, caseless keys, open pivots, exports ------------------------------
+def q_distinct_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct parts sold a month and a year from sketches made a day, with the exact count beside them.
+
+    ``within_bound``: the estimate is off by no more than the sketch's bound;
+    ``merged_is_whole``: merged states say the same as one pass over all rows.
+    """
+    li = load(spark, sf, "lineitem", ["l_shipdate", "l_partkey"])
+    days = sketch.sketch_by(li, [F.to_date("l_shipdate").alias("day")], "l_partkey")
+    parts = []
+    for form in ("yyyy-MM", "yyyy"):
+        period = F.date_format("l_shipdate", form).alias("period")
+        merged = sketch.merge_sketches(days, [F.date_format("day", form).alias("period")])
+        whole = sketch.sketch_by(li, [period], "l_partkey", name="whole")
+        exact = li.groupBy(period).agg(F.count_distinct("l_partkey").alias("n_parts"))
+        parts.append(exact.join(merged, "period").join(whole, "period"))
+    both = parts[0].unionByName(parts[1])
+    off = F.abs(sketch.estimate() - F.col("n_parts"))
+    return both.select("period", "n_parts", (off <= sketch.error_bound(F.col("n_parts"))).alias("within_bound"),
+                       (sketch.estimate() == sketch.estimate("whole")).alias("merged_is_whole"))
+
+
+TIER_WIDTH = 300.0
+
+
+def q_range_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Q23b / Q23d: orders in thousands of overlapping price tiers, some without an upper end, summed up by brand."""
+    part = load(spark, sf, "part", ["p_partkey", "p_brand"])
+    lo = (F.col("p_partkey") - 1) * F.lit(TIER_WIDTH)
+    hi = F.when(F.col("p_partkey") % 1000 != 0, lo + TIER_WIDTH + (F.col("p_partkey") % 5) * F.lit(150.0))
+    tiers = part.select("p_brand", lo.alias("lo"), hi.alias("hi"))
+    orders = load(spark, sf, "orders", ["o_totalprice"]).withColumn("cents", to_units("o_totalprice"))
+    found = range_lookup(orders, "o_totalprice", tiers, "lo", "hi", ["p_brand"], width=TIER_WIDTH, levels=3)
+    return found.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("cents").alias("cents"))
+
+
+def _mixed_case(c: str, key: str) -> F.Column:
+    """Input as the dumps store it: one name in several spellings."""
+    return F.when(F.col(key) % 3 == 0, F.upper(c)).when(F.col(key) % 3 == 1, F.lower(c)).otherwise(F.col(c))
+
+
+def q_collate_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Q12: parts and their mean price per type, whatever the type's case; named by its smallest spelling."""
+    part = load(spark, sf, "part", ["p_partkey", "p_type", "p_retailprice"])
+    raw = part.select(_mixed_case("p_type", "p_partkey").alias("type_text"), "p_retailprice")
+    out = collate.group_caseless(raw, "type_text", {"n_parts": F.count(F.lit(1)), "avg_price": F.round(fixed_mean("p_retailprice"), 4)})
+    return out.withColumn("avg_price", _double("avg_price"))
+
+
+def q_collate_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Q11: the distinct (brand, type) pairs whatever their case, each in a spelling that occurs."""
+    part = load(spark, sf, "part", ["p_partkey", "p_brand", "p_type"])
+    raw = part.select(_mixed_case("p_brand", "p_partkey").alias("brand_text"), _mixed_case("p_type", "p_partkey").alias("type_text"))
+    return collate.distinct_caseless(raw, ["brand_text", "type_text"])
+
+
+def q_collate_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Q13: the first 25 parts by name whatever its case."""
+    part = load(spark, sf, "part", ["p_partkey", "p_name"])
+    raw = part.select("p_partkey", _mixed_case("p_name", "p_partkey").alias("name_text"))
+    return collate.sort_caseless(raw, "name_text", "p_partkey").limit(25)
+
+
+def q_collate_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Q16: customers matched to nations by a nation name in any case."""
+    nation = load(spark, sf, "nation", ["n_nationkey", "n_name"])
+    cust = load(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
+    raw = join.enrich(cust, nation, "c_nationkey", "n_nationkey").select(
+        _mixed_case("n_name", "c_custkey").alias("nation_text"), to_units("c_acctbal").alias("cents"))
+    per = collate.group_caseless(raw, "nation_text", {"n_customers": F.count(F.lit(1)), "cents": F.sum("cents")})
+    return collate.join_caseless(per, nation, "nation_text", "n_name").select("n_nationkey", "n_name", "n_customers", "cents")
+
+
+PIVOT_COLUMNS = 5
+
+
+def q_pivot_open(spark: SparkSession, sf: str) -> DataFrame:
+    """Q9: order value per priority with a column for each of the five busiest months, found at run time, and a map of the rest."""
+    orders = load(spark, sf, "orders", ["o_orderdate", "o_orderkey", "o_orderpriority", "o_totalprice"])
+    # Input as the dumps store it: some dates are missing.
+    raw = orders.select("o_orderpriority", F.when(F.col("o_orderkey") % 50 != 0, F.date_format("o_orderdate", "yyyy-MM")).alias("month"),
+                        to_units("o_totalprice").alias("cents"))
+    wide = panel.pivot_open(raw, "o_orderpriority", "month", F.sum("cents"), max_columns=PIVOT_COLUMNS)
+    heavy = [c for c in wide.columns if c not in ("o_orderpriority", "part", "rest")]
+    values = F.array(*[F.col(f"`{c}`").cast("string") for c in heavy]).cast("array<string>")
+    return wide.select("o_orderpriority", "part", F.lit(",".join(heavy)).alias("months"), F.array_join(values, ",", "null").alias("cents"),
+                       F.size("rest").cast("bigint").alias("n_rest"), F.to_json("rest").alias("rest"))
+
+
+EXPORT_ROWS = 5000
+
+
+def q_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The source's CSV export, whole texts included: written in key ranges with a manifest, checked, and read again."""
+    docs = load(spark, sf, "documents")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulant-export-{uuid.uuid4().hex}"
+    export.export_files(docs, path, "doc_id", rows_per_file=EXPORT_ROWS)
+    back = export.read_verified(spark, path, docs.schema, "doc_id")
+    return back.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+# Built with jobs of their own: column names have to be known, files to be written.
+EAGER = {"pivot_open", "export_roundtrip"}
+
 QUERIES: dict[str, Query] = {
     "first_last_delta": q_first_last_delta,
     "first_last_delta_half_even": q_first_last_delta_half_even,
@@ -839,4 +947,12 @@ QUERIES: dict[str, Query] = {
     "last_list": q_last_list,
     "facets": q_facets,
     "corr_tiles": q_corr_tiles,
+    "distinct_sketch": q_distinct_sketch,
+    "range_tiers": q_range_tiers,
+    "collate_group": q_collate_group,
+    "collate_distinct": q_collate_distinct,
+    "collate_sort": q_collate_sort,
+    "collate_join": q_collate_join,
+    "pivot_open": q_pivot_open,
+    "export_roundtrip": q_export_roundtrip,
 }
