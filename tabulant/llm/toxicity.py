@@ -13,7 +13,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,12 @@ from .common import stage, uniform
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
               "!": "i", "|": "li", "+": "t", "(": "c", "*": "aeiou"}
 SIGN_COST, KEEP_COST, DROP_COST, JOIN_COST, SPACE_COST = 1.0, 8.0, 0.5, 0.2, 1.5
-LONGEST = 64  # signs of a word, repetitions aside; a longer part without a separator is no word and stays as it is
+REMEMBERED = 64  # signs of a token that is worth remembering; longer ones are decoded each time
 
 BOUNDARY, SYMBOLS = 0, 64
 TAIL, HEAD = ".,;:!?\"')]}", "\"'([{¿¡"
-SUSPECT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+*(]|[0-9@$!|+*(][^\W\d_]|^\w(?:[.\-_~]\w){2,}$")
+SUSPECT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+*(]|[0-9@$!|+*(][^\W\d_]|^\w{1,2}(?:[.\-_~]\w{1,2}){2,}$")
 RUN = re.compile(r"(.)\1{3,}")
-SEPARATOR = re.compile(r"([.\-_~])")
 
 
 def symbol(c: str) -> int:
@@ -43,25 +41,21 @@ def symbol(c: str) -> int:
     return 27 + ord(low) % 37 if low.isalpha() else BOUNDARY
 
 
-def _symbols() -> np.ndarray:
-    return np.array([symbol(chr(i)) for i in range(0x3000)], np.uint8)
-
-
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of symbol trigrams over all texts, each framed by boundaries; the table's size is fixed.
 
-    Characters from U+3000 on count as boundaries.  Partitions are counted
-    apart and summed by Spark; what reaches the driver is the table.
+    Partitions are counted apart and summed by Spark; what reaches the driver is the table.
     """
+    table = np.array([symbol(chr(i)) for i in range(0x110000)], np.uint8)   # of every character, as decoding sees it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = _symbols(), np.zeros(SYMBOLS ** 3, np.int64)
+        total = np.zeros(SYMBOLS ** 3, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 codes = np.frombuffer((text.as_py() or "").encode("utf-32-le", "replace"), np.uint32)
                 for at in range(0, len(codes), 1 << 20):  # the overlap of 2 keeps trigrams across blocks
                     part = codes[max(0, at - 2):at + (1 << 20)]
-                    s = np.where(part < len(table), table[np.minimum(part, len(table) - 1)], 0).astype(np.int32)
+                    s = table[part].astype(np.int32)
                     last = at + (1 << 20) >= len(codes)
                     s = np.concatenate([[0] * (2 if at == 0 else 0), s, [0] * last]).astype(np.int32)
                     total += np.bincount(s[:-2] * SYMBOLS ** 2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS ** 3)
@@ -136,19 +130,7 @@ def restore_token(token: str, logp: np.ndarray) -> list[str]:
     short = RUN.sub(r"\1\1\1", core)
     if not any(c.isalpha() for c in short):
         return [core]
-    if len(short) <= LONGEST:
-        return decode(short, logp).split() or [core]
-    parts = SEPARATOR.split(short)
-    if len(parts) == 1:
-        return [core]
-    words: list[str] = []
-    for long, group in groupby(parts, lambda p: len(p) > LONGEST):  # what lies between long parts is decoded whole
-        stretch = "".join(group)
-        if long or not any(c.isalpha() for c in stretch):
-            words += stretch.strip(".-_~").split()
-        else:
-            words += decode(stretch, logp).split()
-    return words or [core]
+    return decode(short, logp).split() or [core]
 
 
 class Words:
@@ -163,22 +145,25 @@ class Words:
             words = restore_token(token, self.logp)
             if len(self.known) >= self.remember:
                 self.known.clear()
-            if len(token) <= LONGEST:
+            if len(token) <= REMEMBERED:
                 self.known[token] = words
         return words
 
+    def spelt(self, tokens: list[str]) -> list[str]:
+        """The words that three or more single letters in a row may spell."""
+        words: list[str] = []
+        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+        for start, end in zip(edges[::2], edges[1::2]):
+            if end - start > 2:
+                letters = "".join(tokens[start:end]).lower()
+                if any(c.isalpha() for c in letters):
+                    words += decode(" ".join(letters), self.logp).split()
+        return words
+
     def of_text(self, text: str | None) -> set[str]:
         tokens = (text or "").split()
-        words = {w for t in set(tokens) for w in self.of_token(t)}
-        if len(tokens) > 2:  # three or more single letters in a row may spell a word
-            single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-            for start, end in zip(edges[::2], edges[1::2]):
-                if end - start > 2:
-                    letters = "".join(tokens[start:end]).lower()
-                    if any(c.isalpha() for c in letters):
-                        words.update(decode(" ".join(letters), self.logp).split())
-        return words
+        return {w for t in set(tokens) for w in self.of_token(t)}.union(self.spelt(tokens))
 
 
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -206,18 +191,39 @@ class Model:
     bias: float
 
     def places(self):
-        """A function from texts to the places of the features they have."""
-        words, hits, index = Words(self.logp), {}, self.index
+        """A function from texts to the places of the features they have.
+
+        Tokens behind which no chosen feature lies, nearly all, are set aside
+        in one set operation a text once they have been seen.
+        """
+        words, index, hits = Words(self.logp), self.index, {}
+        dull: set[str] = set()
+
+        def of_word(word: str) -> tuple[str, ...]:
+            names = hits.get(word)
+            if names is None:
+                names = tuple(f for f in features(word) if f in index)
+                if names:
+                    hits[word] = names
+            return names
 
         def of(text: str | None) -> list[int]:
+            tokens = (text or "").split()
+            distinct = set(tokens)
+            found = words.spelt(tokens) if any(len(t) == 1 for t in distinct) else []
+            for t in distinct - dull:
+                own = words.of_token(t)
+                if any(map(of_word, own)):
+                    found += own
+                elif len(t) <= REMEMBERED:
+                    words.known.pop(t, None)   # one place to remember it is enough
+                    dull.add(t)
+            for seen in (dull, hits):
+                if len(seen) > words.remember:
+                    seen.clear()
             count: dict[str, int] = {}
-            for w in words.of_text(text):
-                names = hits.get(w)
-                if names is None:
-                    if len(hits) >= words.remember:
-                        hits.clear()
-                    names = hits[w] = tuple(f for f in features(w) if f in index)
-                for f in names:
+            for w in set(found):
+                for f in of_word(w):
                     count[f] = count.get(f, 0) + 1
             return sorted(at for f, n in count.items() for t, at in index[f] if n >= t)
 

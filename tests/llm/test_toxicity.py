@@ -54,8 +54,8 @@ def test_disguises_are_undone():
         assert tx.restore_token(token, logp) == [word], token
     assert "idiot" in tx.Words(logp).of_text("you I D I O T there")
     assert tx.Words(logp).of_text(None) == tx.Words(logp).of_text("  \n") == set()
-    long = "x1" * 50_000
-    assert tx.restore_token(long, logp) == [long]
+    assert tx.restore_token("id.io.t", logp) == ["idiot"] and tx.restore_token("st_up-id", logp) == ["stupid"]
+    assert tx.restore_token("12.03.24", logp) == ["12.03.24"] and tx.restore_token("well-known", logp) == ["well-known"]
 
 
 def test_long_disguises_are_undone():
@@ -76,6 +76,37 @@ def test_long_disguises_are_undone():
     assert "idiot" in tx.restore_token(".".join(letters * 100), logp)
 
 
+def test_long_parts_without_a_separator_are_decoded():
+    """However long a token: its signs are undone, in time and memory in proportion to it."""
+    logp = tiny_model()
+    assert tx.restore_token("1d10t" * 20, logp) == ["idiot" * 20]
+    assert tx.restore_token("x" * 100 + "1d10t" * 20, logp) == ["xxx" + "idiot" * 20] or "idiot" * 20 in tx.restore_token(
+        "x" * 100 + "1d10t" * 20, logp)[0]
+    long = tx.restore_token("1d10t" * 20_000, logp)
+    assert long == ["idiot" * 20_000]
+
+
+def test_scores_do_not_depend_on_what_was_read_before():
+    """Tokens set aside or remembered, and tables emptied in between, leave every score as it is."""
+    logp = tiny_model()
+    model = tx.Model(logp, {"idiot": [(1, 0)], "clow^": [(1, 1), (2, 2)]}, np.array([3.0, 1.0, 2.0]), -2.0)
+    texts = ["an 1d10t", "a person", "clown clowns", "cl0wn", "i d i o t", None, "", "x 1d10t x", "a b c", "idiot Idiot! IDIOT", "1d10t" * 30]
+    fresh = [model.scorer()(t) for t in texts]
+    of = model.scorer()
+    assert [of(t) for t in texts] == fresh == [of(t) for t in texts]
+    assert fresh[0] == fresh[4] == fresh[7] == fresh[9] > 0.5 > fresh[1] == fresh[5]
+    assert fresh[2] > fresh[3] > fresh[1]
+
+
+def test_all_scripts_are_counted_as_they_are_decoded(spark):
+    """Characters beyond U+3000 have the symbols of letters in the counts too."""
+    text = "漢字 한국어 ｆｕｌｌ 𐐷x"
+    s = [0, 0, *[tx.symbol(c) for c in text], 0]
+    got = tx.count_trigrams(frame(spark, [(1, text)]))
+    assert {tuple(map(int, i)): int(got[tuple(i)]) for i in np.argwhere(got)} == dict(Counter(zip(s, s[1:], s[2:])))
+    assert tx.symbol("漢") > 26 and tx.symbol("한") > 26
+
+
 def test_trigram_counts(spark, messy):
     want = Counter()
     for r in messy.collect():
