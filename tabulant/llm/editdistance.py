@@ -1,6 +1,7 @@
 """Segments and substrings of the partition-based edit join, and its banded bit-parallel verification.
 
-All of it works on bytes, so distances count UTF-8 bytes.
+Distances count the symbols of a string: code points of text, or bytes of
+``bytes``.  ASCII text is compared as bytes, other text as UTF-32.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ INDEX, PROBE = 1, 2
 
 
 def cut(length: int, pieces: int) -> list[tuple[int, int]]:
-    """(start, size) of ``pieces`` segments of a string of ``length`` bytes, sizes at most one apart."""
+    """(start, size) of ``pieces`` segments of a string of ``length`` symbols, sizes at most one apart."""
     short, longer = length // pieces, length % pieces
     sizes = [short] * (pieces - longer) + [short + 1] * longer
     starts = np.cumsum([0, *sizes[:-1]]).tolist()
@@ -21,10 +22,10 @@ def cut(length: int, pieces: int) -> list[tuple[int, int]]:
 
 
 def key_plan(length: int, edits: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(start, end, seed, role) of every substring that a string of ``length`` bytes is found by.
+    """(start, end, seed, role) of every substring that a string of ``length`` symbols is found by.
 
     A string is indexed under its own segments.  It probes the segments of
-    strings up to ``edits`` bytes shorter with those of its substrings that can
+    strings up to ``edits`` symbols shorter with those of its substrings that can
     be aligned to them: at most ``i`` edits lie before segment ``i`` and the
     rest after it, which bounds the shift from both sides.
     """
@@ -40,47 +41,63 @@ def key_plan(length: int, edits: int) -> tuple[tuple[int, int, int, int], ...]:
     return tuple(plan)
 
 
-def _matrix(strings: list[bytes], height: int, fill: int) -> np.ndarray:
-    """Strings as columns, padded with a byte that occurs in no UTF-8 text."""
-    return np.frombuffer(b"".join(s.ljust(height, bytes([fill])) for s in strings), np.uint8).reshape(-1, height).T.copy()
+def _matrix(strings: list[bytes], height: int, fill: int, unit: type) -> np.ndarray:
+    """Strings as columns of symbols, padded with one that occurs in no text."""
+    size = np.dtype(unit).itemsize
+    return np.frombuffer(b"".join(s.ljust(height * size, bytes([fill])) for s in strings), unit).reshape(-1, height).T.copy()
 
 
-def _trim(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+def _trim(a: bytes, b: bytes, unit: type) -> tuple[bytes, bytes]:
     """Both without their common start and end."""
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = np.frombuffer(a, unit), np.frombuffer(b, unit)
+    n = min(len(x), len(y))
     differ = np.flatnonzero(x[:n] != y[:n])
     start = int(differ[0]) if len(differ) else n
     n -= start
-    differ = np.flatnonzero(x[len(a) - n:][::-1] != y[len(b) - n:][::-1])
+    differ = np.flatnonzero(x[len(x) - n:][::-1] != y[len(y) - n:][::-1])
     end = int(differ[0]) if len(differ) else n
-    return a[start:len(a) - end], b[start:len(b) - end]
+    size = x.itemsize
+    return a[start * size:len(a) - end * size], b[start * size:len(b) - end * size]
 
 
-def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
-    """Which pairs (a[i], b[i]) are at most ``edits`` insertions, deletions or replacements of a byte apart."""
+def _symbols(x: str | bytes, y: str | bytes) -> tuple[bytes, bytes, type]:
+    """A pair of strings as arrays of symbols of one width."""
+    if isinstance(x, bytes):
+        return x, y, np.uint8
+    if x.isascii() and y.isascii():
+        return x.encode(), y.encode(), np.uint8
+    return x.encode("utf-32-le", "surrogatepass"), y.encode("utf-32-le", "surrogatepass"), np.uint32
+
+
+def within(a: list, b: list, edits: int) -> np.ndarray:
+    """Which pairs (a[i], b[i]) are at most ``edits`` insertions, deletions or replacements of a symbol apart."""
     out = np.zeros(len(a), bool)
-    pairs = []
+    pairs: dict[type, list] = {np.uint8: [], np.uint32: []}
     for i, (x, y) in enumerate(zip(a, b)):
-        x, y = _trim(x, y)
+        if abs(len(x) - len(y)) > edits:
+            continue
+        x, y, unit = _symbols(x, y)
+        x, y = _trim(x, y, unit)
         if len(x) < len(y):
             x, y = y, x
+        size = np.dtype(unit).itemsize
         if not y:
-            out[i] = len(x) <= edits
-        elif len(x) - len(y) <= edits:
-            pairs.append((len(x), i, x, y))
-    pairs.sort(key=lambda p: p[0])
-    at = 0
-    while at < len(pairs):
-        end = at + 1
-        while end < len(pairs) and pairs[end][0] * (end + 1 - at) <= AREA:
-            end += 1
-        out[[p[1] for p in pairs[at:end]]] = _banded([p[2] for p in pairs[at:end]], [p[3] for p in pairs[at:end]], edits)
-        at = end
+            out[i] = len(x) <= edits * size
+        else:
+            pairs[unit].append((len(x) // size, i, x, y))
+    for unit, some in pairs.items():
+        some.sort(key=lambda p: p[0])
+        at = 0
+        while at < len(some):
+            end = at + 1
+            while end < len(some) and some[end][0] * (end + 1 - at) <= AREA:
+                end += 1
+            out[[p[1] for p in some[at:end]]] = _banded([p[2] for p in some[at:end]], [p[3] for p in some[at:end]], edits, unit)
+            at = end
     return out
 
 
-def _banded(longer: list[bytes], shorter: list[bytes], edits: int) -> np.ndarray:
+def _banded(longer: list[bytes], shorter: list[bytes], edits: int, unit: type) -> np.ndarray:
     """Bit-parallel dynamic programming over the diagonals within ``edits`` of the main one, all pairs abreast.
 
     Bit ``k`` of a word is the cell ``k - edits`` rows below the main diagonal.
@@ -93,10 +110,11 @@ def _banded(longer: list[bytes], shorter: list[bytes], edits: int) -> np.ndarray
     width = 2 * edits + 1
     word = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if width <= np.dtype(t).itemsize * 8)
     full, top, one = word((1 << width) - 1), word(1 << (width - 1)), word(1)
-    m, n = np.array([len(s) for s in longer]), np.array([len(s) for s in shorter])
+    size = np.dtype(unit).itemsize
+    m, n = np.array([len(s) // size for s in longer]), np.array([len(s) // size for s in shorter])
     height = int(n.max())
-    rows = _matrix([b"\xff" * edits + s for s in longer], int(m.max()) + 2 * edits + 1, 0xFF)
-    cols = _matrix(shorter, height, 0xFE)
+    rows = _matrix([b"\xff" * edits * size + s for s in longer], int(m.max()) + 2 * edits + 1, 0xFF, unit)
+    cols = _matrix(shorter, height, 0xFE, unit)
     apart, diagonal = m - n, (edits + m - n).astype(word)
     up = np.full(len(m), full & ~word((1 << (edits + 1)) - 1), word)
     down = np.zeros(len(m), word)

@@ -1,10 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-Lines that differ in at most ``max_edits`` bytes share a whole segment if one of
+Lines that differ in at most ``max_edits`` characters share a whole segment if one of
 them is cut into ``max_edits + 1`` segments.  So every line is indexed under
 its segments by length and number, probes the segments of lines of its own
 and slightly smaller lengths with the substrings that can match them, and
-the lines that meet are verified by a banded bit-parallel edit distance.
+the lines that meet are verified by a banded bit-parallel edit distance.  Lines
+too short for two edits to mean much are compared for equality.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.join import forget_partitioning
-from .common import stage
+from .common import runs, stage
 from .editdistance import INDEX, PROBE, key_plan, within
 from .graph import components, local_forest
 
@@ -27,26 +28,34 @@ CHUNK = 1 << 20     # pairs screened at once
 VERIFY = 1 << 13    # pairs verified at once, between looks at which lines are already connected
 SCREEN = 1 << 24    # pairs of one cell up to which its rows are screened before their lines are fetched
 SEED = 42           # of Spark's xxhash64
+BLANKS = " \t\n\x0b\f\r"
 GATHER = 1 << 12    # rows of one role and cell that are screened together; larger cells are split before
 SAMPLE = 16         # of so many lines one is looked at to find such cells
+HELD = 1 << 20      # keys that a task holds at once, in whole cells
+HELD_LINES = 1 << 14  # lines that a task holds at once, in whole cells
 REMEMBER = 1 << 18  # lines a task remembers, so that it gives a line that many documents have but once
 
 
-def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """(``doc``, ``pos``, ``line``) of every line that takes part."""
+def _blank(line: Column) -> Column:
+    """Whether a line has no visible sign."""
+    return F.length(F.rtrim(line, F.lit(" \t\n\x0b\f\r"))) == 0
+
+
+def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``doc``, ``pos``, ``line``) of every line that is not blank."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias(
         "pos", "line"))
-    return lines.filter(F.col("doc").isNotNull() & (F.octet_length("line") >= min_bytes))
+    return lines.filter(F.col("doc").isNotNull() & ~_blank(F.col("line")))
 
 
-def _signatures(lines: list[bytes]) -> np.ndarray:
-    """64 bits for each line: which bytes, modulo 64, occur an odd number of times.  An edit changes two at most."""
-    data = np.frombuffer(b"".join(lines), np.uint8)
+def _signatures(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: which characters, modulo 64, occur an odd number of times.  An edit changes two at most."""
+    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum([0, *map(len, lines[:-1])])
     return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (data & 63).astype(np.uint64)), starts)
 
 
-def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int, one_in: int = 1) -> DataFrame:
+def _keys(docs: DataFrame, text_col: str, min_chars: int, max_edits: int, one_in: int = 1) -> DataFrame:
     """(``cell``, ``h``, ``sig``, ``role``): the segments and substrings of each task's distinct lines.
 
     A task gives a line again only after ``REMEMBER`` others.  With ``one_in``
@@ -60,7 +69,7 @@ def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int, one_in
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # bounds what is held besides the batch
                 lines = {x for t in batch.column(0).slice(at, 256) if t.is_valid
-                         for x in t.as_py().split(b"\n") if len(x) >= min_bytes}
+                         for x in t.as_py().split("\n") if len(x) >= min_chars and x.strip(BLANKS)}
                 fresh = {i: x for x in lines if (i := digest(x, SEED)) % one_in == 0 and i not in given}
                 if not fresh:
                     continue
@@ -80,7 +89,7 @@ def _keys(docs: DataFrame, text_col: str, min_bytes: int, max_edits: int, one_in
                     pa.array(np.repeat(_signatures(lines), times).view(np.int64)),
                     pa.array(np.array(roles, np.int8))], ["cell", "h", "sig", "role"])
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "cell long, h long, sig long, role byte")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "cell long, h long, sig long, role byte")
 
 
 def _spread(keys: DataFrame, sample: DataFrame) -> DataFrame:
@@ -106,10 +115,6 @@ def _spread(keys: DataFrame, sample: DataFrame) -> DataFrame:
     return rows.select("h", "sig", F.inline(places)).select("cell", "h", "sig", "role")
 
 
-def _columns(batches) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*[[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches])]
-
-
 def _meetings(cell: np.ndarray, role: np.ndarray):
     """For every cell: its index rows and its probe rows (positions)."""
     order = np.argsort(cell, kind="stable")
@@ -123,11 +128,7 @@ def _meetings(cell: np.ndarray, role: np.ndarray):
 def _screen(keys: DataFrame, max_edits: int) -> DataFrame:
     """The rows (``cell``, ``h``, ``role``) that meet a row whose signature is near enough, at most one for each given."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = _columns(batches)
-        if not cols:
-            return
-        cell, h, sig, role = cols
+    def screened(cell, h, sig, role) -> pa.RecordBatch:
         first = _distinct(cell, h, role)
         cell, h, sig, role = cell[first], h[first], sig[first].view(np.uint64), role[first]
         kept = np.zeros(len(cell), bool)
@@ -152,9 +153,13 @@ def _screen(keys: DataFrame, max_edits: int) -> DataFrame:
             near = (h[p] != h[q]) & (np.bitwise_count(sig[p] ^ sig[q]) <= 2 * max_edits)
             kept[p[near]] = kept[q[near]] = True
             at = end
-        yield pa.record_batch([pa.array(cell[kept]), pa.array(h[kept]), pa.array(role[kept])], ["cell", "h", "role"])
+        return pa.record_batch([pa.array(cell[kept]), pa.array(h[kept]), pa.array(role[kept])], ["cell", "h", "role"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in runs(batches, HELD):
+            yield screened(*columns)
 
-    return keys.repartition("cell").mapInArrow(run, "cell long, h long, role byte")
+    return keys.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, h long, role byte")
 
 
 def _distinct(cell: np.ndarray, h: np.ndarray, role: np.ndarray) -> np.ndarray:
@@ -165,7 +170,7 @@ def _distinct(cell: np.ndarray, h: np.ndarray, role: np.ndarray) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, max_edits: int) -> DataFrame:
-    """Links (a, b) of lines within ``max_edits``: of each task's links a spanning forest."""
+    """Links (a, b) of lines within ``max_edits``: of the links of cells held together a spanning forest."""
 
     def pairs(cell, role, node, lines, connected):
         for index, probe in _meetings(cell, role):
@@ -177,20 +182,15 @@ def _verify(rows: DataFrame, max_edits: int) -> DataFrame:
                     yield node[near], np.full(len(near), node[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        cols = _columns([b.select(["cell", "h", "role"]) for b in batches])
-        if not cols:
-            return
-        cell, h, role = cols
-        lines = [x.as_py() for b in batches for x in b.column(3)]
-        ids, node = np.unique(h, return_inverse=True)
-        forest = Forest(len(ids))
-        for u, v in pairs(cell, role, node, lines, forest.connected):
-            forest.add(u, v)
-        linked = np.flatnonzero(forest.root != np.arange(len(ids)))
-        yield pa.record_batch([pa.array(ids[linked]), pa.array(ids[forest.root[linked]])], ["a", "b"])
-
-    return rows.select("cell", "h", "role", F.col("line").cast("binary")).repartition("cell").mapInArrow(
+        for cell, h, role, lines in runs(batches, HELD_LINES):
+            ids, node = np.unique(h, return_inverse=True)
+            forest = Forest(len(ids))
+            for u, v in pairs(cell, role, node, lines, forest.connected):
+                forest.add(u, v)
+            linked = np.flatnonzero(forest.root != np.arange(len(ids)))
+            yield pa.record_batch([pa.array(ids[linked]), pa.array(ids[forest.root[linked]])], ["a", "b"])
+
+    return rows.select("cell", "h", "role", "line").repartition("cell").sortWithinPartitions("cell").mapInArrow(
         run, "a long, b long")
 
 
@@ -230,23 +230,24 @@ def _square(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-                    min_bytes: int = 24) -> DataFrame:
+                    min_chars: int = 24) -> DataFrame:
     """(id, ``line``, ``first_doc``, ``first_line``) of every line that repeats an earlier one, lines counted from 0.
 
-    Lines of at least ``min_bytes`` UTF-8 bytes that are equal or at most
-    ``max_edits`` bytes apart are linked; a class is what links connect, and
-    its first occurrence (smallest id, then line) is not reported.  Line feeds
+    Equal lines are linked, and lines of at least ``min_chars`` characters (code
+    points) that are at most ``max_edits`` characters apart; a class is what links
+    connect, and its first occurrence (smallest id, then line) is not
+    reported.  Blank lines (no sign but white space) are out.  Line feeds
     alone end lines.  NULL and empty texts have no such line; a row with a
     NULL id takes no part; rows that share an id count as one document, whose
     equal positions are one occurrence.
     """
-    if not 1 <= max_edits <= 31 or min_bytes <= max_edits * 2:
-        raise ValueError("max_edits must be 1 to 31 and min_bytes over twice as much")
+    if not 1 <= max_edits <= 31 or min_chars <= max_edits * 2:
+        raise ValueError("max_edits must be 1 to 31 and min_chars over twice as much")
     wanted = docs.filter(F.col(id_col).isNotNull())
     line = F.col("line")
-    seen = stage(_line_rows(wanted, id_col, text_col, min_bytes).select(
+    seen = stage(_line_rows(wanted, id_col, text_col).select(
         "doc", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), line).alias("h2")), "lines-seen")
-    keys = _spread(_keys(wanted, text_col, min_bytes, max_edits), _keys(wanted, text_col, min_bytes, max_edits, SAMPLE))
+    keys = _spread(_keys(wanted, text_col, min_chars, max_edits), _keys(wanted, text_col, min_chars, max_edits, SAMPLE))
     near = stage(_screen(keys, max_edits), "lines-near")
 
     # The text of each line that met another, read at its first occurrence.
@@ -272,20 +273,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_lines(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the lines in ``repeats``; a document of which no line but blank ones is left goes.
+               chars_col: str | None = "n_chars", min_chars: int = 24) -> DataFrame:
+    """``docs`` without the lines in ``repeats`` of at least ``min_chars`` characters, and without what is no document of its own.
 
+    Shorter lines that repeat others (a heading, a word of dialogue) stay where
+    they are.  A document of which every line is a repeat or blank goes.
     Documents that lose nothing stay as they are, NULL and empty ones too.
     ``chars_col``, where the table has it, is counted anew for changed texts.
     """
     gone = repeats.groupBy(F.col(id_col).alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     docs = docs.join(gone, docs[id_col].cast("long") == gone["__doc"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")),
-                       lambda i: F.get(lines, i))
-    changed = F.col("__gone").isNotNull()
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    own = F.filter(F.array_except(numbers, F.col("__gone")), lambda i: ~_blank(F.get(lines, i)))   # lines of its own
+    long = F.filter(F.col("__gone"), lambda i: F.char_length(F.get(lines, i)) >= min_chars)
+    kept = F.transform(F.array_except(numbers, long), lambda i: F.get(lines, i))
+    repeated, changed = F.col("__gone").isNotNull(), F.col("__changed")
+    docs = docs.filter(~repeated | (F.size(own) > 0)).withColumn("__changed", repeated & (F.size(long) > 0))
     docs = docs.withColumn(text_col, F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
         docs = docs.withColumn(chars_col, F.when(changed, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
                                .otherwise(F.col(chars_col)))
-    return docs.filter(~changed | (F.length(F.trim(F.regexp_replace(text_col, r"\s+", " "))) > 0)).drop("__doc", "__gone")
+    return docs.drop("__doc", "__gone", "__changed")

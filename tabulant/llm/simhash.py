@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from ..operators.join import forget_partitioning
+from .common import runs, stage
 from .graph import components, local_forest
 
 BITS = 64
 CELL = 1024        # rows of one side that meet in one task's cell; larger groups are split into blocks
 HEAVY = 64         # index rows of a key that make it heavy
 CHUNK = 1 << 20    # pairs held at once
+HELD = 1 << 20     # rows that a task holds at once, in whole cells
 SHINGLES = 1 << 16  # hashes held at once
 
 
@@ -146,25 +148,22 @@ def chain_pairs(cell, ring, role, fp, max_bits: int):
 def links(prints: DataFrame, max_bits: int) -> DataFrame:
     """Links (a, b) that connect all representatives of fingerprints within ``max_bits`` bits.
 
-    ``prints``: distinct ``fp`` and ``rep``.  Each task returns a spanning forest
-    of the links it finds, never more rows than it has fingerprints.
+    ``prints``: distinct ``fp`` and ``rep``.  A task holds whole cells of about
+    ``HELD`` rows at a time and returns a spanning forest of their links, never
+    more rows than they have fingerprints.
     """
     if not 1 <= max_bits <= 15:
         raise ValueError("max_bits must be 1 to 15")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*[
-            [x.to_numpy() for x in b.columns] for b in batches])]
-        if not cols:
-            return
-        cell, ring, role, fp, rep = cols
-        reps, node = np.unique(rep, return_inverse=True)
-        root = local_forest(len(reps), ((node[p], node[q]) for p, q in chain_pairs(
-            cell, ring.astype(np.int64), role, fp.view(np.uint64), max_bits)))
-        linked = np.flatnonzero(root != np.arange(len(reps)))
-        yield pa.record_batch([pa.array(reps[linked]), pa.array(reps[root[linked]])], ["a", "b"])
+        for cell, ring, role, fp, rep in runs(batches, HELD):
+            reps, node = np.unique(rep, return_inverse=True)
+            root = local_forest(len(reps), ((node[p], node[q]) for p, q in chain_pairs(
+                cell, ring.astype(np.int64), role, fp.view(np.uint64), max_bits)))
+            linked = np.flatnonzero(root != np.arange(len(reps)))
+            yield pa.record_batch([pa.array(reps[linked]), pa.array(reps[root[linked]])], ["a", "b"])
 
-    return _cells(prints, max_bits).repartition("cell").mapInArrow(run, "a long, b long")
+    return _cells(prints, max_bits).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -174,13 +173,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with equal fingerprints are one node (a large group of copies is
     aggregated before anything is joined).  NULL and blank texts have
     fingerprint 0 and link like any other; repeated rows stay; a row with a
-    NULL id takes the component of its fingerprint, if any row with an id has
-    it.  An empty table gives an empty result.
+    NULL id links like any other too and takes the smallest id that its
+    component has (NULL if it has none).  An empty table gives an empty result.
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
-    prints = stage(rows.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    found = components(links(prints, max_bits), "simhash-components")
-    label = prints.join(found, prints["rep"] == found["node"], "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
+    prints = stage(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
+    # The planner would read a short table in few tasks; each row becomes dozens.
+    nodes = prints.select("fp", F.col("fp").alias("rep")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = components(links(nodes, max_bits), "simhash-components")
+    linked = prints.join(found, prints["fp"] == found["node"], "left").select(
+        F.col("fp").alias("__fp"), F.coalesce("component", "fp").alias("__c"), "id")
+    smallest = linked.groupBy("__c").agg(F.min("id").alias("component_id"))
+    label = linked.select("__fp", "__c").join(forget_partitioning(smallest), "__c").select("__fp", "component_id")
     return rows.join(label, rows["fp"] == label["__fp"], "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -89,7 +89,7 @@ def test_successors(spark):
     rng = random.Random(3)
     ids = rng.sample(range(10 ** 12), 300)
     df = frame(spark, [(i, f"text {i}") for i in ids])
-    for blocks in (1, 7, 1024):
+    for blocks in (None, 1, 7, 1024):
         got = successor_blocks(df, "doc_id", "text", "nxt", blocks).filter("__tail = 0").collect()
         order = sorted(ids)
         assert {r.doc_id: r.nxt for r in got} == {a: f"text {b}" for a, b in zip(order, order[1:] + order[:1])}
@@ -104,6 +104,33 @@ def test_successors_of_messy_rows(spark, messy):
     assert [(r.doc_id, r.nxt) for r in alone] == [(5, "x")]
 
 
+def _in_order(rows):
+    """(id, text) and the next text, NULL ids first, equal ids by the texts' XXH64 as a signed number, then by text."""
+    signed = lambda t: 42 if t is None else (h - (1 << 64) if (h := xxhash.xxh64_intdigest(t.encode(), 42)) >> 63 else h)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1] is not None, r[1] or ""))
+    first = next((t for i, t in order if i is not None), None)
+    return sorted(((i, t, n) for (i, t), n in zip(order, [t for _, t in order[1:]] + [first])), key=repr)
+
+
+@pytest.mark.parametrize("blocks", [None, 1, 5, 40])
+def test_hot_and_missing_ids_are_subdivided(spark, blocks):
+    """A third of all rows share an id, a sixth have none: the successors are those of one sorted list, no block holds a hot id whole."""
+    rows = [(7 if k % 3 == 0 else None if k % 6 == 1 else k, f"text {k}") for k in range(600)] + [(7, "text 0"), (9, None), (None, None)]
+    df = successor_blocks(frame(spark, rows), "doc_id", "text", "nxt", blocks)
+    got = df.filter("__tail = 0").collect()
+    assert sorted(((r.doc_id, r.text, r.nxt) for r in got), key=repr) == _in_order(rows)
+    if blocks == 40:
+        sizes = {}
+        for r in got:
+            sizes[r["__block"]] = sizes.get(r["__block"], 0) + 1
+        assert max(sizes.values()) < 60 and len(sizes) > 30
+
+
+def test_successors_where_only_missing_ids_exist(spark):
+    got = successor_blocks(frame(spark, [(None, "a"), (None, "b"), (None, "c")]), "doc_id", "text", "nxt", 4).filter("__tail = 0").collect()
+    assert sorted(((r.doc_id, r.text, r.nxt) for r in got), key=repr) == _in_order([(None, "a"), (None, "b"), (None, "c")])
+
+
 def test_query_on_the_small_table(spark):
     from tabulant.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"

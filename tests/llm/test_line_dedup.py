@@ -21,12 +21,15 @@ def distance(a, b):
     return row[-1]
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def brute_repeats(docs, edits, least):
     """(doc, line, first_doc, first_line) by comparing all lines."""
     seen = {}
     for d, t in docs:
-        for p, x in enumerate((t or "").encode().split(b"\n")):
-            if d is not None and len(x) >= least:
+        for p, x in enumerate((t or "").split("\n")):
+            if d is not None and x.strip(BLANKS):
                 seen[d, p] = x
     distinct = sorted(set(seen.values()))
     low = {x: x for x in distinct}
@@ -36,8 +39,9 @@ def brute_repeats(docs, edits, least):
             x = low[x]
         return x
 
-    for i, x in enumerate(distinct):
-        for y in distinct[i + 1:]:
+    long = [x for x in distinct if len(x) >= least]
+    for i, x in enumerate(long):
+        for y in long[i + 1:]:
             if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits:
                 low[find(y)] = find(x)
     first = {}
@@ -104,13 +108,46 @@ def _planted(rng):
 def test_repeats_match_brute_force(spark, monkeypatch):
     docs = _planted(random.Random(2))
     want = brute_repeats(docs, 2, 12)
-    get = lambda: {tuple(r) for r in ld.duplicate_lines(frame(spark, docs), min_bytes=12).collect()}
+    get = lambda: {tuple(r) for r in ld.duplicate_lines(frame(spark, docs), min_chars=12).collect()}
     assert len(want) > 40 and get() == want
     monkeypatch.setattr(ld, "CELL", 3)      # every group is split into squares of blocks
     monkeypatch.setattr(ld, "SCREEN", 4)    # and most are fetched without screening
     assert get() == want
 
 
+def test_edits_are_characters(spark):
+    """One sign for another is one edit whatever its length in UTF-8; short lines are compared for equality."""
+    a = "it\'s the same line, whole as it is"
+    docs = [(1, a), (2, a.replace("\'", "\u2019")), (3, a.replace("same", "sämé")), (4, a.replace("whole", "\U0001F389hol\u6f22")),
+            (5, a.replace("line", "LINE")), (6, "} end\n \t\n\n" + a + "ß"), (7, "} end\n} End"), (8, "} end"), (9, "x" * 23 + "\n" + "x" * 22 + "y")]
+    got = {tuple(r) for r in ld.duplicate_lines(frame(spark, docs)).collect()}
+    assert got == brute_repeats(docs, 2, 24) == {(i, 0, 1, 0) for i in (2, 3, 4)} | {(6, 3, 1, 0), (7, 0, 6, 0), (8, 0, 6, 0)}
+
+
+def test_distance_of_texts_in_any_script():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abé漢🎉") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    b = ["".join(x for x in s if rng.random() > 0.03) + rng.choice(["", "a", "漢"]) for s in a]
+    for edits in (1, 2, 5):
+        assert within(a, b, edits).tolist() == [distance(x, y) <= edits for x, y in zip(a, b)]
+
+
+def test_memory_is_bounded_by_runs_of_cells(spark, monkeypatch):
+    """Few rows held at a time: the same repeats."""
+    docs = _planted(random.Random(7))
+    monkeypatch.setattr(ld, "HELD", 8)
+    monkeypatch.setattr(ld, "HELD_LINES", 4)
+    got = {tuple(r) for r in ld.duplicate_lines(frame(spark, docs), min_chars=12).collect()}
+    assert got == brute_repeats(docs, 2, 12)
+
+
+def test_copies_with_short_lines_go_whole(spark):
+    body = "a line that is long enough to be compared\nshort one\n\nanother line that is long enough for that"
+    docs = frame(spark, [(1, body), (2, body), (3, body + "\nand a line of its own that nobody else has"), (4, "short one\nmine")])
+    kept = {r.doc_id: r.text for r in ld.drop_lines(docs, ld.duplicate_lines(docs)).collect()}
+    assert kept == {1: body, 3: "short one\n\nand a line of its own that nobody else has", 4: "short one\nmine"}
+
+
 def test_no_task_screens_a_hot_cell_whole(spark, monkeypatch):
     """Distinct lines with one beginning: the rows of a cell stay bounded, and the repeats are those of brute force."""
     rng = random.Random(5)
@@ -136,7 +173,7 @@ def test_a_task_gives_a_repeated_line_once(spark):
 def test_messy_rows(spark, messy):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     got = {tuple(r) for r in ld.duplicate_lines(messy).collect()}
-    assert got == brute_repeats([r for r in rows if len(r[1] or "") < 10_000], 2, 24)
+    assert got == brute_repeats(rows, 2, 24)
     out = ld.drop_lines(messy, ld.duplicate_lines(messy))
     assert out.columns == messy.columns
     kept = out.collect()
@@ -160,23 +197,23 @@ def test_query_on_the_small_table(spark):
 
 def brute_repeats_fast(docs, edits, least):
     """As ``brute_repeats``, all pairs of near lengths, with a cheap bound before the distance."""
-    seen = {(d, p): x for d, t in docs for p, x in enumerate(t.encode().split(b"\n")) if len(x) >= least}
+    seen = {(d, p): x for d, t in docs for p, x in enumerate(t.split("\n")) if x.strip(BLANKS)}
     distinct = sorted(set(seen.values()))
-    counts = np.array([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in distinct])
-    low = list(range(len(distinct)))
+    low = {x: x for x in distinct}
 
-    def find(i):
-        while low[i] != i:
-            i = low[i]
-        return i
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
 
-    for i in range(len(distinct)):
+    long = [x for x in distinct if len(x) >= least]
+    counts = np.array([np.bincount([ord(c) % 256 for c in x], minlength=256) for x in long])
+    for i in range(len(long)):
         close = np.flatnonzero(np.abs(counts[i + 1:] - counts[i]).sum(1) <= 2 * edits) + i + 1
         for j in close:
-            if distance(distinct[i], distinct[j]) <= edits:
-                low[find(int(j))] = find(i)
-    at = {x: i for i, x in enumerate(distinct)}
+            if distance(long[i], long[j]) <= edits:
+                low[find(long[j])] = find(long[i])
     first = {}
     for k in sorted(seen):
-        first.setdefault(find(at[seen[k]]), k)
-    return {k for k, x in seen.items() if first[find(at[x])] != k}
+        first.setdefault(find(seen[k]), k)
+    return {k for k, x in seen.items() if first[find(x)] != k}

@@ -105,6 +105,25 @@ def test_near_duplicates_of_messy_rows(spark, messy):
     assert sh.near_duplicates(messy.limit(0)).count() == 0
 
 
+def test_a_row_without_an_id_is_a_bridge(spark, monkeypatch):
+    """A and C are both near B, whose id is NULL, and far from each other: one component; NULL ids alone have none."""
+    prints = {1: 0b0, None: 0b1111, 2: 0b11111111, 9: 0xFFFF << 40}
+    rows = [(i, f) for i, f in prints.items()] + [(None, 0xFF << 20)]
+    monkeypatch.setattr(sh, "fingerprints", lambda *a: spark.createDataFrame(rows, "id long, fp long"))
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in sh.near_duplicates(spark.range(1).select(F.col("id").alias("doc_id"))).collect()}
+    assert {got[i, f"{prints[i]:016x}"] for i in (1, None, 2)} == {1} and got[9, f"{0xFFFF << 40:016x}"] == 9
+    assert got[None, f"{0xFF << 20:016x}"] is None and len(got) == 5
+
+
+def test_small_lots_of_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(sh, "HELD", 16)
+    fps = sorted(set(_planted(random.Random(8), 50)))
+    want = brute_components(dict(enumerate(fps)), 4)
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), i) for i, x in enumerate(fps)], "fp long, rep long")
+    got = {r.node: r.component for r in components(sh.links(df, 4)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_query_on_the_small_table(spark):
     from tabulant.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"
