@@ -17,6 +17,8 @@ from .common import WORD, stage
 
 D = "decimal(38,0)"
 ABSENT = "(null)"
+DIGITS, RANGES = 3, 4096   # digits of a key that one round of ranges looks at, and how many ranges they make
+RANGE_ROWS = 1 << 16       # documents of a leaf that are ordered in one window, about
 
 
 def count_tokens(text: Column) -> Column:
@@ -109,8 +111,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame | None =
 
     Returns the columns of ``docs`` and ``epoch_out`` (from 0), one row for each
     time a document is taken.  The leaf a third of all rows belong to is not a
-    hot group: its prefix is found from token sums of 4096 key ranges, and only
-    documents in the range that holds the cut are ordered in a window.  Leaves
+    hot group: its prefix is found from token sums of 4096 key ranges, the range
+    that holds the cut is divided again while it may have more than
+    ``RANGE_ROWS`` documents, and only those left are ordered in a window
+    (documents of one id have one key and stay together).  Leaves
     without tokens yield nothing; an empty table gives an empty result; equal
     rows are taken one by one.
     """
@@ -122,7 +126,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame | None =
     lean = keyed.select(F.col(id_col).alias("__mix_id"), "__mix_t", *names)
     if not tokens_col:
         lean = stage(lean, "mix-tokens")
-    leaves = stage(lean.groupBy(*names).agg(F.sum("__mix_t").alias("__mix_tokens")), "mix-leaves")
+    leaves = stage(lean.groupBy(*names).agg(F.sum("__mix_t").alias("__mix_tokens"),
+                                               F.count(F.lit(1)).alias("__mix_n")), "mix-leaves")
     if budget is None:
         total = leaves.agg(F.sum("__mix_tokens")).first()[0] or 0
         budget = total * budget_percent // 100
@@ -130,15 +135,23 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: DataFrame | None =
     plan = stage(plan.select(*names, "__mix_budget", F.expr("cast(__mix_budget div __mix_tokens as int)").alias("__mix_whole"),
                              F.expr("__mix_budget % __mix_tokens").alias("__mix_rest")), "mix-plan")
 
-    bucket = F.substring("__mix_key", 1, 3)
+    # Ranges of keys, by ever more of their digits, until the range that holds a leaf's cut is short enough to be ordered.
     key = epoch_key(F.col("__mix_id"), F.col("__mix_whole"), seed)
-    cut = (lean.join(plan, names).withColumn("__mix_key", key).groupBy(*names, "__mix_rest", bucket.alias("__mix_k"))
-           .agg(F.sum("__mix_t").alias("__mix_s")))
+    rounds, most = 1, leaves.agg(F.max("__mix_n")).first()[0] or 0
+    while most > RANGE_ROWS * RANGES ** rounds and rounds < 10:
+        rounds += 1
+    plan = plan.withColumns({"__mix_cut_key": F.lit(""), "__mix_cut_at": F.lit(0).cast("long")})
     upto = Window.partitionBy(*names).orderBy("__mix_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (cut.withColumn("__mix_c", F.sum("__mix_s").over(upto)).filter("__mix_c > __mix_rest")
-           .groupBy(*names).agg(F.min(F.struct("__mix_k", (F.col("__mix_c") - F.col("__mix_s")).alias("__mix_c"))).alias("__mix_cut")))
-    plan = stage(plan.join(cut, names).select(*names, "__mix_whole", "__mix_rest", F.col("__mix_cut.__mix_k").alias("__mix_cut_key"),
-                                              F.col("__mix_cut.__mix_c").alias("__mix_cut_at")), "mix-cuts")
+    for r in range(1, rounds + 1):
+        digits = lambda n: F.substring("__mix_key", 1, DIGITS * n)
+        inside = lean.join(plan, names).withColumn("__mix_key", key).filter(digits(r - 1) == F.col("__mix_cut_key"))
+        cut = inside.groupBy(*names, "__mix_rest", "__mix_cut_at", digits(r).alias("__mix_k")).agg(F.sum("__mix_t").alias("__mix_s"))
+        cut = (cut.withColumn("__mix_c", F.sum("__mix_s").over(upto) + F.col("__mix_cut_at")).filter("__mix_c > __mix_rest")
+               .groupBy(*names).agg(F.min(F.struct("__mix_k", (F.col("__mix_c") - F.col("__mix_s")).alias("__mix_c"))).alias("__mix_cut")))
+        plan = stage(plan.drop("__mix_cut_key", "__mix_cut_at").join(cut, names).select(
+            *names, "__mix_whole", "__mix_rest", F.col("__mix_cut.__mix_k").alias("__mix_cut_key"),
+            F.col("__mix_cut.__mix_c").cast("long").alias("__mix_cut_at")), "mix-cuts")
+    bucket = F.substring("__mix_key", 1, DIGITS * rounds)
 
     taken = (keyed.withColumn("__mix_id", F.col(id_col)).join(plan, names).withColumn("__mix_key", key)
              .withColumn("__mix_k", bucket))

@@ -107,6 +107,18 @@ def test_hot_leaf_without_one_window(spark):
     assert sorted([(r.doc_id, r.epoch) for r in got.collect()], key=str) == brute_mix(docs, {}, 5001, 1, 3)
 
 
+def test_ranges_are_divided_until_they_are_short(spark, monkeypatch):
+    """Several rounds of ranges, each by one more digit: the same documents, and few of them ordered in a window."""
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "RANGES", 16)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    rows = [(i, "x y" if i % 4 else "x y z", "en", f"s{i % 2}", 3) for i in range(1500)] + [(None, "one", "en", "s0", 3)] * 40
+    docs = [(i, (lang, s), len(t.split())) for i, t, lang, s, _ in rows]
+    for budget in (1, 777, 2500):
+        got = mixing.mix(frame(spark, rows), levels(), budget=budget, max_epochs=1, seed=3)
+        assert sorted([(r.doc_id, r.epoch) for r in got.collect()], key=str) == brute_mix(docs, {}, budget, 1, 3)
+
+
 def test_messy_rows(spark, messy):
     docs = [(r.doc_id, (r.lang or "(null)", r.source or "(null)"), len((r.text or "").split())) for r in messy.collect()]
     total = sum(d[2] for d in docs)
