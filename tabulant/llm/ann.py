@@ -21,6 +21,7 @@ from .common import stage
 
 WIDTH = 2.72       # window width at radius 1, in units of the projection's deviation: best for a ratio of 2
 START, GROWTH = 0.05, 1.25
+ABREAST = 512      # queries whose windows are held at once
 LEVELS = math.ceil(math.log(2.0 / START, GROWTH)) + 1  # the last radius covers the largest distance, 2
 
 
@@ -88,51 +89,57 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
-            projections: int = 64, threshold: float = 0.66, block_rows: int = 8192, query_rows: int = 2048,
+            projections: int = 64, threshold: float = 0.66, block_rows: int = 8192, query_rows: int = 32768,
             seed: int = 42) -> DataFrame:
     """The ``k`` nearest by cosine of every row for which ``is_query`` (a condition on ``id``) holds.
 
     All rows are indexed, in blocks of about ``block_rows`` dealt by a hash of
-    the id; every block of ``query_rows`` queries meets every block once, and
-    a window merges the blocks' ``k`` best.  No candidate is dropped: a query
-    whose windows reach the largest radius is compared with the whole block.
+    their place, so that rows of one id are spread like others; every block
+    of ``query_rows`` queries meets every block once, and a window merges the
+    blocks' ``k`` best.  No candidate is dropped: a query whose windows reach the
+    largest radius is compared with the whole block.
     Vectors that are NULL, zero or hold NULL or non-finite components take no
     part, nor do rows without an id; only vectors of one length are compared;
     rows with a query's own id are not its neighbours; of repeated other rows
-    each counts.  Ties go to the smaller id.  Returns ``query_id``, ``rank``
-    (from 1), ``vec_id``, ``score`` in double precision; queries with fewer
-    candidates return them all.
+    each counts.  Query rows that repeat each other are one query; an id with
+    several vectors is as many queries, each with ranks of its own.  Ties go to
+    the smaller id.  Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` in
+    double precision; queries with fewer candidates return them all.
     """
-    rows = stage(usable(vectors, id_col, vec_col), "ann-vectors")
-    asked = rows.filter(is_query)
+    rows = stage(usable(vectors, id_col, vec_col).withColumn("at", F.monotonically_increasing_id()), "ann-vectors")
+    asked = stage(rows.filter(is_query).select("dim", "id", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "ann-queries")
     n, nq = rows.count(), asked.count()
     blocks, parts = max(1, math.ceil(n / block_rows)), max(1, math.ceil(nq / query_rows))
-    deal = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(count)).cast("int")
+    deal = lambda count, by: F.pmod(F.xxhash64(by), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = rows.select("dim", deal(blocks, 1).alias("block"), every(parts).alias("part"), F.lit(0).alias("ask"), "id", "v")
-    ask = asked.select("dim", every(blocks).alias("block"), deal(parts, 2).alias("part"), F.lit(1).alias("ask"), "id", "v")
+    none = F.lit(None).cast("long")
+    data = rows.select("dim", deal(blocks, "at").alias("block"), every(parts).alias("part"), none.alias("q"), "id", "v")
+    ask = asked.select("dim", every(blocks).alias("block"), deal(parts, "q").alias("part"), "q", "id", "v")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"q": [], "query_id": [], "vec_id": [], "score": []}
         dim = key[0].as_py()
         table = table.combine_chunks()
-        asks = table["ask"].to_numpy().astype(bool)
+        asks = table["q"].is_valid().to_numpy()
         ids = table["id"].to_numpy()
         values = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         if asks.any() and not asks.all():
             lines = np.random.default_rng(seed).standard_normal((dim, projections))
             block = SortedProjections(ids[~asks], values[~asks], lines, math.ceil(threshold * projections))
-            low, high = block.windows(values[asks])
-            for i, (q, query) in enumerate(zip(ids[asks].tolist(), values[asks])):
-                found, scores = block.search(q, query, low[:, i], high[:, i], k)
-                out["query_id"].append(np.full(len(found), q))
-                out["vec_id"].append(found)
-                out["score"].append(scores)
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+            numbers, ids, values = table["q"].drop_null().to_numpy(), ids[asks], values[asks]
+            for at in range(0, len(ids), ABREAST):
+                low, high = block.windows(values[at:at + ABREAST])
+                for i, own in enumerate(ids[at:at + ABREAST].tolist()):
+                    found, scores = block.search(own, values[at + i], low[:, i], high[:, i], k)
+                    out["q"].append(np.full(len(found), numbers[at + i]))
+                    out["query_id"].append(np.full(len(found), own))
+                    out["vec_id"].append(found)
+                    out["score"].append(scores)
+        kinds = {"q": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({c: pa.array(np.concatenate(x) if x else [], kinds[c]) for c, x in out.items()})
 
     found = data.unionByName(ask).groupBy("dim", "block", "part").applyInArrow(
-        run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        run, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -60,3 +60,27 @@ def test_hot_vector(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.col("id") == 300, block_rows=100).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 3, 6, 9, 12]
+
+
+def test_repeated_query_rows(spark):
+    """A query row that repeats is one query; an id with two vectors is two, with five neighbours each."""
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((30, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(0, vectors[0].tolist())] * 3 + [(1, rng.standard_normal(8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, F.col("id").isin(0, 1)).collect()]
+    assert len({(v, s) for q, _, v, s in got if q == 0}) == 5
+    assert sorted(r for q, r, _, _ in got if q == 0) == [1, 2, 3, 4, 5]
+    assert sorted(r for q, r, _, _ in got if q == 1) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert not any(q == v for q, _, v, _ in got)
+
+
+def test_rows_of_one_id_are_spread_over_blocks(spark):
+    """A third of all rows share an id: they are dealt over the blocks like others, and all are found."""
+    rng = np.random.default_rng(4)
+    rows = [(7 if i % 3 == 0 else i, rng.standard_normal(4).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.nearest(df, F.col("id") == 8, k=2000, block_rows=100).collect()
+    assert len(got) == 1199 and sum(r.vec_id == 7 for r in got) == 401
+    assert [r.rank for r in sorted(got, key=lambda r: (-r.score, r.vec_id))] == list(range(1, 1200))
