@@ -26,21 +26,14 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"), shingle=4, max_bits=4)
 
 
-def secret_findings(docs: DataFrame) -> DataFrame:
-    """A stand-in for reviewed findings (doc_id, start, y): known formats and assigned credentials are secrets.
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate secret of every document, with the score of a forest that learned from planted findings.
 
-    Of four fifths of the documents; the rest is held out.
+    The tables hold no reviewed findings: secrets and look-alikes are planted in
+    copies of passages of four fifths of the documents (``secrets.planted``).
     """
-    found = secrets.candidates(docs)
-    known = F.col("value").rlike("^AKIA[0-9A-Z]{16}$") | F.col("before").isin("password", "token", "secret", "key")
-    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
-    return found.filter(~held_out).select(F.col("id").alias("doc_id"), "start", known.cast("int").alias("y"))
-
-
-def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Every candidate secret of every document, with the forest's score."""
     docs = _table(spark, sf, "documents").select("doc_id", "text", "source")
-    return secrets.scan(docs, secret_findings(docs))
+    return secrets.scan(docs, findings=secrets.planted(docs.filter(~held_out())))
 
 
 def op3_sentencepiece(spark: SparkSession, sf: str, model: str | None = None) -> DataFrame:
@@ -111,9 +104,9 @@ def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Per document: its lines, how many repeat an earlier line within 2 edits, and which (counted from 0).
+    """Per document: its lines, how many repeat an earlier line, and which (counted from 0).
 
-    Lines under 24 bytes are out, equal ones too: in sf0.1 documents 798 distinct non-blank ones repeat, 5700 times.
+    Lines of at least 24 characters repeat others within 2 edits, shorter ones if they are equal; blank lines are out.
     """
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     repeats = line_dedup.duplicate_lines(docs, max_edits=2).groupBy("doc_id").agg(
@@ -243,6 +236,59 @@ from docs d left join hits h using (r) left join named n using (r)
 """
 
 
+def repair_sql() -> str:
+    """DuckDB SQL of the conversation query: every row's cheapest continuation from each state of the grammar, last row first.
+
+    A state's value is (cost, audit, lines); the smallest by cost and then audit is kept.
+    """
+    key = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+    # CRC-32 bit by bit: each byte is mixed in and shifted out eight times.
+    steps = f"flatten(list_transform(range(1, strlen({key}) + 1), lambda p: [ord(({key})[p])::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"""xor(list_reduce(list_concat([4294967295::bigint], {steps}), lambda c, o: case when o >= 0 then xor(c, o)
+        else xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) end), 4294967295)"""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    far = "{'c': 1000000000::bigint, 'a': '', 'r': []::varchar[]}"
+
+    def edit(cost: str, letter: str, line: str, to: str) -> str:
+        rest = f"{to}.r" if not line else f"list_concat([{line}], {to}.r)"
+        return f"{{'c': ({cost} + {to}.c)::bigint, 'a': '{letter}' || {to}.a, 'r': {rest}}}"
+
+    role = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}   # written next, and the state after it
+    keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    raw, closed = [], {}
+    for q in range(4):
+        kept = " ".join(f"when k = '{k}' then " + edit("trunc::int", "K", "role || ':' || text", f"s{to}") for k, to in keep[q].items())
+        name, to = role[q]
+        ways = [edit("3", "D", "", f"s{q}"), f"case when must_go then {far} {kept} else {far} end",
+                f"case when must_go then {far} else " + edit("2 + trunc::int", "R", f"'{name}:' || text", f"s{to}") + " end"]
+        raw.append(f"list_sort([{', '.join(ways)}])[1] as s{q}")
+    insert = lambda q: f"list_sort([s{q}, {edit('2', 'I', repr(role[q][0] + ':'), f's{role[q][1]}')}])[1] as s{q}"
+    step = f"select conv_id, i, {', '.join(raw)} from (select f.*, w.* exclude (conv_id, i) from walk w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i - 1)"
+    for _ in range(3):
+        step = f"select conv_id, i, {', '.join(insert(q) for q in range(4))} from ({step})"
+    end = lambda c, a, r: f"{{'c': {c}::bigint, 'a': '{a}', 'r': {r}::varchar[]}}"
+    return f"""with recursive t as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as m from conversations)
+, d as (select conv_id, turn, case when m = 4 then 'user' else role end as role,
+        case m when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case m when 0 then []::int[] when 3 then [0, 1] else [0] end) as copy from t)
+, o as (select *, left(role, 1) as k, rtrim(text, {blanks}) as v, row_number() over (partition by conv_id
+        order by turn nulls first, role, sha256(length(role) || ':' || role || text), copy) as i from d)
+, g as (select *, v = '' as blank, v <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as duplicate,
+        lag(k) over (partition by conv_id order by i) as before from o)
+, f as (select *, blank or duplicate as must_go, not (blank or duplicate) and right(v, 1) not in ('.', '!', '?') as trunc from g)
+, n as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (trunc) as truncated,
+        count(*) filter (i > 1 and before || k not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+, walk as (select conv_id, n + 1 as i, {end(0, '', '[]')} as s0, {end(4, 'II', "['user:', 'assistant:']")} as s1,
+        {end(2, 'I', "['assistant:']")} as s2, {end(0, '', '[]')} as s3 from n
+    union all {step})
+select e.conv_id, coalesce(n.gaps, 0)::bigint as gaps, coalesce(n.blank, 0)::bigint as blank, coalesce(n.duplicate, 0)::bigint as duplicate,
+       coalesce(n.truncated, 0)::bigint as truncated, coalesce(n.illegal, 0)::bigint as illegal, coalesce(w.s0.c, 0)::bigint as cost,
+       coalesce(w.s0.a, '') as audit, sha256(coalesce(array_to_string(w.s0.r, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) e left join n on n.conv_id is not distinct from e.conv_id
+left join walk w on w.conv_id is not distinct from e.conv_id and w.i = 1"""
+
+
 WORDS_SQL = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
 
 QUERIES = {
@@ -266,4 +312,5 @@ ORACLE_SQL = {
                               MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
     + "select doc_id, domain, lang, source, t::bigint as tokens, epoch::bigint as epoch from mixed",
     "op12_decontamination": DECONTAMINATION_SQL,
+    "op13_conversation_repair": repair_sql(),
 }

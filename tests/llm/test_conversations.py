@@ -168,3 +168,16 @@ def test_query_on_a_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {r[0]: tuple(r)[1:] for r in queries.op13_conversation_repair(spark, sf).collect()}
     assert got == expected(damaged(rows), {r[0] for r in rows})
+
+
+def test_sql_agrees_on_random_and_odd_rows(spark):
+    """The query's SQL, an independent formulation, on rows with NULLs, ties, odd roles and dropped conversations."""
+    import duckdb
+    rows = made(random.Random(21), 150, 8)
+    rows += [(900, None, "user", "Hi."), (900, None, "user", "Hi."), (900, 3, "assistant", None), (None, 0, "user", "A."), (None, 4, None, "B."),
+             (901, None, "system", "x"), (902, 5, "", "Yes."), (902, 5, "assistant", "Ünd."), (903, 1, "assistant", "a" * 5000)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    sql = con.sql(queries.ORACLE_SQL["op13_conversation_repair"]).select(*COLUMNS).fetchall()
+    assert {r[0]: r[1:] for r in sql} == run(spark, rows) and len(sql) == len({r[0] for r in rows})
