@@ -25,6 +25,7 @@ from .tagger import Tagger, encode
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 96, 48   # characters of a window, and from one window to the next
 BATCH = 256              # windows tagged at once
+LEARN = 72               # characters of a window to learn from
 
 # An added span holds one of these: a digit, an at sign, the word in brackets, or the bare word between a local part
 # and a domain whose first dot may be spelt too.  Together they admit whatever ``plausible`` accepts.
@@ -110,29 +111,44 @@ def plausible(kind: str, text: str) -> bool:
 
 
 # -- learning ---------------------------------------------------------------------------
-def vary(kind: str, value: str, rng: Random) -> str:
-    """Another value of the same form: other letters and digits, and for an address other lengths of its parts."""
+# The ways to write a value that the base patterns miss, as the tagger learns them.
+FORMS = {"email": (" @ |.", " (at) |.", " [at] | [dot] ", "(at)|(dot)", " at | dot ", " at |.", " AT | DOT ", "[at]|.", " at | . "),
+         "ip": ("[.]", "(.)", " . ", " dot "),
+         "card": (".", "  ", " - ", "/", "_"),
+         "phone": ("({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "+{p}/{a}/{b}/{c}")}
+
+
+def made_up(kind: str, rng: Random) -> str:
+    """A value of a kind in its plain form."""
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
     if kind == "email":
         word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
-        local = word(2, 8) + rng.choice(["", ".", "_", "-", "+"]) + rng.choice([word(1, 8), str(rng.randint(1, 99))])
-        return local + "@" + ".".join([word(2, 9) for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org", "net", "de", "io"])])
-    return "".join(str(rng.randint(1, 9)) if "0" <= c <= "9" and kind != "ip" else c for c in value)
+        local = word(2, 8) + rng.choice(["", "", digits(1), digits(2)]) + rng.choice(["", ".", ".", "_", "-", "+"])
+        local = (local + rng.choice([word(1, 8), word(2, 8), digits(2), ""])).rstrip("._-+")
+        hosts = [word(2, 9) + rng.choice(["", "", "", digits(1), "-" + word(2, 5)]) for _ in range(rng.choice([1, 1, 2, 2, 3]))]
+        return local + "@" + ".".join([*hosts, rng.choice(["com", "org", "net", "de", "io", "edu"])])
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        body = digits(15)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+    return "+" + str(rng.randint(1, 99)) + digits(10)
 
 
-def disguise(kind: str, value: str, rng: Random) -> str:
-    """Another way to write a value, to learn from: the forms that the base patterns miss."""
+def disguise(kind: str, value: str, rng: Random, form: str | None = None) -> str:
+    """Another way to write a value, one of ``FORMS``."""
+    form = form or rng.choice(FORMS[kind])
     if kind == "email":
-        at, dot = rng.choice([(" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot ")])
+        at, dot = form.split("|")
         local, _, domain = value.partition("@")
         return local + at + domain.replace(".", dot)
     if kind == "ip":
-        return value.replace(".", rng.choice(["[.]", "(.)", " . ", " dot "]))
+        return value.replace(".", form)
     digits = _digits(value)
     if kind == "card":
-        sep = rng.choice([".", "  ", " - ", "/", "_"])
-        return sep.join(digits[i:i + 4] for i in range(0, len(digits), 4))
+        return form.join(digits[i:i + 4] for i in range(0, len(digits), 4))
     a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
-    return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{digits[:-10] or 1}/{a}/{b}/{c}"])
+    return form.format(a=a, b=b, c=c, p=digits[:-10] or 1)
 
 
 def labelled_windows(docs: DataFrame, text_col: str = "text", rows: int = 20_000, windows: int = 1200,
@@ -184,28 +200,59 @@ class Cover:
         return i > 0 and self.reach[i - 1] > start
 
 
-def train(labelled: list[tuple[str, list[Span]]], epochs: int = 10, seed: int = 42) -> Tagger | None:
-    """A tagger from labelled windows and, for every labelled span, one window with it varied and mostly disguised."""
-    rng, examples = Random(seed), []
-    for text, spans in labelled:
-        examples.append((text, spans))
-        for kind, s, e in spans:
-            value = vary(kind, text[s:e], rng)
-            value = disguise(kind, value, rng) if rng.random() < 0.8 else value
-            keep = [x for x in spans if x[2] <= s] + [(kind, s, s + len(value))]
-            grown = text[:s] + value + text[e:]
-            keep += [(k, a + len(grown) - len(text), b + len(grown) - len(text)) for k, a, b in spans if a >= e]
-            examples.append((grown, [x for x in keep if x[2] <= WIDTH]))
-    if not any(spans for _, spans in examples):
+def examples(labelled: list[tuple[str, list[Span]]], made: int, rng: Random) -> list[tuple[str, list[Span]]]:
+    """What the tagger learns from: the labelled windows as they are, and ``made`` copies with a value put in.
+
+    Kinds and, within a kind, forms come in turn, so each is seen as often as
+    any other, whatever the texts hold; the value takes the place of a labelled
+    span, or stands at some space of a window without one.  Copies are
+    ``LEARN`` characters around the value.  Some have a near miss in its
+    place: the same signs, but no value.
+    """
+    out = [(t[:LEARN], [x for x in spans if x[2] <= LEARN]) for t, spans in labelled]
+    for n in range(made if labelled else 0):
+        text, spans = labelled[rng.randrange(len(labelled))]
+        kind = KINDS[n % len(KINDS)]
+        forms = FORMS[kind]
+        turn = n // len(KINDS) % (len(forms) + 3)
+        value = made_up(kind, rng)
+        if turn < len(forms):
+            value = disguise(kind, value, rng, forms[turn])
+        elif turn > len(forms):   # a near miss: words around a bare at, too few digits, numbers in a row
+            kind, value = "", rng.choice([f"look at {made_up('email', rng).partition('@')[0]} now", "at the dot of", str(rng.randint(0, 10 ** 7)),
+                                          f"{rng.randint(0, 999)}.{rng.randint(0, 99)}", f"{rng.randint(1990, 2030)}-{rng.randint(1, 12)}-{rng.randint(1, 28)}",
+                                          f"{rng.randint(0, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 9)}", "x @ y", "a (at) b",
+                                          "".join(rng.choice("0123456789abcdef") for _ in range(32))])
+        if spans and rng.random() < 0.7:
+            s, e = rng.choice(spans)[1:]
+        else:
+            s = e = rng.choice([i for i, c in enumerate(text) if c == " "] or [len(text)])
+            value = " " + value
+        before, after = text[:s], text[e:]
+        if any(a < s and b > len(before) - LEARN or b > e for _, a, b in spans if (a, b) != (s, e)):
+            continue   # another value would be cut or stay unlabelled
+        lead = value[:len(value) - len(value.lstrip())]
+        room = max(0, LEARN - len(value))
+        before = before[max(0, len(before) - rng.randint(0, room)):]
+        at = len(before) + len(lead)
+        spans = [(kind, at, len(before) + len(value))] if kind else []
+        out.append(((before + value + after)[:LEARN], [x for x in spans if x[2] <= LEARN]))
+    return out
+
+
+def train(labelled: list[tuple[str, list[Span]]], epochs: int = 8, made: int = 3200, seed: int = 42) -> Tagger | None:
+    """A tagger from labelled windows and copies of them with varied values; None if no window has a value."""
+    if not any(spans for _, spans in labelled):
         return None
-    x = np.stack([encode(text, WIDTH) for text, _ in examples])
-    y = np.zeros((len(examples), WIDTH), np.int64)
-    for i, (_, spans) in enumerate(examples):
+    lessons = examples(labelled, made, Random(seed))
+    x = np.stack([encode(text, LEARN) for text, _ in lessons])
+    y = np.zeros((len(lessons), LEARN), np.int64)
+    for i, (_, spans) in enumerate(lessons):
         for kind, s, e in spans:
             y[i, s] = 1 + 2 * KINDS.index(kind)
             y[i, s + 1:e] = 2 + 2 * KINDS.index(kind)
     tagger = Tagger(len(KINDS), seed=seed)
-    tagger.fit(x, y, epochs=epochs, seed=seed)
+    tagger.fit(x, y, epochs=epochs, batch=64, rate=0.03, seed=seed)
     return tagger
 
 

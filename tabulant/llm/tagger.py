@@ -19,12 +19,10 @@ def encode(text: str, width: int) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+    x = np.tanh(x * x.dtype.type(0.5))
+    x += 1
+    x *= x.dtype.type(0.5)
+    return x
 
 
 class Tagger:
@@ -54,8 +52,9 @@ class Tagger:
         seq = p["embed"][x]
         seq = np.stack([seq, seq[:, ::-1]])
         pre = (seq.reshape(2, n * width, -1) @ p["in"] + p["bias"]).reshape(2, n, width, 4 * h)
-        state, cell = np.zeros((2, n, h)), np.zeros((2, n, h))
-        hs = np.empty((2, n, width, h))
+        kind = p["embed"].dtype
+        state, cell = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
+        hs = np.empty((2, n, width, h), kind)
         kept = []
         for t in range(width):
             gates = pre[:, :, t] + state @ p["loop"]
@@ -78,9 +77,9 @@ class Tagger:
         g = {"out": np.stack([np.einsum("nth,ntk->hk", turned[k], d_out) for k in (0, 1)]),
              "out_bias": d_out.sum((0, 1))}
         d_hs = np.stack([d_out @ p["out"][0].T, (d_out @ p["out"][1].T)[:, ::-1]])
-        d_pre = np.empty((2, n, width, 4 * h))
+        d_pre = np.empty((2, n, width, 4 * h), hs.dtype)
         d_loop = np.zeros_like(p["loop"])
-        d_state, d_cell = np.zeros((2, n, h)), np.zeros((2, n, h))
+        d_state, d_cell = np.zeros((2, n, h), hs.dtype), np.zeros((2, n, h), hs.dtype)
         for t in range(width - 1, -1, -1):
             ifo, cand, before, squashed, last = kept[t]
             i, f, o = ifo[..., :h], ifo[..., h:2 * h], ifo[..., 2 * h:]
@@ -108,23 +107,27 @@ class Tagger:
         out, saved = self.emissions(x, keep=True)
         n, width, k = out.shape
         move, start = self._moves()
-        ahead, back = np.empty((width, n, k)), np.empty((width, n, k))
-        ahead[0] = start + out[:, 0]
-        for t in range(1, width):
-            ahead[t] = _logsum(ahead[t - 1][:, :, None] + move, 1) + out[:, t]
-        back[-1] = 0
+        # Forward and backward sums as shares of their total at every place, so that no logarithm is needed on the way.
+        top = out.max(2, keepdims=True)
+        bonus, step = np.exp(out - top).transpose(1, 0, 2), np.exp(move)
+        ahead, back, scale = np.empty_like(bonus), np.empty_like(bonus), np.empty((width, n, 1), out.dtype)
+        share = np.exp(start) * bonus[0]
+        for t in range(width):
+            if t:
+                share = (ahead[t - 1] @ step) * bonus[t]
+            scale[t] = share.sum(1, keepdims=True)
+            ahead[t] = share / scale[t]
+        back[-1] = 1
         for t in range(width - 2, -1, -1):
-            back[t] = _logsum(move + (out[:, t + 1] + back[t + 1])[:, None, :], 2)
-        total = _logsum(ahead[-1], 1)
-        rows, hot = np.arange(n), np.zeros((n, width, k))
+            back[t] = (bonus[t + 1] * back[t + 1] / scale[t + 1]) @ step.T
+        total = np.log(scale).sum((0, 2)) + top.sum((1, 2))
+        rows, hot = np.arange(n), np.zeros((n, width, k), out.dtype)
         np.put_along_axis(hot, y[:, :, None], 1.0, 2)
         gold = (out * hot).sum((1, 2)) + start[y[:, 0]] + move[y[:, :-1], y[:, 1:]].sum(1)
-        share = np.exp(ahead + back - total[None, :, None]).transpose(1, 0, 2)
+        share = (ahead * back).transpose(1, 0, 2)
         d_out = (share - hot) / n
-        d_move = np.zeros((k, k))
-        for t in range(1, width):
-            d_move += np.exp(ahead[t - 1][:, :, None] + move + (out[:, t] + back[t])[:, None, :]
-                             - total[:, None, None]).sum(0)
+        later = (bonus[1:] * back[1:] / scale[1:]).reshape(-1, k)
+        d_move = (ahead[:-1].reshape(-1, k).T @ later) * step
         np.subtract.at(d_move, (y[:, :-1], y[:, 1:]), 1.0)
         g = self._backward(d_out, saved)
         g["move"], g["start"] = d_move / n, (share[:, 0].sum(0) - np.bincount(y[rows, 0], minlength=k)) / n
@@ -132,8 +135,10 @@ class Tagger:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02,
             seed: int = 42) -> list[float]:
-        """Adam with a falling rate and clipped gradients; returns the mean loss of each epoch."""
+        """Adam with a falling rate and clipped gradients, in single precision; returns the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.ban, self.ban_start = self.ban.astype(np.float32), self.ban_start.astype(np.float32)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, losses = 0, []
@@ -147,10 +152,11 @@ class Tagger:
                 step += 1
                 now = rate * (1 - epoch / epochs) ** 0.5
                 for k, v in g.items():
-                    v = v * min(1.0, 5.0 / (norm + 1e-9))
+                    v = v.astype(np.float32) * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.99 * second[k] + 0.01 * v * v
-                    self.p[k] -= now * first[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+                    moved = now * first[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+                    self.p[k] -= moved.astype(np.float32)
             losses.append(float(np.mean(seen)))
         return losses
 

@@ -122,7 +122,8 @@ def test_disguised_values_are_found(spark, tagger):
     got = {r.doc_id: r for r in pii.find(frame(spark, list(enumerate(texts))), tagger).collect()}
     hit = sum(any(s.kind == k and texts[i][s.start:s.end] == v for s in [*got[i].base, *got[i].added])
               for i, (k, v, _, _) in enumerate(samples))
-    assert hit >= 0.75 * len(samples)
+    print("disguised", hit, "of", len(samples))
+    assert hit >= 0.9 * len(samples)
     clean = ["on 2024-01-05 we saw 1234567 units and 3.14", "hash 43c058f85ea79848c3d302929636574a96fc2eb7 end", "x @ y", "a (at) b",
              "version 1.2.3 of 2020"]
     assert all(not r.added and not r.base for r in pii.find(frame(spark, list(enumerate(clean))), tagger).collect())
@@ -153,7 +154,7 @@ def test_spelt_addresses_are_found(spark, tagger):
     got = {r.doc_id: [dict(rows)[r.doc_id][s.start:s.end] for s in r.added] for r in pii.find(frame(spark, rows), tagger).collect()}
     found = sum(want[i] in got[i] for i in want)
     print("found", found, "of", len(want))
-    assert found >= 15
+    assert found >= 0.9 * len(want)
 
 
 def test_windows_meet_every_place(tagger):

@@ -1,13 +1,15 @@
 """The corpus pipeline, each stage against brute force over what the stage before it kept."""
 
+import os
+
 import duckdb
 import pytest
 
 import corpus_pipeline as cp
 from tabulant.llm import pieces, queries
-from tabulant.llm.common import stage
+from tabulant.llm.common import save, stage
 
-from .test_line_dedup import brute_repeats_fast
+from .test_line_dedup import BLANKS, brute_repeats_fast
 from .test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
@@ -43,10 +45,11 @@ def test_line_dedup(stages):
     gone = brute_repeats_fast([(i, r.text) for i, r in before.items()], 2, 24)
     want = []
     for i, r in before.items():
-        kept = [x for p, x in enumerate(r.text.split("\n")) if (i, p) not in gone]
-        changed = len(kept) < r.text.count("\n") + 1
+        lines = r.text.split("\n")
+        kept = [x for p, x in enumerate(lines) if (i, p) not in gone or len(x) < 24]
+        changed = len(kept) < len(lines)
         text = "\n".join(kept)
-        if not changed or text.strip():
+        if not any((i, p) in gone for p in range(len(lines))) or any(x.strip(BLANKS) and (i, p) not in gone for p, x in enumerate(lines)):
             want.append((i, text, r.lang, r.source, len(text) if changed else r.n_chars))
     assert rows(stages[2]) == sorted(want)
 
@@ -79,6 +82,31 @@ def test_run_is_the_stages_in_turn(spark, stages):
     assert rows(cp.run(spark, SF)) == rows(stages[-1])
 
 
+def test_nothing_staged_is_left(spark, tmp_path, stages):
+    """While it runs the pipeline keeps the last stage alone; once its rows are written, nothing."""
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    staged = lambda: {f for f in os.listdir(folder) if f.startswith("tabulant-")}
+    before = staged()
+    cp.write(spark, SF, str(tmp_path / "out"))
+    assert staged() == before
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(stages[-1])
+    left = cp.run(spark, SF)
+    assert [f.rsplit("-", 1)[0] for f in staged() - before] == ["tabulant-pipeline-mixing"] and left.count() == stages[-1].count()
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+
+    def make():
+        stage(spark.range(5), "lost")
+        raise KeyError("on purpose")
+
+    with pytest.raises(KeyError):
+        save(spark, make, str(tmp_path / "none"))
+    assert set(os.listdir(folder)) == before
+
+
 def test_stages_take_messy_and_empty_tables(spark, messy):
     docs = messy.select("doc_id", "text", "lang", "source", "n_chars")
     for some in (docs, docs.limit(0)):
