@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulant.llm import line_dedup, mixing, pieces, queries, simhash, toxicity
-from tabulant.llm.common import stage
+from tabulant.llm.common import owner, release, save, stage
 from tabulant.sources.tables import table_path
 
 
@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one within 2 edits; a document left blank by that goes.
+    """Documents without long lines that repeat an earlier one within 2 edits; a document of nothing but repeats goes.
 
-    ``n_chars`` is counted anew where the text changes.  NULL ids take no part and stay.
+    Lines under 24 characters stay where a document stays.  ``n_chars`` is counted anew where the text changes.  NULL ids take no part and stay.
     """
     return line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, max_edits=2))
 
@@ -73,8 +73,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    """All stages over the documents table.
+
+    What a stage staged on its way is removed once its result is written, and
+    that once the next stage's is; the result reads the last one.
+    """
+    docs, before = spark.read.parquet(table_path(sf_dir, "documents")), []
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+        with owner(spark) as folders:
+            docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+            release(spark, before + folders[:-1])   # the last folder is the stage's own
+            before = folders[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The pipeline's rows as Parquet at ``path``; nothing that was staged for them is left."""
+    save(spark, lambda: run(spark, sf_dir), path)
