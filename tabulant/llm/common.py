@@ -125,7 +125,7 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 16384   # text of a block aimed at, and blocks at most
+BLOCK_BYTES, MOST_BLOCKS = 1 << 18, 1 << 16   # text of a block aimed at, and blocks at most
 
 
 def successor_blocks(docs: DataFrame, id_col: str, text_col: str, out: str, blocks: int | None = None) -> DataFrame:
