@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.numeric import row_sum
+from ..session import cut_lineage
 from .join import forget_partitioning
 
 
@@ -57,22 +58,28 @@ def row_digest(df: DataFrame) -> Column:
     return F.unhex(F.sha2(F.concat(*[part(f) for f in df.schema.fields]).cast("binary"), 256))
 
 
-def distinct_wide(df: DataFrame) -> DataFrame:
+def distinct_wide(df: DataFrame, most_repeated: int = 1 << 20) -> DataFrame:
     """The distinct rows of a table with wide columns such as whole texts (``SELECT DISTINCT *``).
 
     Digests of whole rows are counted first: 32 bytes are shuffled for each
-    distinct row of a task.  A row whose digest occurs once is distinct and
-    passes; only rows whose digest repeats are fetched and compared in full, so
-    the result does not rest on the digest, and copies of a hot row are one row
-    for each task before they are shuffled.  While repeated digests are few they
-    are broadcast, and rows that have no copy are not shuffled at all.
+    distinct row of a task, and the digests that repeat are kept as a reliable
+    checkpoint and counted, which are the jobs that run here.  Up to
+    ``most_repeated`` of them are broadcast: rows whose digest occurs once are
+    distinct and pass without a shuffle, only rows whose digest repeats are
+    fetched and compared in full.  Beyond that, broadcasting would not be
+    bounded and fetching would shuffle the table twice, so all rows are
+    compared at once.  Either way equality of whole rows decides, not the
+    digest, and copies of a hot row are one row for each task before they are
+    shuffled.
     """
     rows = df.withColumn("__digest", row_digest(df))
     repeated = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select("__digest")
-    repeated = forget_partitioning(repeated)
+    repeated = cut_lineage(repeated)
+    if repeated.count() > most_repeated:
+        return df.distinct()
     columns = [F.col(f"`{c}`") for c in df.columns]
-    alone = rows.join(repeated, "__digest", "left_anti").select(*columns)
-    return alone.unionByName(rows.join(repeated, "__digest", "left_semi").select(*columns).distinct())
+    alone = rows.join(F.broadcast(repeated), "__digest", "left_anti").select(*columns)
+    return alone.unionByName(rows.join(F.broadcast(repeated), "__digest", "left_semi").select(*columns).distinct())
 
 
 def dedupe_clean(df: DataFrame, exclude: Column | None = None, keys: list[str] | None = None, digest: bool = False) -> DataFrame:

@@ -882,8 +882,8 @@ def q_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-# Built with jobs of their own: column names have to be known, files to be written.
-EAGER = {"pivot_open", "export_roundtrip"}
+# Built with jobs of their own: column names have to be known, files to be written, what is broadcast to be counted.
+EAGER = {"pivot_open", "export_roundtrip", "dedupe_clean"}
 
 QUERIES: dict[str, Query] = {
     "first_last_delta": q_first_last_delta,

@@ -131,16 +131,24 @@ def test_distinct_wide_does_not_rest_on_the_digest(spark, monkeypatch):
 
 
 def test_hot_duplicate_and_narrow_shuffles(spark):
-    """A third of all rows are one text: texts are shuffled only where rows repeat, one for each task; digests otherwise."""
+    """A third of all rows are one text: only rows that repeat are shuffled with their text, one for each task."""
     text = F.concat(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")), F.repeat(F.lit("x"), 2000))
     df = spark.range(0, 9000, 1, 8).select(text.alias("text"), (F.col("id") % 3 == 0).alias("h"))
     out = shape.distinct_wide(df)
     assert out.count() == 6001 and out.filter("h").count() == 1
-    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
-    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
-    by_digest = [i for i in at if "hashpartitioning(__digest" in lines[i]]
-    carried = [lines[i + 1] for i in by_digest]
-    assert any("partial_count" in c and "text#" not in c.split("functions")[0].replace("__digest", "") for c in carried)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "HashAggregate(keys=[text" in lines[shuffles[0] + 1]   # summed up by task before
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
+def test_many_repeated_rows_are_compared_at_once(spark):
+    """More repeated digests than may be broadcast: the same rows, no join."""
+    df = spark.range(0, 600, 1, 4).select((F.col("id") % 200).cast("string").alias("t"), F.lit(1).alias("n"))
+    out = shape.distinct_wide(df, most_repeated=50)
+    assert out.count() == 200 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert shape.distinct_wide(df, most_repeated=200).count() == 200
 
 
 def test_dedupe_clean_with_digest(spark):
