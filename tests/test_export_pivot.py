@@ -155,3 +155,13 @@ def test_dedupe_clean_with_digest(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), ("c", 3)], "t string, n int")
     assert rows(shape.dedupe_clean(df, exclude=F.col("t") == "b", digest=True)) == [("a", 1), ("c", 3)]
     assert rows(shape.dedupe_clean(df, exclude=F.col("t") == "b")) == [("a", 1), ("c", 3)]
+
+
+def test_a_session_can_still_ship_models_after_an_export(spark, scratch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    export.export_files(odd_table(spark), f"{scratch}/out", "id", fmt="parquet")
+    rows_ = VectorAssembler(inputCols=["x"], outputCol="f").transform(spark.range(40).selectExpr("cast(id as double) x", "cast(id > 20 as double) y"))
+    model = RandomForestClassifier(featuresCol="f", labelCol="y", numTrees=2).fit(rows_)
+    assert model.transform(rows_).select("probability").count() == 40 and len(model.transform(rows_).select("probability").collect()) == 40
